@@ -19,6 +19,7 @@ def local_session(app: str = "sensorframe", cores: int | str = "*", **conf: str)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.debug.maxToStringFields", "50")
     )
     for key, value in conf.items():
@@ -53,15 +54,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def written(df: DataFrame, sort_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
-    Preferred to ``checkpointed`` for wide frames read many times: later reads prune
-    columns and, with ``partition_by``, whole partitions.
+    Preferred to ``checkpointed`` for wide frames read many times: later reads prune columns
+    and, where ``sort_by`` clusters a column within the files, row groups.
     """
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    (df.sortWithinPartitions(*sort_by) if sort_by else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
