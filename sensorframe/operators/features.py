@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.functions import centred_bounds, guarded_ratio, trailing_bounds
+from sensorframe.functions import centred_bounds, trailing_bounds
 from sensorframe.operators.layout import HALO, RunLayout, chunk_aware
 
 # Channels, steps, window sizes and cross terms (kind, left, right), in the order
@@ -38,7 +38,8 @@ EPS = 1e-6
 TERM_LAG = 1
 TERM_WINDOW = 5
 
-_AGGREGATES = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+# Rolling windows up to this size are computed from lag and lead columns (see ``_rolling``).
+MAX_OFFSETS = 32
 
 
 @dataclass(frozen=True)
@@ -64,68 +65,190 @@ class FeatureSpec:
         steps = [*self.lags, *self.diffs, *([TERM_LAG] if self.cross else [])]
         return max([0, *steps, *[b for b, _ in spans]]), max([0, *[a for _, a in spans]])
 
+    def features(self) -> list[Feature]:
+        """Every engineered feature, in frame order."""
+        made = [Feature(f"{c}_lag{k}", "lag", c, size=k) for c in self.channels for k in self.lags]
+        made += [
+            Feature(f"{c}_roll_{stat}_{n}", "rolling", c, size=n, stat=stat)
+            for c in self.channels
+            for n in self.windows
+            for stat in self.stats
+        ]
+        made += [Feature(f"{c}_diff{k}", "diff", c, size=k) for c in self.channels for k in self.diffs]
+        patterns = {
+            "product": "{a}_x_{b}",
+            "ratio": "{a}_div_{b}",
+            "lag_product": "{a}_x_{b}_lag" + str(TERM_LAG),
+            "mean_ratio": "{a}_div_{b}_roll_mean_" + str(TERM_WINDOW),
+            "diff_product": "{a}_x_{b}_diff" + str(TERM_LAG),
+        }
+        return made + [Feature(patterns[kind].format(a=a, b=b), kind, a, b) for kind, a, b in self.cross]
+
     def names(self) -> list[str]:
-        return [*self.channels, *_terms(self, None)]
-
-
-def _cross_name(kind: str, a: str, b: str) -> str:
-    return {
-        "product": f"{a}_x_{b}",
-        "ratio": f"{a}_div_{b}",
-        "lag_product": f"{a}_x_{b}_lag{TERM_LAG}",
-        "mean_ratio": f"{a}_div_{b}_roll_mean_{TERM_WINDOW}",
-        "diff_product": f"{a}_x_{b}_diff{TERM_LAG}",
-    }[kind]
-
-
-def _terms(spec: FeatureSpec, layout: RunLayout | None) -> dict[str, Column | None]:
-    """Feature name to expression, in frame order. Without a layout, only the names."""
-    w = layout.window() if layout else None
-
-    def col(c: str) -> Column:
-        return F.col(f"`{c}`")
-
-    def rolling(c: str, stat: str, size: int) -> Column:
-        before, after = spec.bounds(size)
-        return _AGGREGATES[stat](col(c)).over(w.rowsBetween(-before, after))
-
-    def lag(c: str, k: int) -> Column:
-        return F.lag(col(c), k).over(w)
-
-    cross = {
-        "product": lambda a, b: col(a) * col(b),
-        "ratio": lambda a, b: guarded_ratio(col(a), col(b), spec.eps),
-        "lag_product": lambda a, b: col(a) * lag(b, TERM_LAG),
-        "mean_ratio": lambda a, b: guarded_ratio(col(a), rolling(b, "mean", TERM_WINDOW), spec.eps),
-        "diff_product": lambda a, b: col(a) * (col(b) - lag(b, TERM_LAG)),
-    }
-    named = [(f"{c}_lag{k}", lambda c=c, k=k: lag(c, k)) for c in spec.channels for k in spec.lags]
-    named += [
-        (f"{c}_roll_{s}_{n}", lambda c=c, s=s, n=n: rolling(c, s, n))
-        for c in spec.channels
-        for n in spec.windows
-        for s in spec.stats
+        return [*self.channels, *[f.name for f in self.features()]]
+
+
+@dataclass(frozen=True)
+class Feature:
+    name: str
+    kind: str
+    channel: str
+    other: str | None = None
+    size: int = 0
+    stat: str | None = None
+
+    def uses(self, channels: set[str]) -> bool:
+        return self.channel in channels or self.other in channels
+
+
+def _nearest(channel: str, cell: Callable[[str, int], str], before: int, after: int) -> str:
+    """The known value closest to the row, within the window."""
+    steps = sorted(range(-before, after + 1), key=abs)
+    return f"coalesce({', '.join(cell(channel, k) for k in steps)})" if len(steps) > 1 else cell(channel, 0)
+
+
+def _rolling(
+    df: DataFrame, layout: RunLayout, spec: FeatureSpec, wanted: dict[tuple[str, int, str], str]
+) -> DataFrame:
+    """Add rolling statistics, given as (channel, size, stat) -> name.
+
+    Spark evaluates a sliding frame anew for every row: all aggregates times the frame's rows.
+    Here each neighbour is fetched once as a lag or lead column, and sums, counts and extremes
+    of a wider window build on those of the next narrower one. Missing neighbours are skipped.
+    Sums are taken of distances from the nearest known value: as that value is in the window, the
+    square of the sum is at most the window's size times the squared deviations, so their
+    difference keeps its digits. Windows beyond ``MAX_OFFSETS`` rows use plain frames.
+    """
+    channels = list(dict.fromkeys(c for c, _, _ in wanted))
+    small = {c: sorted({n for x, n, _ in wanted if x == c and n <= MAX_OFFSETS}) for c in channels}
+    short = {c: f"_r{i}" for i, c in enumerate(channels)}
+    sums = [c for c in channels if any(x == c and n in small[c] and stat in ("mean", "std") for x, n, stat in wanted)]
+
+    def cell(c: str, k: int) -> str:
+        return f"`{c}`" if k == 0 else f"{short[c]}_{'p' if k < 0 else 'n'}{abs(k)}"
+
+    plain = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+    fetched = [
+        f"{plain[stat]}(`{c}`) {layout.over(*spec.bounds(n))} AS `{name}`"
+        for (c, n, stat), name in wanted.items()
+        if n > MAX_OFFSETS
     ]
-    named += [(f"{c}_diff{k}", lambda c=c, k=k: col(c) - lag(c, k)) for c in spec.channels for k in spec.diffs]
-    named += [(_cross_name(kind, a, b), lambda f=cross[kind], a=a, b=b: f(a, b)) for kind, a, b in spec.cross]
-    return {name: make() if layout else None for name, make in named}
+    for c in channels:
+        if small[c]:
+            before, after = spec.bounds(small[c][-1])
+            fetched += [f"lag(`{c}`, {k}) {layout.over()} AS {cell(c, -k)}" for k in range(1, before + 1)]
+            fetched += [f"lead(`{c}`, {k}) {layout.over()} AS {cell(c, k)}" for k in range(1, after + 1)]
+    out = df.selectExpr("*", *fetched)
+
+    out = out.selectExpr("*", *[f"{_nearest(c, cell, *spec.bounds(small[c][-1]))} AS {short[c]}_near" for c in sums])
+    steps: list[list[str]] = [[] for _ in range(max(len(v) for v in small.values()))]
+    named = []
+    for c in channels:
+        stats = {stat for x, _, stat in wanted if x == c}
+        inner, last, near = range(0), "", f"{short[c]}_near"
+        for step, n in zip(steps, small[c]):
+            before, after = spec.bounds(n)
+            span = range(-before, after + 1)
+            fresh = [cell(c, k) for k in span if k not in inner]
+            this = f"{short[c]}_{n}"
+            on = {part: [f"{last}_{part}"] if last else [] for part in ("n", "sum", "squares", "min", "max")}
+            if c in sums:
+                known = [f"if({x} IS NULL, 0, 1)" for x in fresh]
+                away = [f"coalesce({x} - {near}, 0D)" for x in fresh]
+                step += [" + ".join([*on["n"], *known]) + f" AS {this}_n"]
+                step += [" + ".join([*on["sum"], *away]) + f" AS {this}_sum"]
+                if "std" in stats:
+                    squares = [f"coalesce(({x} - {near}) * ({x} - {near}), 0D)" for x in fresh]
+                    step += [" + ".join([*on["squares"], *squares]) + f" AS {this}_squares"]
+            for part, f in (("min", "least"), ("max", "greatest")):
+                if part in stats:
+                    cells = [*on[part], *fresh]
+                    step.append((f"{f}({', '.join(cells)})" if len(cells) > 1 else cells[0]) + f" AS {this}_{part}")
+            result = {
+                "mean": f"{near} + {this}_sum / {this}_n",
+                "std": f"if({this}_n > 1, sqrt(greatest({this}_squares - {this}_sum * {this}_sum / {this}_n, 0D)"
+                f" / ({this}_n - 1)), NULL)",
+                "min": f"{this}_min",
+                "max": f"{this}_max",
+            }
+            result["mean"] = f"if({this}_n > 0, {result['mean']}, NULL)"
+            named += [f"{result[stat]} AS `{wanted[c, n, stat]}`" for stat in STATS if (c, n, stat) in wanted]
+            inner, last = span, this
+    for exprs in steps:
+        out = out.selectExpr("*", *exprs)
+    kept = [*df.columns, *[name for (_, n, _), name in wanted.items() if n > MAX_OFFSETS]]
+    return out.selectExpr(*[f"`{c}`" for c in kept], *named)
+
+
+def _expression(f: Feature, layout: RunLayout, spec: FeatureSpec, fill_start: bool) -> str:
+    """SQL of a feature that is not a rolling statistic. With ``fill_start`` the rows at the start
+    of a run, where a lag or difference has no value yet, take the first one there is."""
+    a, b = f"`{f.channel}`", f"`{f.other}`"
+
+    def lag(c: str, k: int) -> str:
+        return f"lag({c}, {k}) {layout.over()}"
+
+    def nth(c: str, k: int) -> str:
+        return f"nth_value({c}, {k}) {layout.over(None, None)}"
+
+    k, second = f.size or TERM_LAG, TERM_LAG + 1
+    if f.kind == "lag":
+        first = f"if(count(1) {layout.over(None, None)} > {k}, {nth(a, 1)}, NULL)"
+        return f"coalesce({lag(a, k)}, {first})" if fill_start else lag(a, k)
+    if f.kind == "diff":
+        first = f"{nth(a, k + 1)} - {nth(a, 1)}"
+        return f"coalesce({a} - {lag(a, k)}, {first})" if fill_start else f"{a} - {lag(a, k)}"
+    if f.kind == "product":
+        return f"{a} * {b}"
+    if f.kind == "ratio":
+        return f"try_divide({a}, {b} + {spec.eps!r}D)"
+    if f.kind == "lag_product":
+        first = f"{nth(a, second)} * {nth(b, 1)}"
+        return f"coalesce({a} * {lag(b, k)}, {first})" if fill_start else f"{a} * {lag(b, k)}"
+    if f.kind == "diff_product":
+        first = f"{nth(a, second)} * ({nth(b, second)} - {nth(b, 1)})"
+        return f"coalesce({a} * ({b} - {lag(b, k)}), {first})" if fill_start else f"{a} * ({b} - {lag(b, k)})"
+    raise ValueError(f.kind)
 
 
 @chunk_aware
-def engineer(df: DataFrame, layout: RunLayout, spec: FeatureSpec = FeatureSpec()) -> DataFrame:
-    """Append the features of ``spec``. All windows share one partitioning and order, so the
-    whole set costs one exchange, one sort and one Window node."""
-    terms = _terms(spec, layout)
-    if not terms:
+def engineer(
+    df: DataFrame,
+    layout: RunLayout,
+    spec: FeatureSpec = FeatureSpec(),
+    only: Sequence[str] | None = None,
+    fill_start: bool = False,
+) -> DataFrame:
+    """Append the features of ``spec`` (or those named in ``only``). All windows share one
+    partitioning and order, so the whole set costs one exchange and one sort."""
+    features = [f for f in spec.features() if only is None or f.name in only]
+    if not features:
         return df
-    columns = [c.alias(name) for name, c in terms.items()]
-    if not layout.chunked:
-        return df.select("*", *columns)
-    return layout.with_halo(df, *spec.reach()).select("*", *columns).where(~F.col(HALO)).drop(HALO)
+    if fill_start and layout.chunked:
+        raise ValueError("a chunk does not see the start of its run: interpolate instead")
+    source = layout.with_halo(df, *spec.reach()) if layout.chunked else df
+    rolling = {(f.channel, f.size, f.stat): f.name for f in features if f.kind == "rolling"}
+    ratios = [f for f in features if f.kind == "mean_ratio"]
+    for f in ratios:
+        rolling.setdefault((f.other, TERM_WINDOW, "mean"), f"_mean_{f.other}")
+    simple = [f for f in features if f.kind not in ("rolling", "mean_ratio")]
+    out = source.selectExpr("*", *[f"{_expression(f, layout, spec, fill_start)} AS `{f.name}`" for f in simple])
+    if rolling:
+        out = _rolling(out, layout, spec, rolling)
+    over_mean = {f.name: rolling[f.other, TERM_WINDOW, "mean"] for f in ratios}
+    made = [
+        f"try_divide(`{f.channel}`, `{over_mean[f.name]}` + {spec.eps!r}D) AS `{f.name}`"
+        if f.name in over_mean
+        else f"`{f.name}`"
+        for f in features
+    ]
+    if layout.chunked:
+        out = out.where(~F.col(HALO))
+    return out.selectExpr(*[f"`{c}`" for c in df.columns], *made)
 
 
 def gap_columns(spec: FeatureSpec, layout: RunLayout, repaired: Sequence[str] = ()) -> tuple[list[str], list[str]]:
-    """Which features may have gaps anywhere, and which only at the start of a run.
+    """Which columns may have gaps anywhere, and which only at the start of a run.
 
     Decided from the layout's column profile, without computing the features. A repaired channel
     has no gaps but in runs without any value, which no interpolation can mend; its rounding
@@ -135,28 +258,34 @@ def gap_columns(spec: FeatureSpec, layout: RunLayout, repaired: Sequence[str] =
     may_be_zero = {c for c in spec.channels if c in layout.negative and c not in repaired}
     anywhere = [c for c in spec.channels if c in holes]
     leading: list[str] = []
-
-    def add(name: str, hollow: bool, at_start: bool) -> None:
-        if hollow:
-            anywhere.append(name)
-        elif at_start:
-            leading.append(name)
-
-    for c in spec.channels:
-        for k in spec.lags:
-            add(f"{c}_lag{k}", c in holes, True)
-        for n in spec.windows:
-            for s in spec.stats:
-                add(f"{c}_roll_{s}_{n}", c in holes, s == "std" and spec.bounds(n)[1] == 0)
-        for k in spec.diffs:
-            add(f"{c}_diff{k}", c in holes, True)
-    for kind, a, b in spec.cross:
-        divides = kind in ("ratio", "mean_ratio")
-        hollow = a in holes or b in holes or (divides and b in may_be_zero)
-        add(_cross_name(kind, a, b), hollow, kind in ("lag_product", "diff_product"))
+    for f in spec.features():
+        by_zero = f.kind in ("ratio", "mean_ratio") and f.other in may_be_zero
+        lone_value = f.stat == "std" and spec.bounds(f.size)[1] == 0
+        if f.uses(holes) or by_zero or lone_value:
+            anywhere.append(f.name)
+        elif f.kind in ("lag", "diff", "lag_product", "diff_product"):
+            leading.append(f.name)
     return anywhere, leading
 
 
+def telling_columns(spec: FeatureSpec, holes: Sequence[str]) -> list[str]:
+    """Columns that are all known in a row of the interpolated frame only if every column is.
+
+    After interpolation a column is missing in a whole run or nowhere. If the longest lag has a
+    value in a run, so have the shorter ones; means and extremes are known where the channel is;
+    so are deviations where a difference is, but for channels with ``holes``, whose narrowest
+    deviation tells about the wider ones.
+    """
+    longest, narrowest = max(spec.lags, default=None), min(spec.windows, default=None)
+    made = spec.features()
+    return [
+        *spec.channels,
+        *[f.name for f in made if f.kind == "lag" and f.size == longest],
+        *[f.name for f in made if f.stat == "std" and f.size == narrowest and (f.channel in holes or not spec.diffs)],
+        *[f.name for f in made if f.kind not in ("lag", "rolling")],
+    ]
+
+
 def feature_columns(
     columns: Sequence[str],
     channels: Sequence[str] = BASE_CHANNELS,

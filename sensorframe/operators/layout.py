@@ -150,6 +150,16 @@ class RunLayout:
         order = [F.col(c).desc() if reverse else F.col(c).asc() for c in self.order]
         return Window.partitionBy(*self.partition).orderBy(*order)
 
+    def over(self, before: int | None = 0, after: int | None = -1) -> str:
+        """The window as SQL text; frame bounds in rows, None for unbounded, none given for no frame."""
+        keys = ", ".join(f"`{c}`" for c in self.partition)
+        order = ", ".join(f"`{c}`" for c in self.order)
+        if (before, after) == (0, -1):
+            return f"OVER (PARTITION BY {keys} ORDER BY {order})"
+        low = "UNBOUNDED PRECEDING" if before is None else f"{before} PRECEDING"
+        high = "UNBOUNDED FOLLOWING" if after is None else f"{after} FOLLOWING"
+        return f"OVER (PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN {low} AND {high})"
+
     def with_halo(self, df: DataFrame, before: int, after: int) -> DataFrame:
         """Add to every chunk copies of the ``before`` rows preceding it and the ``after`` rows
         following it, marked in ``_halo``. Row counts decide how many chunks a copy reaches, so

@@ -18,6 +18,7 @@ from sensorframe.operators.features import (
     feature_columns,
     gap_columns,
     project,
+    telling_columns,
 )
 from sensorframe.operators.layout import MAX_ROWS, RunLayout
 from sensorframe.operators.models import ModelSpec
@@ -47,11 +48,19 @@ def feature_frame(
     df = layout.attach(raw)
     if repaired:
         df = gaps.repair_channels(df, layout, repaired)
-    df = engineer(df, layout, spec)
     anywhere, leading = gap_columns(spec, layout, repaired)
-    anywhere += [c for c in also_fill if c in layout.gappy]
-    df = gaps.interpolate(df, layout, anywhere, leading)
-    return gaps.drop_incomplete(layout.detach(df))
+    extra = [c for c in also_fill if c in layout.gappy]
+    if layout.chunked:
+        df = gaps.interpolate(engineer(df, layout, spec), layout, [*anywhere, *extra], leading)
+    else:
+        # Features of gappy channels first, while the rows that interpolation has to sort in
+        # reverse are narrow; then the others, whose only gaps are at the start of a run.
+        df = gaps.interpolate(engineer(df, layout, spec, only=anywhere), layout, [*anywhere, *extra])
+        others = [f.name for f in spec.features() if f.name not in anywhere]
+        df = engineer(df, layout, spec, only=others, fill_start=True)
+    rest = [c for c in raw.columns if c not in spec.channels]
+    telling = [*rest, *telling_columns(spec, [c for c in layout.gappy if c not in repaired])]
+    return gaps.drop_incomplete(project(df, [*raw.columns, *[f.name for f in spec.features()]]), telling)
 
 
 def learning_frame(
