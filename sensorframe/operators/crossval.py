@@ -95,18 +95,21 @@ def cross_validate(
     ids: Sequence[str],
     fold: str = "fold",
     parallelism: int = 2,
+    store: bool = True,
 ) -> Evaluation:
     """Per model and fold: train on the other folds, predict the held-out one, clip negatives.
 
     ``features`` may differ by fold (selection within the fold). The frame is written once,
-    clustered by fold, so that each of the many training passes reads it back pruned instead of
-    computing the features again. Fits run ``parallelism`` at a time.
+        clustered by fold, so that each of the many training passes reads it back pruned instead of
+    computing the features again (``store=False``: it is a stored table already). Fits run
+    ``parallelism`` at a time.
     """
     per_fold = features if isinstance(features, dict) else None
     wanted = list(dict.fromkeys(f for fs in per_fold.values() for f in fs)) if per_fold else list(features)
     kept = list(dict.fromkeys([*ids, fold, label, *wanted]))
     data = positive_label(frame, label).select(*[f"`{c}`" for c in kept])
-    data = written(data, sort_by=(fold,))
+    if store:
+        data = written(data, sort_by=(fold,))
     sizes = fold_sizes(data, fold, label).limit(MAX_FOLDS + 1).collect()
     if len(sizes) > MAX_FOLDS:
         raise ValueError(f"more than {MAX_FOLDS} folds: use grouped_folds, or loro_linear for least squares")

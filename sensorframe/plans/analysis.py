@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.operators import gaps
 from sensorframe.operators.correlation import THRESHOLD, drop_correlated
-from sensorframe.operators.crossval import Evaluation, cross_validate, positive_label
+from sensorframe.operators.crossval import MAX_FOLDS, Evaluation, cross_validate, positive_label
 from sensorframe.operators.features import (
     TEXT_CHANNELS,
     FeatureSpec,
@@ -127,10 +127,10 @@ def evaluate(
     settings = selector or {}
     if not select_within_fold:
         selection = select_features(data, features, label, threshold, **settings)
-        return cross_validate(data, selection.features, label, models, ids, fold, parallelism), selection
-    folds = [r[0] for r in data.select(fold).distinct().orderBy(fold).limit(1000).collect()]
+        return cross_validate(data, selection.features, label, models, ids, fold, parallelism, store=False), selection
+    folds = [r[0] for r in data.select(fold).distinct().orderBy(fold).limit(MAX_FOLDS + 1).collect()]
     per_fold = {
         k: select_features(data.where(F.col(fold) != F.lit(k)), features, label, threshold, **settings).features
         for k in folds
     }
-    return cross_validate(data, per_fold, label, models, ids, fold, parallelism), None
+    return cross_validate(data, per_fold, label, models, ids, fold, parallelism, store=False), None

@@ -92,7 +92,7 @@ def _learning(spark, sf_dir) -> tuple[DataFrame, list[str]]:
 
 def _evaluate(spark, sf_dir, models: dict[str, ModelSpec]):
     rows, names = _learning(spark, sf_dir)
-    return cross_validate(grouped_folds(rows, FOLDS), names, "hours_left", models, IDS)
+    return cross_validate(grouped_folds(rows, FOLDS), names, "hours_left", models, IDS, store=False)
 
 
 @query()
