@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from sensorframe.functions import clip_negative, residual
 from sensorframe.operators.joins import join_groups
 from sensorframe.operators.scaling import scaled, scaler_values
+from sensorframe.session import checkpointed
 
 
 def _moments(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,11 +49,11 @@ def loro_coefficients(
     )
     rows = VectorAssembler(inputCols=inputs, outputCol="_v").transform(rows)
     rows = PolynomialExpansion(degree=2, inputCol="_v", outputCol="_m").transform(rows).select("fold", "_m")
-    per_fold = rows.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n"),
-        vector_to_array(Summarizer.sum(F.col("_m"))).alias("sums"),
+    # The only pass over the rows. Kept, as both the total and each fold's remainder come from it.
+    per_fold = checkpointed(
+        rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("_m")).alias("sums"))
     )
-    overall = rows.agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("_m")).alias("sums")).head()
+    overall = per_fold.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), Summarizer.sum(F.col("sums")).alias("sums")).head()
     size, n_all = len(columns), overall["n"]
     all_sums = overall["sums"].toArray() if n_all else np.zeros(size * (size + 3) // 2)
     y_mean, y_std = statistics[label]
@@ -74,7 +75,7 @@ def loro_coefficients(
 
     fold_type = df.schema[fold].dataType.simpleString()
     schema = f"fold {fold_type}, n_train bigint, n_test bigint, intercept double, weights array<double>"
-    return per_fold.mapInPandas(solve, schema), statistics
+    return per_fold.withColumn("sums", vector_to_array("sums")).mapInPandas(solve, schema), statistics
 
 
 def loro_linear(

@@ -16,6 +16,7 @@ from sensorframe.queries.common import (
     held_out_predictions,
     rounded,
     show,
+    sql_rounded,
     sql_show,
 )
 from sensorframe.queries.relational import REPAIRED_SQL, _repaired
@@ -159,9 +160,9 @@ def q_price_boxplot(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    f"""{_box_sql(SCORES_SQL, "scores", "model", "rmse")} SELECT model, fold, round_even((rmse) * 1e6, 0) / 1e6 + 0.0 AS rmse
-    FROM scores JOIN stats USING (model) WHERE rmse < whisker_lo OR rmse > whisker_hi"""
+    f"""{_box_sql(SCORES_SQL, "scores", "model", "r2")} SELECT model, fold, {sql_rounded("r2")} AS r2
+    FROM scores JOIN stats USING (model) WHERE r2 < whisker_lo OR r2 > whisker_hi"""
 )
 def q_boxplot_outliers(spark, sf_dir) -> DataFrame:
-    scores = fold_metrics(held_out_predictions(spark, sf_dir)).select("model", "fold", "rmse")
-    return show(report.box_outliers(scores, report.box_statistics(scores, "rmse"), "rmse"), ["model", "fold"], ["rmse"])
+    scores = fold_metrics(held_out_predictions(spark, sf_dir)).select("model", "fold", "r2")
+    return show(report.box_outliers(scores, report.box_statistics(scores, "r2"), "r2"), ["model", "fold"], ["r2"])

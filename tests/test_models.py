@@ -16,7 +16,7 @@ from sensorframe.operators.crossval import cross_validate, fold_sizes, fold_spli
 from sensorframe.operators.joins import join_groups
 from sensorframe.operators.linear import loro_linear
 from sensorframe.operators.metrics import fold_metrics, model_summary
-from sensorframe.operators.models import ModelSpec, boosting, forest, kernel_model, reference_preset
+from sensorframe.operators.models import ModelSpec, boosting, forest, fourier_features, kernel_model, reference_preset
 from sensorframe.operators.scaling import scaler_values, standardize
 from sensorframe.operators.selection import above_median, forest_importance, top_scores
 from sensorframe.plans import evaluate, feature_frame
@@ -57,6 +57,23 @@ def test_loro_with_collinear_and_constant_features(spark):
     np.testing.assert_allclose(got.predicted.sort_index(), want.predicted.sort_index(), rtol=1e-7)
 
 
+def test_refitted_folds_equal_additive_folds(rows):
+    """Fitting every fold anew and solving all folds from one pass of sums agree."""
+    folds = grouped_folds(rows, 3)
+    models = {"Linear Regression": ModelSpec(lambda n: LinearRegression())}
+    a = cross_validate(folds, ["a", "b", "c", "d"], "y", models, IDS).predictions.toPandas().set_index("event_id")
+    b = loro_linear(folds, ["a", "b", "c", "d"], "y", IDS, fold="fold").toPandas().set_index("event_id")
+    np.testing.assert_allclose(a.predicted.sort_index(), b.predicted.sort_index(), rtol=1e-8)
+
+
+def test_kernel_features_approximate_the_kernel(spark):
+    x = np.random.default_rng(0).normal(size=(30, 3))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]))
+    z = np.stack([r["features"].toArray() for r in fourier_features(df, ["a", "b", "c"], 4000, 0.3, 1).collect()])
+    kernel = np.exp(-0.3 * ((x[:, None] - x[None]) ** 2).sum(-1))
+    assert np.abs(z @ z.T - kernel).max() < 0.1
+
+
 def test_models_beat_the_mean_and_repeat(rows):
     models = {
         "SVR": kernel_model(dim=100, gamma=0.2),
