@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sensorframe.llm.common import table
 from sensorframe.llm.exact_dedup import exact_dedup
+from sensorframe.llm.secret_scan import secret_scan
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 SQL: dict[str, str] = {
