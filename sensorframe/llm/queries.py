@@ -6,25 +6,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorframe.llm.common import table
+from sensorframe.llm.chat_format import format_chats, read_back
+from sensorframe.llm.common import bare, table
 from sensorframe.llm.exact_dedup import exact_dedup
+from sensorframe.llm.html_extract import extract_pages
 from sensorframe.llm.secret_scan import secret_scan
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = bare(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    probe = [(-7, k, role, r"\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))]
+    return read_back(format_chats(turns.unionByName(spark.createDataFrame(probe, "conv_id long, turn long, role string, text string"))))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_extract": op2_html_extract,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_chat_format": op4_chat_format,
     "op10_secret_scan": op10_secret_scan,
 }
 
 SQL: dict[str, str] = {
+    # These pages mark their article and use three character references, which SQL can follow.
+    "op2_html_extract": r"""
+WITH a AS (
+  SELECT page_id, url, replace(regexp_extract(coalesce(html, ''), '<article>((?:.|\n)*?)</article>', 1), '<br>', ' ') AS body FROM pages),
+b AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:h1|p)>'),
+    x -> trim(regexp_replace(regexp_replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'),
+      '[\x20\x09-\x0D]+', ' ', 'g'))) AS blocks FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(blocks, x -> x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM c""",
     "op3_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
