@@ -45,9 +45,9 @@ WITH a AS (
   SELECT page_id, url, replace(regexp_extract(coalesce(html, ''), '<article>((?:.|\n)*?)</article>', 1), '<br>', ' ') AS body FROM pages),
 b AS (
   SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:h1|p)>'),
-    x -> trim(regexp_replace(regexp_replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'),
+    lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'),
       '[\x20\x09-\x0D]+', ' ', 'g'))) AS blocks FROM a),
-c AS (SELECT page_id, url, array_to_string(list_filter(blocks, x -> x <> ''), chr(10)) AS text FROM b)
+c AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM b)
 SELECT page_id, url, text, length(text) AS n_chars FROM c""",
     "op3_exact_dedup": r"""
 WITH n AS (
