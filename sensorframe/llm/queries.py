@@ -10,6 +10,7 @@ from sensorframe.llm.chat_format import format_chats, read_back
 from sensorframe.llm.common import bare, table
 from sensorframe.llm.exact_dedup import exact_dedup
 from sensorframe.llm.html_extract import extract_pages
+from sensorframe.llm.piece_viterbi import round_trip
 from sensorframe.llm.quality_rules import quality_rules
 from sensorframe.llm.secret_scan import secret_scan
 
@@ -28,6 +29,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(turns.unionByName(spark.createDataFrame(probe, "conv_id long, turn long, role string, text string"))))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extract": op2_html_extract,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat_format": op4_chat_format,
+    "op6_sentencepiece": op6_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }
