@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -197,13 +198,12 @@ def fit_forest(sample: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPL
 
 def score_column(forest: Forest) -> Column:
     """The forest's score of a row with ``COUNTS``."""
-    import pandas as pd
 
     @F.pandas_udf("double")
-    def score(*counts: pd.Series) -> pd.Series:
-        return pd.Series(forest.scores(stats_of([c.to_numpy() for c in counts])))
+    def score(counts: pd.DataFrame) -> pd.Series:
+        return pd.Series(forest.scores(stats_of([counts[c].to_numpy() for c in COUNTS])))
 
-    return score(*COUNTS)
+    return score(F.struct(*COUNTS))
 
 
 def failed() -> Column:
