@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.session import written
+from sensorframe.session import locate, written
 
 __all__ = ["table", "written", "small", "bare", "text_or_empty", "bucket_counts", "levels", "BROADCAST_ROWS"]
 
@@ -18,7 +18,7 @@ BROADCAST_ROWS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return locate(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -10,6 +10,7 @@ from sensorframe.llm.chat_format import format_chats, read_back
 from sensorframe.llm.common import bare, table
 from sensorframe.llm.exact_dedup import exact_dedup
 from sensorframe.llm.html_extract import extract_pages
+from sensorframe.llm.ngram_join import ngram_join
 from sensorframe.llm.piece_viterbi import round_trip
 from sensorframe.llm.quality_rules import quality_rules
 from sensorframe.llm.secret_scan import secret_scan
@@ -29,6 +30,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(turns.unionByName(spark.createDataFrame(probe, "conv_id long, turn long, role string, text string"))))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents")).drop("class_id", "n_copies")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
@@ -45,12 +50,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extract": op2_html_extract,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat_format": op4_chat_format,
+    "op5_ngram_join": op5_ngram_join,
     "op6_sentencepiece": op6_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }
 
 SQL: dict[str, str] = {
+    "op5_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT reach.node, edges.b FROM reach JOIN edges ON edges.a = reach.seen),
+low AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents JOIN low ON low.node = doc_id LEFT JOIN n USING (doc_id)""",
     # These pages mark their article and use three character references, which SQL can follow.
     "op2_html_extract": r"""
 WITH a AS (
