@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -13,8 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
+def locate(spark: SparkSession) -> SparkSession:
+    """Let Python workers import the package from where the driver did, whatever folder they start in. A cluster
+    whose machines do not share that path gets the package with ``--py-files`` as usual."""
+    home, known = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    if home not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [home, known.get("PYTHONPATH", "")]))
+    return spark
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the settings that matter for wide frames to a running session."""
+    locate(spark)
     for key, value in TUNING.items():
         spark.conf.set(key, value)
     return spark
