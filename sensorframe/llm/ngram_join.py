@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe.llm.common import BUCKET_BITS, bare, bucket_counts, levels, small, text_or_empty, written
 from sensorframe.llm.graph import components
-from sensorframe.llm.setjoin import list_array, postings, ranges, set_keys, signed, verified
+from sensorframe.llm.setjoin import cross_pairs, delta_pairs, deltas, list_array, postings, ranges, set_keys, signed, star_pairs, verified
 from sensorframe.llm.tokens import distinct, shingles, texts_of, words_of
 
 #: A prefix asks for this many shared tokens at most, and a token that its bucket shows to be rare is still taken to
@@ -112,120 +112,43 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
 
 def _links(own: DataFrame, sets: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame | None:
     """(node, component) of the classes that link with another one; None if none do."""
-    pairs, many = postings(sets.select("key", "prefix"))
-    facts = classes.select("key", "n", "matches")
-    many = written(many.join(facts, "key"))
+    many = postings(sets.select("key", "prefix"))
     labels, clusters = None, None
-
-    # Common tokens: pair each key with the star that it shares most of them with.
-    stars = many.groupBy("token").agg(F.count(F.lit(1)).alias("keys"), F.min_by("key", F.xxhash64("key")).alias("key"))
-    stars = written(stars.filter(f"keys > {STAR}").select("token", "key").join(facts, "key").select("token", F.col("key").alias("star"), F.col("n").alias("n_star")))
-    if not stars.isEmpty():
-        tried = many.join(stars, "token").filter(F.col("key") != F.col("star"))
-        each = tried.groupBy("key", "star").agg(F.count(F.lit(1)).alias("shared"))
-        best = written(each.groupBy("key").agg(F.max_by("star", F.struct("shared", "star")).alias("star")).select(F.col("key").alias("a"), F.col("star").alias("b")))
+    best = star_pairs(many, STAR)
+    if not best.isEmpty():
         whole = _whole_sets(best, own, classes, width)
         near = written(verified(best, whole, CLUSTER))
         if not near.isEmpty():
-            clusters = written(components(near)).withColumnsRenamed({"node": "key", "component": "cluster"})
-            found = _cluster_links(whole.join(clusters, "key"), percent)
+            clusters = written(components(near))
+            apart = deltas(whole.join(clusters.toDF("key", "cluster"), "key"), percent)
+            found = written(_cluster_links(apart, percent))
             if not found.isEmpty():
                 labels = written(components(found))
 
-    def placed(rows: DataFrame) -> DataFrame:
-        """With each key's component and cluster, which are its own if it has none."""
-        for known, name in ((clusters, "cluster"), (labels, "component")):
-            if known is None:
-                rows = rows.withColumn(name, F.col("key"))
-            else:
-                known = known.toDF("known", name)
-                rows = rows.join(known, F.col("key") == F.col("known"), "left").withColumn(name, F.coalesce(name, "key")).drop("known")
-        return rows
-
-    # All other pairs that share tokens. A token's largest cluster is only paired with the rest.
-    many = written(placed(many))
-    sizes = many.groupBy("token", "cluster").agg(F.count(F.lit(1)).alias("keys"))
-    major = sizes.groupBy("token").agg(F.max_by("cluster", F.struct("keys", "cluster")).alias("major"), F.count(F.lit(1)).alias("clusters"))
-    major = small(written(major.filter("clusters > 1").select("token", "major")))
-    open_ = many.join(major, "token")
-    right = open_.select("token", *[F.col(c).alias(f"{c}_2") for c in ("key", "n", "matches", "cluster", "component")])
-    met = open_.filter("cluster <> major").join(
-        right,
-        (open_["token"] == right["token"])
-        & (F.col("cluster") != F.col("cluster_2"))
-        & (F.col("component") != F.col("component_2"))
-        & ((F.col("cluster_2") == F.col("major")) | (F.col("key") < F.col("key_2")))
-        & _sized(F.col("n"), F.col("n_2"), percent),
-    )
-    met = met.select(F.least("key", "key_2").alias("a"), F.greatest("key", "key_2").alias("b"), F.least("matches", "matches_2").alias("asked"))
-    for side in ("a", "b"):
-        pairs = placed(pairs.withColumnRenamed(side, "key").join(facts, "key")).withColumnsRenamed(
-            {c: f"{c}_{side}" for c in ("n", "matches", "cluster", "component")} | {"key": side}
-        )
-    pairs = pairs.filter((F.col("cluster_a") != F.col("cluster_b")) & (F.col("component_a") != F.col("component_b")) & _sized(F.col("n_a"), F.col("n_b"), percent))
-    candidates = pairs.select("a", "b", F.least("matches_a", "matches_b").alias("asked")).unionAll(met)
-    candidates = candidates.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("asked").alias("asked"))
-    candidates = written(candidates.filter("shared >= asked").select("a", "b"))
+    rows = many.join(classes.select("key", "n", "matches"), "key")
+    for known, name in ((clusters, "cluster"), (labels, "component")):
+        if known is None:
+            rows = rows.withColumn(name, F.col("key"))
+        else:  # keys that are in none stand for themselves
+            rows = rows.join(known.toDF("known", name), F.col("key") == F.col("known"), "left").withColumn(name, F.coalesce(name, "key")).drop("known")
+    rows = written(rows)
+    asked = classes.select("key", "matches")
+    candidates = cross_pairs(rows, percent, F.col("component") == F.col("component_2"), "component")
+    candidates = candidates.join(asked.toDF("a", "m_a"), "a").join(asked.toDF("b", "m_b"), "b").filter(F.col("shared") >= F.least("m_a", "m_b"))
+    candidates = written(candidates.select("a", "b"))
     links = written(verified(candidates, _whole_sets(candidates, own, classes, width), percent))
     if labels is not None:
         links = links.unionAll(labels.toDF("a", "b"))
     return None if links.isEmpty() else written(components(links))
 
 
-def _cluster_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among ``members`` (key, set, cluster) that connect what links within each cluster connect.
-
-    Members are seen by what sets them apart from what most of the cluster has, the delta: the symmetric difference
-    of two sets is that of their deltas. Two sets link for certain if their deltas together are small enough; of
-    these, all link with the member whose delta is least for its size. Any other pair has a first common token, by
-    rarity within the cluster, which is among the first t / 2 + 1 tokens of the shorter delta and the first t + 1 of
-    the longer one, where t bounds the difference; and what follows it must suffice. So a large group of near copies
-    is joined by its members' own changes, and not by what all of them have in common."""
-    near, far = 100 - percent, 100 + percent
-    uses = members.select("cluster", F.explode("set").alias("token")).groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("uses"))
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
-    # A token that most members have: there are at most twice as many as a member has on average.
-    roots = uses.join(sizes, "cluster").filter("2 * uses > members").groupBy("cluster").agg(F.collect_list("token").alias("root"))
-    root = F.coalesce("root", F.expr("cast(array() as array<bigint>)"))
-    apart = members.join(written(roots), "cluster", "left").select(
-        "cluster", "key", F.size("set").alias("n"), F.array_union(F.array_except("set", root), F.array_except(root, "set")).alias("delta")
-    )
-    apart = written(apart.withColumn("excess", far * F.size("delta") - near * F.col("n")))
+def _cluster_links(apart: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what links within each cluster connect. Sets that are similar to another one for
+    certain are so to the member of the least excess; of these, no more pairs are formed."""
     centres = apart.groupBy("cluster").agg(F.min_by("key", F.struct("excess", "key")).alias("centre"), F.min("excess").alias("least"))
     apart = written(apart.join(centres, "cluster").withColumn("close", F.col("excess") + F.col("least") <= 0))
-    with_centre = apart.filter(F.col("close") & (F.col("key") != F.col("centre"))).select(F.col("key").alias("a"), F.col("centre").alias("b"))
-
-    tokens = apart.select("cluster", "key", F.explode("delta").alias("token"))
-    rarity = tokens.groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("uses"))
-    ranked = tokens.join(rarity.filter("uses > 1"), ["cluster", "token"], "left").groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("uses", F.lit(1)).alias("uses"), "token"))).alias("delta")
-    )
-    ranked = apart.drop("delta").join(ranked, "key").withColumn("most", F.floor(F.col("n") * near / percent).cast("int"))
-    ranked = written(ranked.withColumn("delta", F.transform("delta", lambda d: d.token)).withColumn("size", F.size("delta")))
-    heads = ranked.select("cluster", "key", "n", "size", "most", "close", F.posexplode(F.slice("delta", 1, F.col("most") + 1)).alias("at", "token"))
-    shorter = heads.filter("at <= most div 2")
-    longer = heads.select("cluster", "token", *[F.col(c).alias(f"{c}_2") for c in ("key", "n", "size", "at", "close")])
-    left_over = F.least(F.col("size") - F.col("at"), F.col("size_2") - F.col("at_2"))
-    met = shorter.join(
-        longer,
-        (shorter["cluster"] == longer["cluster"])
-        & (shorter["token"] == longer["token"])
-        & ~(F.col("close") & F.col("close_2"))
-        & ((F.col("size") < F.col("size_2")) | ((F.col("size") == F.col("size_2")) & (F.col("key") < F.col("key_2"))))
-        & (2 * far * left_over >= far * (F.col("size") + F.col("size_2")) - near * (F.col("n") + F.col("n_2"))),
-    )
-    met = written(met.select(F.col("key").alias("a"), F.col("key_2").alias("b")).distinct())
-    deltas = ranked.select("key", "n", "delta")
-    for side in ("a", "b"):
-        met = met.join(deltas.toDF(side, f"n_{side}", f"delta_{side}"), side)
-    shared = F.size(F.array_intersect("delta_a", "delta_b"))
-    apart_by = F.size("delta_a") + F.size("delta_b") - 2 * shared
-    linked = met.filter(far * apart_by <= near * (F.col("n_a") + F.col("n_b")))
-    return written(with_centre.unionAll(linked.select("a", "b")))
-
-
-def _sized(n: Column, m: Column, percent: int) -> Column:
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    certain = apart.filter(F.col("close") & (F.col("key") != F.col("centre"))).select(F.col("key").alias("a"), F.col("centre").alias("b"))
+    return certain.unionAll(delta_pairs(apart.drop("centre", "least", "excess"), percent, F.col("close") & F.col("close_2"), "close"))
 
 
 def _whole_sets(pairs: DataFrame, own: DataFrame, classes: DataFrame, width: int) -> DataFrame:

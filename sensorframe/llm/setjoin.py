@@ -35,18 +35,103 @@ def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(values)))
 
 
-def postings(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What prefix tokens are shared, from ``sets`` (key, prefix array): a saved table of (a, b), one row for each
-    token that exactly two rows have, of different keys; and one of (token, key) for tokens of more rows and more
-    than one key, without repeats. Tokens are summed up before the shuffle; only those that more than two rows share
-    are looked up again."""
-    tokens = sets.select(F.explode("prefix").alias("token"), "key")
-    summed = tokens.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count(F.lit(1)).alias("n"))
-    shared = written(summed.filter("a <> b"))
-    pairs = shared.filter("n = 2").select("a", "b")
-    more = small(written(shared.filter("n > 2").select("token")), 1_000_000)
-    many = written(tokens.join(more, "token", "left_semi").distinct())
-    return pairs, many
+def postings(sets: DataFrame) -> DataFrame:
+    """The prefix tokens that two keys or more share, from ``sets`` (key, prefix array): a saved table of token, key
+    and at, the token's place in the prefix, without repeats. Tokens are summed up before they are shuffled, and only
+    those that turn out to be shared are looked up again."""
+    tokens = sets.select("key", F.posexplode("prefix").alias("at", "token"))
+    summed = tokens.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    shared = small(written(summed.filter("a <> b").select("token")), 1_000_000)
+    return written(tokens.join(shared, "token", "left_semi").distinct())
+
+
+def star_pairs(many: DataFrame, more_than: int) -> DataFrame:
+    """A saved table of (a, b): each key of a token that more than so many keys share, with the star of those tokens
+    that it shares most of them with. A token's star is its key of the least hash, so similar sets have few."""
+    groups = many.groupBy("token").agg(F.count(F.lit(1)).alias("keys"), F.min_by("key", F.xxhash64("key")).alias("star"))
+    stars = small(written(groups.filter(f"keys > {more_than}").select("token", "star")))
+    tried = many.join(stars, "token").filter(F.col("key") != F.col("star"))
+    each = tried.groupBy("key", "star").agg(F.count(F.lit(1)).alias("shared"))
+    best = each.groupBy("key").agg(F.max_by("star", F.struct("shared", "star")).alias("star"))
+    return written(best.select(F.col("key").alias("a"), F.col("star").alias("b")))
+
+
+def deltas(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` (key, set, cluster) as (cluster, key, n, delta, excess): what sets a set apart from the tokens that
+    most of its cluster has. The symmetric difference of two sets is that of their deltas, so two sets whose excesses
+    sum up to 0 at most are similar for certain."""
+    near, far = 100 - percent, 100 + percent
+    uses = members.select("cluster", F.explode("set").alias("token")).groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("uses"))
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    # There are at most twice as many such tokens as a member has on average.
+    roots = uses.join(sizes, "cluster").filter("2 * uses > members").groupBy("cluster").agg(F.collect_list("token").alias("root"))
+    root = F.coalesce("root", F.expr("cast(array() as array<bigint>)"))
+    apart = members.join(written(roots), "cluster", "left").select(
+        "cluster", "key", F.size("set").alias("n"), F.array_union(F.array_except("set", root), F.array_except(root, "set")).alias("delta")
+    )
+    return written(apart.withColumn("excess", far * F.size("delta") - near * F.col("n")))
+
+
+def delta_pairs(apart: DataFrame, percent: int, skip: Column, *carried: str) -> DataFrame:
+    """Similar pairs (a, b) within clusters, of ``apart`` (see ``deltas``) with ``carried`` columns, except those that
+    are so for certain without a common token in their deltas and those that meet ``skip``, a condition on the
+    carried columns and, by name with _2, those of the partner.
+
+    A pair's first common token, by rarity within the cluster, is among the first t / 2 + 1 tokens of the shorter
+    delta and the first t + 1 of the longer one, where t bounds the difference; and what follows it must suffice. So
+    a large group of near copies is joined by its members' own changes, and not by what all of them have in common."""
+    near, far = 100 - percent, 100 + percent
+    tokens = apart.select("cluster", "key", F.explode("delta").alias("token"))
+    rarity = tokens.groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("uses"))
+    ranked = tokens.join(rarity.filter("uses > 1"), ["cluster", "token"], "left").groupBy("key").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("uses", F.lit(1)).alias("uses"), "token"))).alias("delta")
+    )
+    ranked = apart.drop("delta").join(ranked, "key").withColumn("most", F.floor(F.col("n") * near / percent).cast("int"))
+    ranked = written(ranked.withColumn("delta", F.transform("delta", lambda d: d.token)).withColumn("size", F.size("delta")))
+    heads = ranked.select("cluster", "key", "n", "size", "most", *carried, F.posexplode(F.slice("delta", 1, F.col("most") + 1)).alias("at", "token"))
+    shorter = heads.filter("at <= most div 2")
+    longer = heads.select("cluster", "token", *[F.col(c).alias(f"{c}_2") for c in ("key", "n", "size", "at", *carried)])
+    left_over = F.least(F.col("size") - F.col("at"), F.col("size_2") - F.col("at_2"))
+    met = shorter.join(
+        longer,
+        (shorter["cluster"] == longer["cluster"])
+        & (shorter["token"] == longer["token"])
+        & ~skip
+        & ((F.col("size") < F.col("size_2")) | ((F.col("size") == F.col("size_2")) & (F.col("key") < F.col("key_2"))))
+        & (2 * far * left_over >= far * (F.col("size") + F.col("size_2")) - near * (F.col("n") + F.col("n_2"))),
+    )
+    met = written(met.select(F.col("key").alias("a"), F.col("key_2").alias("b")).distinct())
+    known = ranked.select("key", "n", "delta")
+    for side in ("a", "b"):
+        met = met.join(known.toDF(side, f"n_{side}", f"delta_{side}"), side)
+    apart_by = F.size("delta_a") + F.size("delta_b") - 2 * F.size(F.array_intersect("delta_a", "delta_b"))
+    return met.filter(far * apart_by <= near * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def cross_pairs(many: DataFrame, percent: int, skip: Column, *carried: str) -> DataFrame:
+    """Candidates (a, b, shared) of different clusters that share prefix tokens, from ``many`` (token, key, at, n,
+    cluster) with ``carried`` columns: by length, by what can follow their first common token, and not meeting
+    ``skip`` (as in ``delta_pairs``). ``shared`` counts the tokens whose place lets them be the first one at least.
+    A token's largest cluster is paired with the others' keys only, never with itself."""
+    sizes = many.groupBy("token", "cluster").agg(F.count(F.lit(1)).alias("keys"))
+    major = sizes.groupBy("token").agg(F.max_by("cluster", F.struct("keys", "cluster")).alias("major"), F.count(F.lit(1)).alias("clusters"))
+    major = small(written(major.filter("clusters > 1").select("token", "major")))
+    open_ = many.join(major, "token")
+    right = open_.select("token", *[F.col(c).alias(f"{c}_2") for c in ("key", "at", "n", "cluster", *carried)])
+    met = open_.filter("cluster <> major").join(
+        right,
+        (open_["token"] == right["token"])
+        & (F.col("cluster") != F.col("cluster_2"))
+        & ((F.col("cluster_2") == F.col("major")) | (F.col("key") < F.col("key_2")))
+        & ~skip
+        & (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")),
+    )
+    follows = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2"))
+    first = (100 + percent) * follows >= percent * (F.col("n") + F.col("n_2"))
+    pairs = met.groupBy(F.least("key", "key_2").alias("a"), F.greatest("key", "key_2").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.max(first).alias("first")
+    )
+    return pairs.filter("first").select("a", "b", "shared")
 
 
 def similar(a: Column, b: Column, percent: int) -> Column:
