@@ -163,8 +163,7 @@ def _whole_sets(pairs: DataFrame, own: DataFrame, classes: DataFrame, width: int
                 yield pa.record_batch([batch.column(0).slice(begin, end - begin), list_array(values, n)], names=["key", "set"])
 
     texts = own.join(wanted, own["doc_id"].eqNullSafe(wanted["own_id"]) & (F.xxhash64("text") == wanted["own_key"]))
-    # A text that repeats under its doc_id gives its set more than once.
-    return written(texts.select("key", "text").mapInArrow(whole, "key long, set array<long>").dropDuplicates(["key"]))
+    return written(texts.select("key", "text").mapInArrow(whole, "key long, set array<long>"))
 
 
 def _named(sets: DataFrame, classes: DataFrame, links: DataFrame | None) -> DataFrame:

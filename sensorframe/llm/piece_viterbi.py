@@ -18,8 +18,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 #: Stands for a SPACE sign that is in the text itself; no valid text holds a lone surrogate.
 _LITERAL = "\udc81"
-#: Segments up to this length are remembered, up to so many for each worker.
-MEMO_CHARS, MEMO_SIZE = 48, 400_000
+#: Segments up to this length are remembered in each worker, in two generations of up to so many: when the younger
+#: is full it takes the place of the elder.
+MEMO_CHARS, MEMO_SIZE = 48, 500_000
 
 
 _READY: dict[int, dict] = {}
@@ -66,18 +67,26 @@ class Vocabulary:
                 self._ready = _READY[key]
                 return self._ready
             table = {p: (s, i) for i, (p, s, ok) in enumerate(zip(self.pieces, self.scores, self.plain)) if ok}
-            # Every piece and, with nothing, every start of one.
-            trie = {p[:k]: () for p in table for k in range(1, len(p))} | table
+            trie: dict = {}  # character -> (the same for the next one, score, id or -1)
+            for p, (score, i) in sorted(table.items(), key=lambda item: len(item[0])):
+                node = trie
+                for char in p[:-1]:
+                    node = node.setdefault(char, ({}, 0.0, -1))[0]
+                node[p[-1]] = ({}, score, i) if p[-1] not in node else (node[p[-1]][0], score, i)
             # Between these two characters no piece runs on, so every path has a boundary there.
             joined = {p[k : k + 2] for p in table for k in range(len(p) - 1)}
-            apart = not any(pair[1] == SPACE and pair[0] != SPACE for pair in joined)
-            alone = "".join(c for c in "\n\t\r" if not any(c in pair for pair in joined))
-            space = SPACE if apart else ""
-            split = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[{alone}]|[^{SPACE}{alone}]+" if apart and alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if apart else r"[\s\S]+")
+            # If none runs from any character into a space, or between letters and others, words are segments.
+            apart = not any(b == SPACE and a != SPACE for a, b in joined)
+            signs = "".join(sorted({c for pair in joined for c in pair if re.match(r"[^\W\d_]", c) and not c.isalpha()}))
+            letter = rf"[^\W\d_{signs}]"
+            is_letter = re.compile(letter).match
+            by_kind = apart and not any(a != SPACE and bool(is_letter(a)) != bool(is_letter(b)) for a, b in joined)
+            other = rf"(?:(?!{SPACE})[\W\d_{signs}])"
+            split = re.compile(rf"{SPACE}*{letter}+|{SPACE}+{other}*|{other}+" if by_kind else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if apart else r"[\s\S]+")
             of_byte = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
             back = [of_byte.get(i, p.replace(SPACE, " ").encode() if ok else b"") for i, (p, ok) in enumerate(zip(self.pieces, self.plain))]
             self._ready = {
-                "table": table, "trie": trie, "split": split, "space": space, "back": back, "memo": {},
+                "table": table, "trie": trie, "split": split, "joined": joined, "back": back, "memo": {}, "elder": {},
                 "longest": max(map(len, table), default=1),
                 "unknown": min((s for s, _ in table.values()), default=0.0) - UNKNOWN_PENALTY,
             }
@@ -97,11 +106,13 @@ class Vocabulary:
         wins."""
         ready = self.ready()
         trie, unknown, longest = ready["trie"], ready["unknown"], ready["longest"]
-        get, n, none = trie.get, len(text), float("-inf")
+        n, none = len(text), float("-inf")
         out: list[int] = []
         # Of boundary base + k: the best score, the boundary before it and the id between (-1: an unknown character).
         base, reach, check = 0, 0, 4 * longest
-        best, before, piece = [0.0], [0], [-1]
+        room = min(n, 2 * longest) + 1
+        best, before, piece = [none] * room, [0] * room, [-1] * room
+        best[0] = 0.0
 
         def commit(to: int) -> None:
             nonlocal base
@@ -114,15 +125,16 @@ class Vocabulary:
                     out.append(piece[k])
                 else:
                     out.extend(self._bytes(text[before[k]]))
-            del best[: to - base], before[: to - base], piece[: to - base]
-            base = to
+            if to < n:
+                del best[: to - base], before[: to - base], piece[: to - base]
+                base = to
 
         for i in range(n):
             if i == reach:
                 if i > base:
                     commit(i)
             elif i - base >= check:
-                live = {k for k in range(i, base + len(best)) if best[k - base] > none}
+                live = {k for k in range(i, min(n, base + len(best) - 1) + 1) if best[k - base] > none}
                 while len(live) > 1:
                     at = max(live)
                     live.discard(at)
@@ -131,29 +143,35 @@ class Vocabulary:
                 if at > base:
                     commit(at)
                 check = max(4 * longest, i - base + longest)
-            score = best[i - base]
+            k = i - base
+            score = best[k]
             if score == none:
                 continue
-            if len(best) <= i + longest - base:
-                more = i + longest + 1 - base - len(best)
-                best += [none] * more
-                before += [0] * more
-                piece += [-1] * more
-            for j in range(i + 1, min(n, i + longest) + 1):
-                hit = get(text[i:j])
-                if hit is None:
+            if len(best) <= k + longest:
+                more = [none] * (2 * longest)
+                best += more
+                before += more
+                piece += more
+            node, alone = trie, False
+            for char in text[i : i + longest]:
+                k += 1
+                entry = node.get(char)
+                if entry is None:
                     break
-                if hit:
-                    if score + hit[0] > best[j - base]:
-                        best[j - base], before[j - base], piece[j - base] = score + hit[0], i, hit[1]
-                    if j > reach:
-                        reach = j
-            if not get(text[i]):
-                if score + unknown > best[i + 1 - base]:
-                    best[i + 1 - base], before[i + 1 - base], piece[i + 1 - base] = score + unknown, i, -1
-                reach = max(reach, i + 1)
-        if n > base:
-            commit(n)
+                node, gain, found = entry
+                if found >= 0:
+                    alone = alone or k == i + 1 - base
+                    if score + gain > best[k]:
+                        best[k], before[k], piece[k] = score + gain, i, found
+                    if k + base > reach:
+                        reach = k + base
+            if not alone:
+                k = i + 1 - base
+                if score + unknown > best[k]:
+                    best[k], before[k], piece[k] = score + unknown, i, -1
+                if i >= reach:
+                    reach = i + 1
+        commit(n)
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -164,23 +182,40 @@ class Vocabulary:
         if SPACE in text:
             text = text.replace(SPACE, _LITERAL)
         text = SPACE + text.replace(" ", SPACE)
-        memo, out = ready["memo"], []
-        extend, get = out.extend, memo.get
+        out: list[int] = []
+        get, extend, found = ready["memo"].get, out.extend, self._found
         for segment in ready["split"].findall(text):
             ids = get(segment)
             if ids is None:
-                ids = self.search(segment)
-                if len(segment) <= MEMO_CHARS:
-                    if len(memo) >= MEMO_SIZE:
-                        memo.clear()
-                    memo[segment] = ids
+                ids = found(segment)
+                get = ready["memo"].get
             extend(ids)
         return out
 
+    def _found(self, segment: str) -> list[int]:
+        """The ids of a segment that is not remembered, put together from its parts where no piece can run on."""
+        ready = self.ready()
+        ids = ready["elder"].get(segment)
+        if ids is None:
+            joined = ready["joined"]
+            cuts = [k for k in range(1, len(segment)) if segment[k - 1 : k + 1] not in joined]
+            if not cuts:
+                ids = self.search(segment)
+            else:
+                ids, get = [], ready["memo"].get
+                for a, b in zip([0, *cuts], [*cuts, len(segment)]):
+                    part = segment[a:b]
+                    ids += get(part) or self._found(part)
+        if len(segment) <= MEMO_CHARS:
+            if len(ready["memo"]) >= MEMO_SIZE:
+                ready["elder"], ready["memo"] = ready["memo"], {}
+            ready["memo"][segment] = ids
+        return ids
+
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``, without the space that encoding puts in front."""
         back = self.ready()["back"]
-        return b"".join([back[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return b"".join(map(back.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 def encode_texts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -209,7 +244,7 @@ def decode_ids(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for batch in batches:
             for begin in range(0, batch.num_rows, 200):
                 part = batch.slice(begin, 200)
-                texts = [vocabulary.decode(ids.values.to_pylist() if ids.is_valid else []) for ids in part.column(2)]
+                texts = [vocabulary.decode(ids.values.to_numpy().tolist() if ids.is_valid else []) for ids in part.column(2)]
                 yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
 
     return bare(encoded, "doc_id", "n_tokens", "ids").mapInArrow(decode, "doc_id long, n_tokens long, ids array<int>, text string")

@@ -10,12 +10,17 @@ from sensorframe.llm.chat_format import format_chats, read_back
 from sensorframe.llm.common import bare, table
 from sensorframe.llm.exact_dedup import exact_dedup
 from sensorframe.llm.html_extract import extract_pages
+from sensorframe.llm.line_dedup import dedup_report
 from sensorframe.llm.ngram_join import ngram_join
 from sensorframe.llm.piece_viterbi import round_trip
 from sensorframe.llm.quality_rules import quality_rules
 from sensorframe.llm.secret_scan import secret_scan
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -47,6 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_html_extract": op2_html_extract,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat_format": op4_chat_format,
@@ -57,6 +63,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS no FROM d),
+w AS (SELECT doc_id, no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM l),
+s AS (
+  SELECT DISTINCT doc_id, no, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS token FROM w),
+n AS (SELECT doc_id, no, count(*) AS n FROM s GROUP BY ALL),
+pairs AS (
+  SELECT a.doc_id AS da, a.no AS na, b.doc_id AS db, b.no AS nb, count(*) AS shared FROM s a JOIN s b ON a.token = b.token
+    AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.no < b.no)) GROUP BY ALL),
+late AS (
+  SELECT DISTINCT db AS doc_id, nb AS no FROM pairs JOIN n x ON x.doc_id = da AND x.no = na JOIN n y ON y.doc_id = db AND y.no = nb
+  WHERE 100 * shared >= 80 * (x.n + y.n - shared))
+SELECT l.doc_id, count(*) AS n_lines, count(late.no) AS n_removed,
+  coalesce(string_agg(CASE WHEN late.no IS NULL THEN line END, chr(10) ORDER BY l.no), '') AS text
+FROM l LEFT JOIN late ON late.doc_id = l.doc_id AND late.no = l.no GROUP BY l.doc_id""",
     "op5_ngram_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -61,6 +61,7 @@ def deltas(members: DataFrame, percent: int) -> DataFrame:
     most of its cluster has. The symmetric difference of two sets is that of their deltas, so two sets whose excesses
     sum up to 0 at most are similar for certain."""
     near, far = 100 - percent, 100 + percent
+    members = members.dropDuplicates(["key"])  # a text that repeats under its doc_id brings its sets again
     uses = members.select("cluster", F.explode("set").alias("token")).groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("uses"))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
     # There are at most twice as many such tokens as a member has on average.
