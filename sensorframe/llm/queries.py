@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sensorframe.llm.best_fit import pack_documents
 from sensorframe.llm.chat_format import format_chats, read_back
 from sensorframe.llm.common import bare, table
 from sensorframe.llm.exact_dedup import exact_dedup
 from sensorframe.llm.html_extract import extract_pages
+from sensorframe.llm.importance import importance_resample
 from sensorframe.llm.line_dedup import dedup_report
 from sensorframe.llm.ngram_join import ngram_join
 from sensorframe.llm.piece_viterbi import round_trip
@@ -43,6 +45,14 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_ngram_join": op5_ngram_join,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_best_fit": op7_best_fit,
+    "op8_importance": op8_importance,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }
