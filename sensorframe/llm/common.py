@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.session import locate, written
 
-__all__ = ["table", "written", "small", "bare", "text_or_empty", "bucket_counts", "levels", "BROADCAST_ROWS"]
+__all__ = ["table", "written", "small", "bare", "Held", "text_or_empty", "bucket_counts", "levels", "BROADCAST_ROWS"]
 
 #: A side is broadcast only when this many narrow rows (keys of a few dozen bytes) were counted at most.
 BROADCAST_ROWS = 400_000
@@ -27,9 +27,28 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df.hint("shuffle_hash")
 
 
+class Held:
+    """A frame under positional names, so that no name of its columns can clash with an operator's own."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.names = df.columns
+        self.own = [f"own_{i}" for i in range(len(self.names))]
+        self.df = df.toDF(*self.own)
+
+    def name(self, column: str) -> str:
+        """The positional name of the first column of exactly this name."""
+        return self.own[self.names.index(column)]
+
+    def named(self, df: DataFrame, **changed: Column) -> DataFrame:
+        """``df``, which still has the positional columns, under their old names, with some of them changed."""
+        new = [changed.get(c, F.col(own)) for c, own in zip(self.names, self.own)]
+        return df.select(*[value.alias(c) for c, value in zip(self.names, new)])
+
+
 def bare(df: DataFrame, *columns: str) -> DataFrame:
-    """Only ``columns``: other columns of the input can't clash with an operator's own names."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+    """Only ``columns``, whatever else there is."""
+    held = Held(df)
+    return held.df.select(*[F.col(held.name(c)).alias(c) for c in columns])
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorframe.llm.common import bare, bucket_counts, levels, small, text_or_empty, written
+from sensorframe.llm.common import Held, bare, bucket_counts, levels, small, text_or_empty, written
 from sensorframe.llm.graph import components
-from sensorframe.llm.setjoin import cross_pairs, delta_pairs, deltas, list_array, postings, ranges, set_keys, signed, star_pairs, verified
+from sensorframe.llm.setjoin import beside, cross_pairs, delta_pairs, deltas, list_array, postings, ranges, set_keys, signed, star_pairs, verified
 from sensorframe.llm.tokens import distinct, pieces, raw, shingles, split, texts_of
 
 #: As in the n-gram join: what makes a token common, and a cluster.
-STAR, CLUSTER = 6, 50
+STAR, CLUSTER = 16, 50
 
 
 def line_sets(column: pa.Array, width: int, rank: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -80,15 +80,15 @@ def matched_lines(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[D
 
 def _late(own: DataFrame, lines: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame | None:
     """The keys of classes that are similar to one whose first line comes earlier; a saved table, or None."""
-    many = postings(lines.select("key", "prefix"))
     ranked = classes.select("key", "place", "n")
+    many = written(postings(lines.select("key", "prefix")).join(ranked, "key").withColumn("matches", F.lit(1)))
     clusters, late = None, []
     best = star_pairs(many, STAR)
     if not best.isEmpty():
         whole = _whole_lines(best, own, classes, width)
         near = written(verified(best, whole, CLUSTER))
         if not near.isEmpty():
-            clusters = written(components(near)).toDF("key", "cluster")
+            clusters = small(components(near).toDF("key", "cluster"))
             apart = written(deltas(whole.join(clusters, "key"), percent).join(classes.select("key", "place"), "key"))
             # Similar for certain, if the excesses sum up to 0 at most: by the first place of each excess.
             firsts = apart.groupBy("cluster", "excess").agg(F.min("place").alias("place"))
@@ -103,17 +103,17 @@ def _late(own: DataFrame, lines: DataFrame, classes: DataFrame, width: int, perc
             known = F.when(F.col("place") < F.col("place_2"), F.col("sure_2")).otherwise(F.col("sure"))
             late.append(_later(delta_pairs(apart, percent, known, "place", "sure"), ranked))
 
-    rows = many.join(ranked, "key")
+    rows = many
     if clusters is not None:
         rows = rows.join(clusters, "key", "left").withColumn("cluster", F.coalesce("cluster", "key"))
     else:
         rows = rows.withColumn("cluster", F.col("key"))
     if late:
-        rows = rows.join(late[0].withColumn("sure", F.lit(True)), "key", "left").withColumn("sure", F.coalesce("sure", F.lit(False)))
+        rows = rows.join(small(late[0]).withColumn("sure", F.lit(True)), "key", "left").withColumn("sure", F.coalesce("sure", F.lit(False)))
     else:
         rows = rows.withColumn("sure", F.lit(False))
     known = F.when(F.col("place") < F.col("place_2"), F.col("sure_2")).otherwise(F.col("sure"))
-    candidates = written(cross_pairs(written(rows), percent, known, "place", "sure").select("a", "b"))
+    candidates = written(cross_pairs(written(rows), percent, known, "place", "sure"))
     if not candidates.isEmpty():
         late.append(_later(verified(candidates, _whole_lines(candidates, own, classes, width), percent), ranked))
     if not late:
@@ -126,14 +126,13 @@ def _late(own: DataFrame, lines: DataFrame, classes: DataFrame, width: int, perc
 
 def _later(pairs: DataFrame, ranked: DataFrame) -> DataFrame:
     """Of each pair the key whose first line comes later."""
-    for side in ("a", "b"):
-        pairs = pairs.join(ranked.select(F.col("key").alias(side), F.col("place").alias(f"place_{side}")), side)
-    return written(pairs.select(F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a")).alias("key")).distinct())
+    both = beside(written(pairs), ranked.select("key", "place"))
+    return written(both.select(F.when(F.col("left.place") < F.col("right.place"), F.col("b")).otherwise(F.col("a")).alias("key")).distinct())
 
 
 def _whole_lines(pairs: DataFrame, own: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """(key, set) of the classes in the saved ``pairs`` (a, b), from the texts of their first lines."""
-    keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
+    keys = small(written(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()))
     places = classes.join(keys, "key").select(F.col("place.doc_id").alias("own_id"), F.col("place.text_key").alias("own_key"), F.col("place.line").alias("line"))
     wanted = small(written(places.groupBy("own_id", "own_key").agg(F.collect_set("line").alias("wanted"))))
 
@@ -164,29 +163,28 @@ def remove_lines(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     of their text; exact repeats of a row are in one place, so they lose the same lines. An empty table gives an
     empty result. Columns are told apart by position, so names that clash with the operator's own do no harm.
     """
-    marked, names, new = _marked(docs, width, percent)
-    return marked.select(*[(new if c == "text" else F.col(held)).alias(c) for c, held in names.items()])
+    held, marked, new = _marked(docs, width, percent)
+    return held.named(marked, text=new)
 
 
-def _marked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, dict[str, str], Column]:
-    """``docs`` under other names, with ``gone_lines``; the names by the old ones; and the text that is left."""
+def _marked(docs: DataFrame, width: int, percent: int) -> tuple[Held, DataFrame, Column]:
+    """``docs`` held, the same with ``gone_lines``, and the text that is left."""
     _, gone = matched_lines(docs, width, percent)
-    names = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
-    held = docs.toDF(*names.values())
-    text, doc_id = F.col(names["text"]), F.col(names["doc_id"])
+    held = Held(docs)
+    text, doc_id = F.col(held.name("text")), F.col(held.name("doc_id"))
     gone = small(gone).toDF("gone_id", "gone_key", "gone_lines")
-    joined = held.join(gone, doc_id.eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("gone_key")), "left")
+    joined = held.df.join(gone, doc_id.eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("gone_key")), "left")
     kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("gone_lines", i))
-    return joined, names, F.when(F.col("gone_lines").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return held, joined, F.when(F.col("gone_lines").isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
 def dedup_report(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, text (see ``remove_lines``; null counts as empty)."""
     own = bare(docs, "doc_id", "text").withColumn("text", text_or_empty())
-    marked, names, new = _marked(own, width, percent)
+    held, marked, new = _marked(own, width, percent)
     return marked.select(
-        F.col(names["doc_id"]).alias("doc_id"),
-        F.size(F.split(names["text"], "\n", -1)).cast("long").alias("n_lines"),
+        F.col(held.name("doc_id")).alias("doc_id"),
+        F.size(F.split(held.name("text"), "\n", -1)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("n_removed"),
         new.alias("text"),
     )

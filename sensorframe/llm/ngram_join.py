@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.llm.common import BUCKET_BITS, bare, bucket_counts, levels, small, text_or_empty, written
+from sensorframe.llm.common import BUCKET_BITS, Held, bare, bucket_counts, levels, small, text_or_empty, written
 from sensorframe.llm.graph import components
 from sensorframe.llm.setjoin import cross_pairs, delta_pairs, deltas, list_array, postings, ranges, set_keys, signed, star_pairs, verified
 from sensorframe.llm.tokens import distinct, shingles, texts_of, words_of
@@ -19,7 +19,7 @@ from sensorframe.llm.tokens import distinct, shingles, texts_of, words_of
 MOST_MATCHES, RARE = 8, 0.2
 #: Keys that share a token with more than STAR keys are first compared with one of them; those that are similar by
 #: CLUSTER percent make clusters, within which links are found by what members do not have in common.
-STAR, CLUSTER = 6, 50
+STAR, CLUSTER = 16, 50
 
 
 def _sets(batch: pa.RecordBatch, column: int, width: int, rank: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -71,6 +71,43 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     component. A null doc_id links as any other but never names a component, unless all rows of it have none.
     Repeated rows are copies. An empty table gives an empty result. Other columns are not read.
     """
+    sets, named = _joined(docs, width, percent)
+    joined = sets.select("doc_id", "n", "key").join(small(named).withColumn("found", F.lit(True)), "key", "left")
+    return joined.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("found"), F.col("low")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
+    )
+
+
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the near duplicates that ``ngram_join`` finds: of each component the row of the smallest doc_id
+    stays (nulls last; of several texts under it, that of the smallest hash), with all its columns, whatever their
+    names. Rows without words all stay."""
+    sets, named = _joined(docs, width, percent)
+    order = F.struct(F.col("low").isNull(), "low", "text_key", "key")
+    first = named.groupBy("component").agg(F.min_by("key", order).alias("key")).select("key", F.lit(True).alias("first"))
+    several = written(named.join(first, "key", "left").select("key", "low", "text_key", "first"))
+    rows = sets.filter("n > 0").select("doc_id", F.col("text_key").alias("own_key"), "key").join(small(several), "key")
+    stays = F.coalesce("first", F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("own_key") == F.col("text_key"))
+    found = rows.groupBy(F.col("doc_id").alias("gone_id"), F.col("own_key").alias("gone_key")).agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    found = written(found.filter("not stays or rows > 1"))
+
+    held = Held(docs)
+    text, doc_id = F.col(held.name("text")), F.col(held.name("doc_id"))
+    same = doc_id.eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("gone_key"))
+    left = held.df.join(small(found), same, "left_anti")
+    repeated = found.filter("stays")
+    if not repeated.isEmpty():  # rows that repeat the one that stays
+        left = left.unionByName(held.df.join(small(repeated), same).dropDuplicates(["gone_id", "gone_key"]).select(*held.own))
+    return held.named(left)
+
+
+def _joined(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sets, named): saved tables of each row's set (doc_id, text_key, n, key, ...), and of the classes that have
+    several rows or a link (key, low, text_key, n_copies, component, component_id)."""
     own = bare(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
     counts = bucket_counts(own.select("text"), lambda batch: (v for _, _, v, _ in _sets(batch, 0, width)))
     rank = levels(counts)
@@ -106,54 +143,51 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
             F.min_by("text_key", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("text_key"),
         )
     )
-    links = _links(own, sets, classes, width, percent)
-    return _named(sets, classes, links)
+    return sets, _named(classes, _links(own, sets, classes, width, percent))
 
 
 def _links(own: DataFrame, sets: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame | None:
     """(node, component) of the classes that link with another one; None if none do."""
     many = postings(sets.select("key", "prefix"))
+    many = written(many.join(classes.select("key", "n", "matches"), "key"))
     labels, clusters = None, None
     best = star_pairs(many, STAR)
     if not best.isEmpty():
         whole = _whole_sets(best, own, classes, width)
         near = written(verified(best, whole, CLUSTER))
         if not near.isEmpty():
-            clusters = written(components(near))
-            apart = deltas(whole.join(clusters.toDF("key", "cluster"), "key"), percent)
+            clusters = components(near)
+            apart = deltas(whole.join(small(clusters.toDF("key", "cluster")), "key"), percent)
             found = written(_cluster_links(apart, percent))
             if not found.isEmpty():
-                labels = written(components(found))
+                labels = components(found)
 
-    rows = many.join(classes.select("key", "n", "matches"), "key")
+    rows = many
     for known, name in ((clusters, "cluster"), (labels, "component")):
         if known is None:
             rows = rows.withColumn(name, F.col("key"))
         else:  # keys that are in none stand for themselves
-            rows = rows.join(known.toDF("known", name), F.col("key") == F.col("known"), "left").withColumn(name, F.coalesce(name, "key")).drop("known")
+            rows = rows.join(small(known.toDF("known", name)), F.col("key") == F.col("known"), "left").withColumn(name, F.coalesce(name, "key")).drop("known")
     rows = written(rows)
-    asked = classes.select("key", "matches")
-    candidates = cross_pairs(rows, percent, F.col("component") == F.col("component_2"), "component")
-    candidates = candidates.join(asked.toDF("a", "m_a"), "a").join(asked.toDF("b", "m_b"), "b").filter(F.col("shared") >= F.least("m_a", "m_b"))
-    candidates = written(candidates.select("a", "b"))
+    candidates = written(cross_pairs(rows, percent, F.col("component") == F.col("component_2"), "component"))
     links = written(verified(candidates, _whole_sets(candidates, own, classes, width), percent))
     if labels is not None:
         links = links.unionAll(labels.toDF("a", "b"))
-    return None if links.isEmpty() else written(components(links))
+    return None if links.isEmpty() else components(links)
 
 
 def _cluster_links(apart: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect what links within each cluster connect. Sets that are similar to another one for
     certain are so to the member of the least excess; of these, no more pairs are formed."""
     centres = apart.groupBy("cluster").agg(F.min_by("key", F.struct("excess", "key")).alias("centre"), F.min("excess").alias("least"))
-    apart = written(apart.join(centres, "cluster").withColumn("close", F.col("excess") + F.col("least") <= 0))
+    apart = written(apart.join(small(written(centres)), "cluster").withColumn("close", F.col("excess") + F.col("least") <= 0))
     certain = apart.filter(F.col("close") & (F.col("key") != F.col("centre"))).select(F.col("key").alias("a"), F.col("centre").alias("b"))
     return certain.unionAll(delta_pairs(apart.drop("centre", "least", "excess"), percent, F.col("close") & F.col("close_2"), "close"))
 
 
 def _whole_sets(pairs: DataFrame, own: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """(key, set) of the classes in the saved ``pairs`` (a, b). Only one text of each is read again."""
-    keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
+    keys = small(written(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()))
     wanted = small(written(classes.join(keys, "key").select("key", F.col("low").alias("own_id"), F.col("text_key").alias("own_key"))))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,21 +200,12 @@ def _whole_sets(pairs: DataFrame, own: DataFrame, classes: DataFrame, width: int
     return written(texts.select("key", "text").mapInArrow(whole, "key long, set array<long>"))
 
 
-def _named(sets: DataFrame, classes: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is not None:
-        linked = classes.join(links, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
-        lows = linked.filter("node is not null").groupBy("component").agg(F.min("low").alias("least"))
-        linked = linked.join(lows, "component", "left").withColumn("component_id", F.when(F.col("node").isNotNull(), F.col("least")).otherwise(F.col("low")))
-        linked = linked.filter("node is not null or n_copies > 1")
+def _named(classes: DataFrame, links: DataFrame | None) -> DataFrame:
+    if links is None:
+        linked = classes.filter("n_copies > 1").withColumns({"component": F.col("key"), "component_id": F.col("low")})
     else:
-        linked = classes.filter("n_copies > 1").withColumn("component_id", F.col("low"))
-    named = small(written(linked.select("key", "component_id", "low", "n_copies")))
-    own = F.col("component_id")
-    joined = sets.select("doc_id", "n", "key").join(named.withColumn("found", F.lit(True)), "key", "left")
-    return joined.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("found"), own).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("found"), F.col("low")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
-    )
+        linked = classes.join(small(links), F.col("key") == F.col("node"), "left").filter("node is not null or n_copies > 1")
+        linked = linked.withColumn("component", F.coalesce("component", "key"))
+        lows = written(linked.groupBy("component").agg(F.min("low").alias("component_id")))
+        linked = linked.join(small(lows), "component")
+    return written(linked.select("key", "low", "text_key", "n_copies", "component", "component_id"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.llm.common import small, written
+from sensorframe.llm.common import BROADCAST_ROWS, small, written
 from sensorframe.llm.tokens import mix
 
 
@@ -47,11 +47,12 @@ def postings(sets: DataFrame) -> DataFrame:
 
 def star_pairs(many: DataFrame, more_than: int) -> DataFrame:
     """A saved table of (a, b): each key of a token that more than so many keys share, with the star of those tokens
-    that it shares most of them with. A token's star is its key of the least hash, so similar sets have few."""
+    that it shares most of them with, if these are as many as its ``matches``. A token's star is its key of the least
+    hash, so similar sets have few."""
     groups = many.groupBy("token").agg(F.count(F.lit(1)).alias("keys"), F.min_by("key", F.xxhash64("key")).alias("star"))
     stars = small(written(groups.filter(f"keys > {more_than}").select("token", "star")))
-    tried = many.join(stars, "token").filter(F.col("key") != F.col("star"))
-    each = tried.groupBy("key", "star").agg(F.count(F.lit(1)).alias("shared"))
+    tried = many.join(stars, "token").filter(F.col("key") != F.col("star")).repartition("key")  # for both groupings
+    each = tried.groupBy("key", "star").agg(F.count(F.lit(1)).alias("shared"), F.max("matches").alias("matches")).filter("shared >= matches")
     best = each.groupBy("key").agg(F.max_by("star", F.struct("shared", "star")).alias("star"))
     return written(best.select(F.col("key").alias("a"), F.col("star").alias("b")))
 
@@ -63,7 +64,7 @@ def deltas(members: DataFrame, percent: int) -> DataFrame:
     near, far = 100 - percent, 100 + percent
     members = members.dropDuplicates(["key"])  # a text that repeats under its doc_id brings its sets again
     uses = members.select("cluster", F.explode("set").alias("token")).groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("uses"))
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    sizes = small(written(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))))
     # There are at most twice as many such tokens as a member has on average.
     roots = uses.join(sizes, "cluster").filter("2 * uses > members").groupBy("cluster").agg(F.collect_list("token").alias("root"))
     root = F.coalesce("root", F.expr("cast(array() as array<bigint>)"))
@@ -83,11 +84,13 @@ def delta_pairs(apart: DataFrame, percent: int, skip: Column, *carried: str) ->
     a large group of near copies is joined by its members' own changes, and not by what all of them have in common."""
     near, far = 100 - percent, 100 + percent
     tokens = apart.select("cluster", "key", F.explode("delta").alias("token"))
-    rarity = tokens.groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("uses"))
-    ranked = tokens.join(rarity.filter("uses > 1"), ["cluster", "token"], "left").groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("uses", F.lit(1)).alias("uses"), "token"))).alias("delta")
+    rarity = tokens.groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1")
+    ranked = apart.select("cluster", "key", "n", *carried, F.explode("delta").alias("token")).join(small(written(rarity)), ["cluster", "token"], "left")
+    ranked = ranked.groupBy("key").agg(
+        *[F.first(c).alias(c) for c in ("cluster", "n", *carried)],
+        F.array_sort(F.collect_list(F.struct(F.coalesce("uses", F.lit(1)).alias("uses"), "token"))).alias("delta"),
     )
-    ranked = apart.drop("delta").join(ranked, "key").withColumn("most", F.floor(F.col("n") * near / percent).cast("int"))
+    ranked = ranked.withColumn("most", F.floor(F.col("n") * near / percent).cast("int"))
     ranked = written(ranked.withColumn("delta", F.transform("delta", lambda d: d.token)).withColumn("size", F.size("delta")))
     heads = ranked.select("cluster", "key", "n", "size", "most", *carried, F.posexplode(F.slice("delta", 1, F.col("most") + 1)).alias("at", "token"))
     shorter = heads.filter("at <= most div 2")
@@ -102,23 +105,20 @@ def delta_pairs(apart: DataFrame, percent: int, skip: Column, *carried: str) ->
         & (2 * far * left_over >= far * (F.col("size") + F.col("size_2")) - near * (F.col("n") + F.col("n_2"))),
     )
     met = written(met.select(F.col("key").alias("a"), F.col("key_2").alias("b")).distinct())
-    known = ranked.select("key", "n", "delta")
-    for side in ("a", "b"):
-        met = met.join(known.toDF(side, f"n_{side}", f"delta_{side}"), side)
-    apart_by = F.size("delta_a") + F.size("delta_b") - 2 * F.size(F.array_intersect("delta_a", "delta_b"))
-    return met.filter(far * apart_by <= near * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    both = beside(met, ranked.select("key", "n", "delta"))
+    apart_by = F.size("left.delta") + F.size("right.delta") - 2 * F.size(F.array_intersect("left.delta", "right.delta"))
+    return both.filter(far * apart_by <= near * (F.col("left.n") + F.col("right.n"))).select("a", "b")
 
 
 def cross_pairs(many: DataFrame, percent: int, skip: Column, *carried: str) -> DataFrame:
-    """Candidates (a, b, shared) of different clusters that share prefix tokens, from ``many`` (token, key, at, n,
-    cluster) with ``carried`` columns: by length, by what can follow their first common token, and not meeting
-    ``skip`` (as in ``delta_pairs``). ``shared`` counts the tokens whose place lets them be the first one at least.
-    A token's largest cluster is paired with the others' keys only, never with itself."""
-    sizes = many.groupBy("token", "cluster").agg(F.count(F.lit(1)).alias("keys"))
+    """Candidates (a, b) of different clusters that share prefix tokens, from ``many`` (token, key, at, n,
+    cluster, matches) with ``carried`` columns: by length, by what can follow their first common token, by sharing
+    the smaller of their two matches, and not meeting ``skip`` (as in ``delta_pairs``). A token's largest cluster is paired with the others' keys only, never with itself."""
+    sizes = many.select("token", "cluster").repartition("token").groupBy("token", "cluster").agg(F.count(F.lit(1)).alias("keys"))
     major = sizes.groupBy("token").agg(F.max_by("cluster", F.struct("keys", "cluster")).alias("major"), F.count(F.lit(1)).alias("clusters"))
     major = small(written(major.filter("clusters > 1").select("token", "major")))
     open_ = many.join(major, "token")
-    right = open_.select("token", *[F.col(c).alias(f"{c}_2") for c in ("key", "at", "n", "cluster", *carried)])
+    right = open_.select("token", *[F.col(c).alias(f"{c}_2") for c in ("key", "at", "n", "cluster", "matches", *carried)])
     met = open_.filter("cluster <> major").join(
         right,
         (open_["token"] == right["token"])
@@ -130,9 +130,9 @@ def cross_pairs(many: DataFrame, percent: int, skip: Column, *carried: str) -> D
     follows = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2"))
     first = (100 + percent) * follows >= percent * (F.col("n") + F.col("n_2"))
     pairs = met.groupBy(F.least("key", "key_2").alias("a"), F.greatest("key", "key_2").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.max(first).alias("first")
+        F.count(F.lit(1)).alias("shared"), F.max(first).alias("first"), F.max(F.least("matches", "matches_2")).alias("asked")
     )
-    return pairs.filter("first").select("a", "b", "shared")
+    return pairs.filter("first and shared >= asked").select("a", "b")
 
 
 def similar(a: Column, b: Column, percent: int) -> Column:
@@ -141,8 +141,18 @@ def similar(a: Column, b: Column, percent: int) -> Column:
     return 100 * both >= percent * (F.size(a) + F.size(b) - both)
 
 
+def beside(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The saved ``pairs`` (a, b) with structs left and right: the rows of ``rows`` (key, ...) of a and of b. While
+    pairs are few they go to the rows, which are then dealt by pair, so a key in many pairs is in no one's way."""
+    values = F.struct(*[c for c in rows.columns if c != "key"])
+    left = rows.select(F.col("key").alias("a"), values.alias("left"))
+    right = rows.select(F.col("key").alias("b"), values.alias("right"))
+    if pairs.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(pairs), "a").join(right.join(F.broadcast(pairs), "b"), ["a", "b"])
+    return pairs.join(left, "a").join(right, "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose whole sets (key, set) are similar."""
-    a = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a"))
-    b = sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(a, "a").join(b, "b").filter(similar(F.col("set_a"), F.col("set_b"), percent)).select("a", "b")
+    """The rows of the saved ``pairs`` (a, b) whose whole sets (key, set) are similar."""
+    both = beside(pairs, sets.select("key", "set"))
+    return both.filter(similar(F.col("left.set"), F.col("right.set"), percent)).select("a", "b")
