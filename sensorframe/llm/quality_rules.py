@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.llm.common import bare, small, written
+from sensorframe.llm.common import Held, bare, written
 from sensorframe.llm.tokens import pieces, raw, shingles, span_hashes, split, texts_of
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -225,8 +225,8 @@ def calibrate(scored: DataFrame, labels: DataFrame, spare: float = 0.005) -> flo
         return 2.0
     rejected = counts[:, ::-1].cumsum(axis=1)[:, ::-1]  # of each kind, at or above each step
     gain = np.where(rejected[1] <= spare * counts[1].sum(), rejected[0] - rejected[1], -1.0)
-    best = int(len(gain) - 1 - np.argmax(gain[::-1]))
-    return best / SCORE_STEPS
+    best = np.flatnonzero(gain == gain.max())
+    return int(best[len(best) // 2]) / SCORE_STEPS  # amid the steps that are as good
 
 
 def model_of(docs: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int = 1) -> tuple[Forest, float]:
@@ -264,3 +264,19 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") < limit))
         .select("doc_id", *COUNTS, "base_failed", "score", "kept")
     )
+
+
+def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns, whatever their names. The model is
+    fitted and calibrated on all of ``docs`` first."""
+    forest, limit = model_of(docs, labels)
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
+    def count(text: pd.Series) -> pd.DataFrame:
+        texts = texts_of(pa.array(text, pa.string(), from_pandas=True))
+        parts = [count_texts(*raw(texts.slice(begin, end - begin))) for begin, end in pieces(texts)]
+        return pd.DataFrame({c: np.concatenate([p[i] for p in parts]) if parts else [] for i, c in enumerate(COUNTS)})
+
+    held = Held(docs)
+    counted = held.df.withColumn("counts", count(F.col(held.name("text")))).select(*held.own, "counts.*")
+    return held.named(counted.filter(~failed()).withColumn("score", score_column(forest)).filter(F.col("score") < limit))

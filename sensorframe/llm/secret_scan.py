@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorframe.llm.common import bare, text_or_empty, written
+from sensorframe.llm.common import Held, bare, small, text_or_empty, written
 
 
 def _either_case(words: str) -> str:
@@ -59,16 +59,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     A null text counts as empty and has no span; its digest is that of the empty string. A null doc_id is kept.
     Repeated rows give a row each. Columns other than doc_id and text are not read.
     """
-    found = written(_matches(docs))
-    limits = dismissal_limits(found)
-    random = F.col("kind") == len(KINDS) - 1
-    spans = found.withColumn("kind", F.when(~(random & _dismissed(limits)), F.col("kind")))  # a row stays for each text
-    within = Window.partitionBy("row")
-    others = F.max(F.when(~random, F.col("end"))).over(within.orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1))
-    later = F.min(F.when(~random, F.col("start"))).over(within.orderBy("start", "kind").rowsBetween(1, Window.unboundedFollowing))
-    spans = spans.withColumn("clear", ~random | (F.coalesce(others <= F.col("start"), F.lit(True)) & F.coalesce(later >= F.col("end"), F.lit(True))))
-    spans = spans.withColumn("kind", F.when(F.col("kind").isNull() | F.col("clear"), F.col("kind")))
-
+    spans = _spans(docs)
     listed = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("start", "kind", "end"))))
     names = F.array(*map(F.lit, KINDS))
 
@@ -87,10 +78,52 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     )
 
 
-def _matches(docs: DataFrame) -> DataFrame:
+def _spans(docs: DataFrame, *keep: str) -> DataFrame:
+    """(row, doc_id, kind, start, end) of all spans, and for each text a row with a null kind; with ``keep`` columns."""
+    found = written(_matches(docs, *keep))
+    random = F.col("kind") == len(KINDS) - 1
+    spans = found.withColumn("kind", F.when(~(random & _dismissed(dismissal_limits(found))), F.col("kind")))  # a row stays for each text
+    within = Window.partitionBy("row").orderBy("start", "kind")
+    others = F.max(F.when(~random, F.col("end"))).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    later = F.min(F.when(~random, F.col("start"))).over(within.rowsBetween(1, Window.unboundedFollowing))
+    clear = F.coalesce(others <= F.col("start"), F.lit(True)) & F.coalesce(later >= F.col("end"), F.lit(True))
+    spans = spans.withColumn("clear", ~random | clear)
+    return spans.withColumn("kind", F.when(F.col("kind").isNull() | F.col("clear"), F.col("kind")))
+
+
+def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span of ``secret_scan`` in text replaced by ``mask``; spans that overlap or touch become one.
+    All columns as they were, whatever their names; texts without a span, nulls included, are untouched."""
+    keyed = bare(docs, "doc_id", "text").withColumn("text_key", F.xxhash64(text_or_empty()))
+    spans = _spans(keyed, "text_key").filter("kind is not null")
+    before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce(F.max("end").over(before) < F.col("start"), F.lit(True))
+    number = F.sum(F.col("opens").cast("int")).over(Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
+    joined = spans.withColumn("opens", opens).withColumn("number", number).groupBy("row", "number")
+    joined = joined.agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.min("start").alias("start"), F.max("end").alias("end"))
+    listed = joined.groupBy("row").agg(F.first("doc_id").alias("cut_id"), F.first("text_key").alias("cut_key"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cut"))
+    listed = small(written(listed.drop("row").dropDuplicates(["cut_id", "cut_key"])))
+
+    held = Held(docs)
+    text = F.col(held.name("text"))
+    same = F.col(held.name("doc_id")).eqNullSafe(F.col("cut_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("cut_key"))
+    count = F.size("cut")
+    left = F.transform(
+        F.sequence(F.lit(0), count),
+        lambda i: F.substring(
+            text,
+            F.when(i == 0, 0).otherwise(F.get("cut", i - 1)["end"]) + 1,
+            F.when(i == count, F.length(text)).otherwise(F.get("cut", i)["start"]) - F.when(i == 0, 0).otherwise(F.get("cut", i - 1)["end"]),
+        ),
+    )
+    new = F.when(F.col("cut").isNull(), text).otherwise(F.array_join(left, mask))
+    return held.named(held.df.join(listed, same, "left"), text=new)
+
+
+def _matches(docs: DataFrame, *keep: str) -> DataFrame:
     """(row, doc_id, kind, start, end, length, p), one row per match, and one with a null kind per text. p only for
     runs. Match positions are sums over the gaps between matches, taken along each text."""
-    texts = bare(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", text_or_empty().alias("text"))
+    texts = bare(docs, "doc_id", *keep, "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", *keep, text_or_empty().alias("text"))
     none = F.expr("cast(array() as array<struct<kind:int, at:int, gap:int, hit:string>>)")
 
     def of(kind: str) -> Column:
@@ -101,7 +134,7 @@ def _matches(docs: DataFrame) -> DataFrame:
         placed = F.transform(pairs, lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("at"), x.gap.alias("gap"), x.hit.alias("hit")))
         return F.when(F.col("text").rlike(pattern), F.filter(placed, lambda x: x.hit.isNotNull())).otherwise(none)
 
-    hits = texts.select("row", "doc_id", F.explode_outer(F.concat(*[of(k) for k in KINDS])).alias("m")).select("row", "doc_id", "m.*")
+    hits = texts.select("row", "doc_id", *keep, F.explode_outer(F.concat(*[of(k) for k in KINDS])).alias("m")).select("row", "doc_id", *keep, "m.*")
     along = Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     length = F.length("hit")
     placed = hits.withColumn("end", F.sum(F.col("gap") + length).over(along)).withColumn("start", F.col("end") - length)
@@ -110,7 +143,7 @@ def _matches(docs: DataFrame) -> DataFrame:
     failing = (F.col("kind") == KINDS.index("assign")) & (F.length(value) < 12)
     # A text of which every match fails still has to leave a row.
     placed = placed.withColumn("kind", F.when(~failing, F.col("kind"))).withColumn("hit", F.when(F.col("kind") == random, F.regexp_replace("hit", "=+$", "")))
-    return battery(placed).select("row", "doc_id", "kind", "start", "end", F.length("hit").alias("length"), "p")
+    return battery(placed).select("row", "doc_id", *keep, "kind", "start", "end", F.length("hit").alias("length"), "p")
 
 
 def normal_upper(z: Column) -> Column:
