@@ -3,8 +3,10 @@ from sensorframe.functions.scalar import (
     clip_negative,
     guarded_ratio,
     missing_text_to_null,
+    nan_to_null,
     residual,
     round_half_even,
+    strict_number,
     to_number,
 )
 
@@ -13,8 +15,10 @@ __all__ = [
     "clip_negative",
     "guarded_ratio",
     "missing_text_to_null",
+    "nan_to_null",
     "residual",
     "round_half_even",
+    "strict_number",
     "to_number",
     "trailing_bounds",
 ]

@@ -39,7 +39,18 @@ def to_number(text: Column) -> Column:
 
 
 def missing_text_to_null(text: Column) -> Column:
-    return F.when(~F.trim(text).isin(*MISSING_TEXT), F.trim(text))
+    return F.when(~text.isin(*MISSING_TEXT), text)
+
+
+def strict_number(text: Column) -> Column:
+    """Text to double. A missing-value text becomes NULL; any other text that is not a number, "1d" included, raises."""
+    known = missing_text_to_null(text)
+    message = F.concat(F.lit("not a number: "), known)
+    return F.when(known.rlike(NUMERIC_TEXT), F.trim(known).cast("double")).when(known.isNotNull(), F.raise_error(message).cast("double"))
+
+
+def nan_to_null(value: Column) -> Column:
+    return F.nanvl(value, F.lit(None).cast("double"))
 
 
 def round_half_even(value: Column, decimals: int = 1) -> Column:
@@ -52,7 +63,8 @@ def guarded_ratio(numerator: Column, denominator: Column, eps: float = 1e-6) ->
 
 
 def clip_negative(prediction: Column) -> Column:
-    return F.greatest(prediction, F.lit(0.0))
+    """Missing stays missing."""
+    return F.when(prediction < 0, F.lit(0.0)).otherwise(prediction)
 
 
 def residual(actual: Column, predicted: Column) -> Column:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import islice
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -13,12 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe.functions import clip_negative, residual
+from sensorframe.operators.linear import loro_linear
 from sensorframe.operators.models import ModelSpec, fit
 from sensorframe.operators.selection import importance_table
-from sensorframe.session import written
-
-# Every fold of a model is a fit of its own. Beyond this many, group runs with ``grouped_folds``.
-MAX_FOLDS = 200
+from sensorframe.session import table_path, written
 
 
 def positive_label(df: DataFrame, label: str) -> DataFrame:
@@ -60,31 +59,32 @@ class Evaluation:
     mean_importances: dict[str, DataFrame] = field(default_factory=dict)  # model -> mean over folds
 
 
-def _training_statistics(df: DataFrame, features: Sequence[str], fold: str) -> dict:
-    """fold -> feature -> (mean, population std) of the other folds' rows, for all folds from one
-    aggregate: the folds' own moments are merged (Chan et al.) leaving one out."""
-    rows = (
-        df.groupBy(F.col(fold).alias("fold"))
-        .agg(
+def _training_statistics(df: DataFrame, features: Sequence[str], fold: str) -> Callable[[object], dict]:
+    """fold -> feature -> (mean, population std) of the other folds' rows. Sums about the overall means are saved per
+    fold; what a fold's training rows have is the total less its own, so no number of folds meets on the driver."""
+    centre = df.agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(features)]).head()
+    off = [F.col(f"`{c}`") - F.lit(centre[f"m{i}"]) for i, c in enumerate(features)]
+    sums = written(
+        df.groupBy(F.col(fold).alias("fold")).agg(
             F.count(F.lit(1)).alias("n"),
-            *[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(features)],
-            *[F.var_pop(f"`{c}`").alias(f"v{i}") for i, c in enumerate(features)],
+            *[F.sum(x).alias(f"s{i}") for i, x in enumerate(off)],
+            *[F.sum(x * x).alias(f"q{i}") for i, x in enumerate(off)],
         )
-        .collect()  # one row per fold, at most MAX_FOLDS
     )
-    out = {}
-    for held_out in rows:
-        others = [r for r in rows if r["fold"] != held_out["fold"]]
-        n = sum(r["n"] for r in others)
-        out[held_out["fold"]] = {}
+    total = sums.agg(*[F.sum(c).alias(c) for c in sums.columns if c != "fold"]).head()
+
+    def of(key: object) -> dict[str, tuple[float, float]]:
+        own = sums.where(F.col("fold").eqNullSafe(F.lit(key))).head()
+        n, out = total["n"] - own["n"], {}
         for i, c in enumerate(features):
-            if n == 0:
-                continue
-            mean = sum(r["n"] * r[f"m{i}"] for r in others) / n
-            var = sum(r["n"] * (r[f"v{i}"] + (r[f"m{i}"] - mean) ** 2) for r in others) / n
-            constant = var <= (1e-12 * abs(mean)) ** 2
-            out[held_out["fold"]][c] = (mean, 0.0 if constant else math.sqrt(var))
-    return out
+            mean = (total[f"s{i}"] - own[f"s{i}"]) / n
+            var = max(0.0, (total[f"q{i}"] - own[f"q{i}"]) / n - mean * mean)
+            mean += centre[f"m{i}"]
+            constant = var <= (1e-12 * abs(mean)) ** 2 or var <= 1e-14 * (total[f"q{i}"] / total["n"])
+            out[c] = (mean, 0.0 if constant else math.sqrt(var))
+        return out
+
+    return of
 
 
 def cross_validate(
@@ -99,28 +99,36 @@ def cross_validate(
 ) -> Evaluation:
     """Per model and fold: train on the other folds, predict the held-out one, clip negatives.
 
-    ``features`` may differ by fold (selection within the fold). The frame is written once,
-        clustered by fold, so that each of the many training passes reads it back pruned instead of
-    computing the features again (``store=False``: it is a stored table already). Fits run
-    ``parallelism`` at a time.
+    ``features`` may differ by fold (selection within the fold); a fold without features is skipped. The frame is
+    written once, clustered by fold, so that each of the many training passes reads it back pruned instead of
+    computing the features again (``store=False``: it is a stored table already). There is no limit to the folds: fits
+    run ``parallelism`` at a time, and each one's predictions are saved at once, so that what reads the result
+    predicts nothing again. A model marked ``additive`` is solved for all folds from one pass of sums instead.
     """
+    spark = frame.sparkSession
     per_fold = features if isinstance(features, dict) else None
     wanted = list(dict.fromkeys(f for fs in per_fold.values() for f in fs)) if per_fold else list(features)
     kept = list(dict.fromkeys([*ids, fold, label, *wanted]))
     data = positive_label(frame, label).select(*[f"`{c}`" for c in kept])
     if store:
         data = written(data, sort_by=(fold,))
-    sizes = fold_sizes(data, fold, label).limit(MAX_FOLDS + 1).collect()
-    if len(sizes) > MAX_FOLDS:
-        raise ValueError(f"more than {MAX_FOLDS} folds: use grouped_folds, or loro_linear for least squares")
-    usable = sorted((r for r in sizes if r["usable"]), key=lambda r: r["fold"])
-    statistics = _training_statistics(data, wanted, fold) if any(m.scale for m in models.values()) else {}
+    sizes = written(fold_sizes(data, fold, label).where("usable"))
+    additive = [m for m in models if models[m].additive and not per_fold]
+    each = [m for m in models if m not in additive] if wanted else []
+    statistics = _training_statistics(data, wanted, fold) if wanted and any(models[m].scale for m in each) else None
+    shape = data.select(
+        F.lit("").alias("model"), F.col(fold).alias("fold"), *ids, F.col(f"`{label}`").alias("actual"), F.lit(0.0).alias("predicted"), F.lit(0.0).alias("residual")
+    ).schema
+    place = table_path(spark)
 
     def one(task):
-        name, row = task
+        number, name, row = task
         key, names = row["fold"], list(per_fold[row["fold"]] if per_fold else wanted)
         train, test = fold_split(data, F.col(fold) == F.lit(key))
-        scaling = {c: statistics[key][c] for c in names} if models[name].scale else None
+        scaling = None
+        if models[name].scale:
+            known = statistics(key)
+            scaling = {c: known[c] for c in names}
         fitted = fit(models[name], train, names, label, row["n_train"], scaling)
         carried = list(dict.fromkeys([*ids, label]))
         predictions = fitted.predict(test, carried).select(
@@ -130,21 +138,38 @@ def cross_validate(
             F.col(f"`{label}`").alias("actual"),
             clip_negative(F.col("prediction")).alias("predicted"),
         )
+        predictions = predictions.withColumn("residual", residual(F.col("actual"), F.col("predicted")))
+        predictions.write.parquet(f"{place}/part={number}")
         weights = fitted.model.featureImportances.toArray() if models[name].trees else None
-        return predictions.withColumn("residual", residual(F.col("actual"), F.col("predicted"))), names, weights
-
-    tasks = [(name, row) for name in models for row in usable if not per_fold or per_fold[row["fold"]]]
-    if not tasks:
-        raise ValueError("no fold has training rows, test rows and features")
-    with ThreadPool(min(parallelism, len(tasks))) as pool:
-        done = pool.map(inheritable_thread_target(frame.sparkSession)(one), tasks, chunksize=1)
-
-    spark = frame.sparkSession
-    last, mean = {}, {}
-    for name in (n for n, m in models.items() if m.trees):
-        fits = [(names, w) for (task, (_, names, w)) in zip(tasks, done) if task[0] == name]
-        last[name] = importance_table(spark, *fits[-1])
-        every = list(dict.fromkeys(f for names, _ in fits for f in names))
-        found = [dict(zip(names, w)) for names, w in fits]
-        mean[name] = importance_table(spark, every, [sum(d.get(f, 0.0) for d in found) / len(found) for f in every])
-    return Evaluation(pool_predictions([p for p, _, _ in done]), last, mean)
+        return name, names, weights
+
+    def tasks():
+        number = 0
+        for name in each:
+            for row in sizes.orderBy("fold").toLocalIterator():
+                if not per_fold or per_fold.get(row["fold"]):
+                    yield number, name, row
+                    number += 1
+
+    # Importances are added up as fits come in: one vector per feature and model, however many folds.
+    last: dict[str, DataFrame] = {}
+    total: dict[str, dict[str, float]] = {}
+    fits: dict[str, int] = {}
+    done = 0
+    with ThreadPool(max(1, parallelism)) as pool:
+        run, queue = inheritable_thread_target(spark)(one), tasks()
+        while batch := list(islice(queue, 4 * max(1, parallelism))):
+            for name, names, weights in pool.map(run, batch, chunksize=1):
+                done += 1
+                if weights is not None:
+                    last[name] = importance_table(spark, names, weights)
+                    fits[name] = fits.get(name, 0) + 1
+                    own = total.setdefault(name, {})
+                    for f, w in zip(names, weights):
+                        own[f] = own.get(f, 0.0) + float(w)
+    mean = {m: importance_table(spark, list(t), [w / fits[m] for w in t.values()]) for m, t in total.items()}
+    parts = [spark.read.schema(shape).parquet(f"{place}/part=*")] if done else []
+    if wanted:
+        usable = data.join(sizes.select(F.col("fold").alias(fold)), fold, "left_semi") if additive else data
+        parts += [written(loro_linear(usable, wanted, label, ids, fold, model=m).select(*shape.fieldNames())) for m in additive]
+    return Evaluation(pool_predictions(parts) if parts else spark.createDataFrame([], shape), last, mean)

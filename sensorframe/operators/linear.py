@@ -1,6 +1,6 @@
 """Leave-one-run-out least squares from additive statistics.
 
-Sums of products per fold are collected in one aggregate. Each fold's training sums are the
+Sums of products per fold and Arrow batch are formed where the rows are, and added up in one aggregate. Each fold's training sums are the
 total minus its own, so no fold is fitted by a pass of its own, however many folds there are.
 """
 
@@ -10,8 +10,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,18 +22,6 @@ from sensorframe.operators.scaling import scaled, scaler_values
 from sensorframe.session import checkpointed
 
 
-def _moments(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums and cross-product sums from the degree-2 expansion of ``size`` variables, which
-    lists x0, x0*x0, x1, x0*x1, x1*x1, x2, ..."""
-    first = np.empty(size)
-    second = np.empty((size, size))
-    for i in range(size):
-        at = i * (i + 3) // 2
-        first[i] = values[at]
-        second[i, : i + 1] = second[: i + 1, i] = values[at + 1 : at + i + 2]
-    return first, second
-
-
 def loro_coefficients(
     df: DataFrame, features: Sequence[str], label: str, fold: str = "run_id"
 ) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
@@ -43,19 +31,34 @@ def loro_coefficients(
     statistics = scaler_values(df, columns)
     if any(mean is None for mean, _ in statistics.values()):  # no rows at all
         statistics = {c: (0.0, 0.0) for c in columns}
-    inputs = [f"_x{i}" for i in range(len(columns))]
-    rows = df.select(
-        F.col(fold).alias("fold"), *[scaled(c, *statistics[c]).alias(x) for c, x in zip(columns, inputs)]
-    )
-    rows = VectorAssembler(inputCols=inputs, outputCol="_v").transform(rows)
-    rows = PolynomialExpansion(degree=2, inputCol="_v", outputCol="_m").transform(rows).select("fold", "_m")
+    size = len(columns)
+    names = [f"_x{i}" for i in range(size)]
+    rows = df.select(F.col(fold).alias("fold"), *[scaled(c, *statistics[c]).alias(x) for c, x in zip(columns, names)])
+    fold_type = df.schema[fold].dataType.simpleString()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each fold and Arrow batch: the sums of the columns and of their products, as one product of
+        matrices. Rows come sorted by fold, so a batch has few."""
+        for batch in batches:
+            x = np.column_stack([np.ones(batch.num_rows), *[batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(size)]])
+            keys = batch.column(0)
+            codes = keys.dictionary_encode()
+            at = codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
+            order = np.argsort(at, kind="stable")
+            edges = np.flatnonzero(np.diff(at[order], prepend=-1))
+            sums = [x[part].T @ x[part] for part in np.split(order, edges[1:])] if len(order) else []
+            yield pa.record_batch(
+                [keys.take(pa.array(order[edges])), pa.array([float(m[0, 0]) for m in sums], pa.float64()), pa.array([m.ravel().tolist() for m in sums], pa.list_(pa.float64()))],
+                names=["fold", "n", "sums"],
+            )
+
+    parts = rows.sortWithinPartitions("fold").mapInArrow(partial, f"fold {fold_type}, n double, sums array<double>")
     # The only pass over the rows. Kept, as both the total and each fold's remainder come from it.
-    per_fold = checkpointed(
-        rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("_m")).alias("sums"))
-    )
+    added = parts.select("fold", "n", array_to_vector("sums").alias("sums")).groupBy("fold")
+    per_fold = checkpointed(added.agg(F.sum("n").cast("bigint").alias("n"), Summarizer.sum(F.col("sums")).alias("sums")))
     overall = per_fold.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), Summarizer.sum(F.col("sums")).alias("sums")).head()
-    size, n_all = len(columns), overall["n"]
-    all_sums = overall["sums"].toArray() if n_all else np.zeros(size * (size + 3) // 2)
+    n_all = overall["n"]
+    all_sums = overall["sums"].toArray() if n_all else np.zeros((size + 1) ** 2)
     y_mean, y_std = statistics[label]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,15 +68,15 @@ def loro_coefficients(
                 rest = n_all - n
                 if rest == 0:  # nothing to train on: the fold is skipped
                     continue
-                s, q = _moments((all_sums - np.asarray(sums)) / rest, size)
-                cov = q - np.outer(s, s)
+                m = ((all_sums - np.asarray(sums)) / rest).reshape(size + 1, size + 1)
+                s = m[0, 1:]
+                cov = m[1:, 1:] - np.outer(s, s)
                 w = np.linalg.pinv(cov[:-1, :-1], rcond=1e-12, hermitian=True) @ cov[:-1, -1]
                 b = s[-1] - w @ s[:-1]
                 unit = y_std or 1.0
                 out.append((key, rest, n, float(b * unit + y_mean), [float(v) for v in w * unit]))
             yield pd.DataFrame(out, columns=["fold", "n_train", "n_test", "intercept", "weights"])
 
-    fold_type = df.schema[fold].dataType.simpleString()
     schema = f"fold {fold_type}, n_train bigint, n_test bigint, intercept double, weights array<double>"
     return per_fold.withColumn("sums", vector_to_array("sums")).mapInPandas(solve, schema), statistics
 

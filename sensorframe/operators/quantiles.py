@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe.operators.layout import MAX_ROWS, RunLayout
+from sensorframe.session import written
 
 
 def exact_quantiles(
@@ -26,6 +27,7 @@ def exact_quantiles(
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_x")).agg(
         F.count(F.lit(1)).alias("_w")
     )
+    counts = written(counts)  # the layout counts them, the ranking reads them
     layout = RunLayout.plan(counts, groups, ["_x"], max_rows)
     ranked = layout.running_total(counts, "_w", "_n", "_upto")
     first = F.col("_upto") - F.col("_w")  # ranks first .. _upto - 1 hold this value

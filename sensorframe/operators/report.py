@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sensorframe.operators.joins import join_groups
 from sensorframe.operators.layout import MAX_ROWS
 from sensorframe.operators.quantiles import exact_quantiles
+from sensorframe.session import checkpointed, written
 
 # Histogram bins, points of a density curve, whisker length in IQRs.
 BINS = 30
@@ -42,25 +43,29 @@ def histogram(df: DataFrame, value: str, by: Sequence[str] = ("model",), bins: i
     """
     keys = list(by)
     known = df.where(F.col(value).isNotNull())
-    span = known.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    span = known.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))  # two numbers per group
     flat = F.col("_lo") == F.col("_hi")
-    span = span.select(
-        *keys,
-        F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
-        F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
+    span = checkpointed(
+        span.select(
+            *keys,
+            F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
+            F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
+        )
     )
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     at = F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
     counts = join_groups(known.select(*keys, value), span, keys).groupBy(*keys, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # Empty bins come in as rows of 0, so that a group without a name needs no join to find its counts.
+    empty = span.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.lit(0).alias("n"))
+    counts = counts.select(*keys, "bin", "n").unionAll(empty).groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
     return (
-        span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-        .join(counts, [*keys, "bin"], "left")
+        join_groups(counts, span, keys)
         .select(
             *keys,
             "bin",
             (F.col("_lo") + F.col("bin") * width).alias("bin_lo"),
             (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
-            F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
+            F.col("n").cast("bigint").alias("n"),
         )
     )
 
@@ -80,6 +85,7 @@ def density(df: DataFrame, value: str, by: Sequence[str] = ("model",), points: i
         F.count(F.lit(1)).alias("_n"),
         F.nullif(F.stddev_samp("_x") * F.pow(F.count(F.lit(1)), F.lit(-0.2)), F.lit(0.0)).alias("_h"),
     )
+    span = checkpointed(span)
     # Distances in bandwidths: row to the grid's first point, and from one point to the next.
     rows = join_groups(known, span, keys).select(
         *keys,
@@ -95,7 +101,7 @@ def density(df: DataFrame, value: str, by: Sequence[str] = ("model",), points: i
         sums.select(*keys, "_at", F.posexplode(F.array(*[f"s{i}" for i in range(STRIP)])).alias("_i", "_s"))
         .withColumn("point", F.col("_at") + F.col("_i"))
         .where(F.col("point") < points)
-        .join(span, keys)
+        .transform(lambda found: join_groups(found, span, keys))
         .select(
             *keys,
             "point",
@@ -116,6 +122,7 @@ def box_statistics(
     """(by, n, q1, median, q3, whisker_lo, whisker_hi, n_outliers). Whiskers end at the furthest
     value within 1.5 IQR of the box, and never inside it."""
     keys = list(by)
+    df = written(df.select(*keys, value))  # read for the quantiles and again for the whiskers
     boxes = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, max_rows)
     x, iqr = F.col(value), F.col("q3") - F.col("q1")
     inside = (x >= F.col("q1") - WHISKER * iqr) & (x <= F.col("q3") + WHISKER * iqr)

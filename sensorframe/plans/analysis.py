@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorframe.functions import nan_to_null
 from sensorframe.operators import gaps
 from sensorframe.operators.correlation import THRESHOLD, drop_correlated
-from sensorframe.operators.crossval import MAX_FOLDS, Evaluation, cross_validate, positive_label
+from sensorframe.operators.crossval import Evaluation, cross_validate, positive_label
 from sensorframe.operators.features import (
     TEXT_CHANNELS,
     FeatureSpec,
@@ -43,6 +44,8 @@ def feature_frame(
     All steps share one exchange on the run.
     """
     numeric = [c for c in spec.channels if c not in text_channels]
+    doubles = [c for c in (*numeric, *also_fill) if raw.schema[c].dataType.typeName() in ("double", "float")]
+    raw = raw.withColumns({c: nan_to_null(F.col(f"`{c}`")) for c in doubles})  # a gap is NULL from here on
     layout = RunLayout.plan(raw, keys, order, max_rows, profile=[*numeric, *also_fill])
     repaired = [c for c in spec.channels if c in text_channels]
     df = layout.attach(raw)
@@ -128,7 +131,7 @@ def evaluate(
     if not select_within_fold:
         selection = select_features(data, features, label, threshold, **settings)
         return cross_validate(data, selection.features, label, models, ids, fold, parallelism, store=False), selection
-    folds = [r[0] for r in data.select(fold).distinct().orderBy(fold).limit(MAX_FOLDS + 1).collect()]
+    folds = [r[0] for r in written(data.select(fold).distinct()).orderBy(fold).toLocalIterator()]
     per_fold = {
         k: select_features(data.where(F.col(fold) != F.lit(k)), features, label, threshold, **settings).features
         for k in folds

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sensorframe.operators.crossval import positive_label, pool_predictions
 from sensorframe.operators.layout import RunLayout
 from sensorframe.operators.linear import loro_linear
+from sensorframe.session import written
 from sensorframe.sources import event_channels, event_runs, with_hours_left
 from sensorframe.sources.tables import KEYS, ORDER
 
@@ -56,11 +57,14 @@ def held_out_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leave-one-run-out predictions of two models that SQL can follow: the mean of the other
     runs, and least squares on ``value``."""
     rows = positive_label(labelled(spark, sf_dir), "hours_left").select(*IDS, "value", "hours_left")
-    return pool_predictions(
-        [
-            loro_linear(rows, [], "hours_left", IDS, model="mean"),
-            loro_linear(rows, ["value"], "hours_left", IDS, model="linear"),
-        ]
+    rows = written(rows)
+    return written(
+        pool_predictions(
+            [
+                loro_linear(rows, [], "hours_left", IDS, model="mean"),
+                loro_linear(rows, ["value"], "hours_left", IDS, model="linear"),
+            ]
+        )
     )
 
 

@@ -105,7 +105,8 @@ def q_loro_ols_all(spark, sf_dir) -> DataFrame:
 @query()
 def q_rf_importance(spark, sf_dir) -> DataFrame:
     rows, names = _learning(spark, sf_dir)
-    return top_scores(forest_importance(rows, names, "hours_left", **SMALL_SELECTOR))
+    """The whole vector."""
+    return forest_importance(rows, names, "hours_left", **SMALL_SELECTOR)
 
 
 @query()
@@ -134,13 +135,13 @@ def q_cv_gbt(spark, sf_dir) -> DataFrame:
 @query()
 def q_cv_gbt_cols(spark, sf_dir) -> DataFrame:
     settings = {**SMALL_BOOSTING, "featureSubsetStrategy": "0.7"}
-    models = {"XGBoost": ModelSpec(lambda n: boosting(**settings), trees=True)}
+    models = {"Column-Sampled Boosting": ModelSpec(lambda n: boosting(**settings), trees=True)}
     return _shown(_evaluate(spark, sf_dir, models).predictions)
 
 
 @query()
 def q_cv_rff(spark, sf_dir) -> DataFrame:
-    return _shown(_evaluate(spark, sf_dir, {"SVR": kernel_model(dim=100)}).predictions)
+    return _shown(_evaluate(spark, sf_dir, {"Fourier Ridge": kernel_model()}).predictions)
 
 
 @query()

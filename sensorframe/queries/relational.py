@@ -437,11 +437,11 @@ def q_standardize(spark, sf_dir):
 
 
 @query(
-    f"""WITH {RUNS_SQL}, made AS (SELECT run_id, event_id, value - k AS raw FROM runs)
-    SELECT run_id, event_id, round_even((raw) * 1e6, 0) / 1e6 + 0.0 AS raw, round_even((greatest(raw, 0.0)) * 1e6, 0) / 1e6 + 0.0 AS predicted FROM made"""
+    f"""WITH {RUNS_SQL}, made AS (SELECT run_id, event_id, m - k AS raw FROM runs)
+    SELECT run_id, event_id, round_even((raw) * 1e6, 0) / 1e6 + 0.0 AS raw, round_even((CASE WHEN raw < 0 THEN 0.0 ELSE raw END) * 1e6, 0) / 1e6 + 0.0 AS predicted FROM made"""
 )
 def q_clip(spark, sf_dir):
-    df = runs(spark, sf_dir).withColumn("raw", F.col("value") - F.col("k"))
+    df = runs(spark, sf_dir).withColumn("raw", F.col("m") - F.col("k"))
     return show(df.withColumn("predicted", clip_negative(F.col("raw"))), IDS, ["raw", "predicted"])
 
 

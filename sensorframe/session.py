@@ -77,12 +77,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table_path(spark: SparkSession) -> str:
+    """A new place for a table in the shared folder."""
+    return f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, sort_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Preferred to ``checkpointed`` for wide frames read many times: later reads prune columns
     and, where ``sort_by`` clusters a column within the files, row groups.
     """
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = table_path(df.sparkSession)
     (df.sortWithinPartitions(*sort_by) if sort_by else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

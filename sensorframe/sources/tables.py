@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorframe.operators.joins import join_groups
+
 KEYS = ("run_id",)
 ORDER = ("ts", "event_id")
 
@@ -30,11 +32,11 @@ def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_hours_left(df: DataFrame, label: str = "hours_left") -> DataFrame:
-    """Stand-in label: hours to the run's last row. Aggregate and join rather than a window over
-    the run, so that a long run is reduced before it is shuffled."""
+    """Stand-in label: hours to the run's last row. Aggregate and join rather than a window over the run: a long
+    run is reduced before it is shuffled, and the join broadcasts the runs' ends or salts the rows."""
     last = df.groupBy(*KEYS).agg(F.max("ts").alias("_last"))
     hours = F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("_last")) / F.lit(3600000000.0)
-    return df.join(last, list(KEYS)).withColumn(label, hours).drop("_last")
+    return join_groups(df, last, KEYS).withColumn(label, hours).drop("_last")
 
 
 def event_channels(df: DataFrame) -> DataFrame:

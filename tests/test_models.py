@@ -10,6 +10,7 @@ import pytest
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from sensorframe.functions import strict_number
 from sensorframe.operators import report
 from sensorframe.operators.correlation import drop_correlated
 from sensorframe.operators.crossval import cross_validate, fold_sizes, fold_split, grouped_folds
@@ -76,7 +77,7 @@ def test_kernel_features_approximate_the_kernel(spark):
 
 def test_models_beat_the_mean_and_repeat(rows):
     models = {
-        "SVR": kernel_model(dim=100, gamma=0.2),
+        "Fourier Ridge": kernel_model(dim=100, gamma=0.2),
         "Gradient Boosting": ModelSpec(lambda n: boosting(maxIter=10, maxDepth=4, stepSize=0.3, seed=1), trees=True),
         "Random Forest": ModelSpec(lambda n: forest(numTrees=10, maxDepth=6, seed=1), trees=True),
         "Linear Regression": ModelSpec(lambda n: LinearRegression()),
@@ -84,7 +85,7 @@ def test_models_beat_the_mean_and_repeat(rows):
     folds = written(grouped_folds(rows, 3))  # bagging depends on the table's files, so both runs share one
     found = cross_validate(folds, ["a", "b", "c", "d"], "y", models, IDS, store=False)
     scores = model_summary(fold_metrics(found.predictions)).toPandas().set_index("model")
-    assert (scores.avg_r2 > 0.5).all() and scores.avg_r2["SVR"] > scores.avg_r2["Linear Regression"]
+    assert (scores.avg_r2 > 0.5).all() and scores.avg_r2["Fourier Ridge"] > scores.avg_r2["Linear Regression"]
     assert found.predictions.count() == 4 * 600
     assert set(found.importances) == {"Gradient Boosting", "Random Forest"}
     best = top_scores(found.importances["Random Forest"], 1).head()
@@ -168,7 +169,7 @@ def test_density_integrates_to_one(rows):
 
 
 def test_reference_preset_names():
-    assert list(reference_preset()) == ["SVR", "Gradient Boosting", "XGBoost", "Random Forest", "Linear Regression"]
+    assert list(reference_preset()) == ["Fourier Ridge", "Gradient Boosting", "Column-Sampled Boosting", "Random Forest", "Linear Regression"]
     assert reference_preset()["Random Forest"].make(1).getNumTrees() == 300
 
 
@@ -190,12 +191,12 @@ def test_csv_runs(spark, tmp_path):
     _write(tmp_path, "one.csv", 30)
     _write(tmp_path, "two.csv", 25)
     df = read_runs(spark, str(tmp_path / "*.csv"))
-    assert df.groupBy("run_id").count().orderBy("run_id").collect() == [("one.csv", 30), ("two.csv", 25)]
-    hours = [r["Hour"] for r in df.where("run_id = 'one.csv'").orderBy("seq").collect()]
+    assert df.groupBy("run_name").count().orderBy("run_name").collect() == [("one.csv", 30), ("two.csv", 25)]
+    hours = [r["Hour"] for r in df.where("run_name = 'one.csv'").orderBy("seq").collect()]
     assert hours == [i * 0.5 for i in range(30)]
     assert dict(df.dtypes)["Temp"] == "string" and dict(df.dtypes)["MQ2"] == "double"
     frame = feature_frame(df, order=("seq",), also_fill=("Hour", "Hours Left to Rot"))
-    assert frame.count() == 55 and len(frame.columns) == 4 + 172
+    assert frame.count() == 55 and len(frame.columns) == 5 + 172
     write_table(frame, str(tmp_path / "out"), partition_by=["run_id"])
     assert spark.read.parquet(str(tmp_path / "out")).count() == 55
 
@@ -215,16 +216,66 @@ def test_csv_row_order_over_splits(spark, tmp_path):
     assert len({r["seq"] for r in rows}) == 3000
 
 
-def test_csv_bad_number_and_foreign_header_raise(spark, tmp_path):
+def test_csv_bad_number_raises(spark, tmp_path):
     _write(tmp_path, "bad.csv", 5, bad="oops")
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+    with pytest.raises(Exception, match="not a number"):
         read_runs(spark, str(tmp_path / "bad.csv")).collect()
-    _write(tmp_path, "other.csv", 5, header=HEADER.replace("MQ9,MQ135", "MQ135,MQ9"))
+    _write(tmp_path, "unit.csv", 5, bad="1d")
+    with pytest.raises(Exception, match="not a number"):
+        read_runs(spark, str(tmp_path / "unit.csv")).collect()
+
+
+def test_csv_columns_are_aligned_by_name(spark, tmp_path):
     _write(tmp_path, "good.csv", 5)
-    both = read_runs(spark, [str(tmp_path / "good.csv"), str(tmp_path / "other.csv")])
-    assert both.select("Hour").count() == 10
-    with pytest.raises(Exception, match="header"):
-        both.select("MQ9").collect()
+    swapped = HEADER.replace("MQ9,MQ135", "MQ135,MQ9")
+    _write(tmp_path, "other.csv", 5, header=swapped)
+    (tmp_path / "few.csv").write_text("Hour,MQ9\n0.5,7\n")
+    rows = {r["run_name"]: r for r in read_runs(spark, str(tmp_path / "*.csv")).where("seq >= 0").orderBy("seq").collect()}
+    assert (rows["good.csv"]["MQ9"], rows["good.csv"]["MQ135"]) == (4.0, 5.5)
+    assert (rows["other.csv"]["MQ9"], rows["other.csv"]["MQ135"]) == (5.5, 4.0)
+    assert (rows["few.csv"]["MQ9"], rows["few.csv"]["MQ135"]) == (7.0, None)
+
+
+def test_csv_runs_of_equal_names_stay_apart(spark, tmp_path):
+    for folder, n in (("a", 3), ("b", 4)):
+        (tmp_path / folder).mkdir()
+        _write(tmp_path / folder, "run.csv", n)
+    df = read_runs(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert sorted(r["count"] for r in df.groupBy("run_id").count().collect()) == [3, 4]
+    assert df.select("run_id", "seq").distinct().count() == 7
+
+
+def test_missing_texts_are_not_trimmed(spark):
+    df = spark.createDataFrame([("nan",), ("",), (" 1.5 ",), (None,)], "t string")
+    assert [r[0] for r in df.select(strict_number(F.col("t"))).collect()] == [None, None, 1.5, None]
+    with pytest.raises(Exception, match="not a number"):
+        df.select(strict_number(F.lit(" nan"))).collect()
+
+
+def test_more_than_two_hundred_folds(spark):
+    """No limit to the folds, predictions saved once, and least squares from sums equal to refitting."""
+    pdf = signal(n=1005, runs=201)
+    df = spark.createDataFrame(pdf)
+    linear = {"Linear Regression": ModelSpec(lambda n: LinearRegression(), additive=True)}
+    found = cross_validate(df, ["a", "b"], "y", linear, IDS, fold="run_id").predictions
+    assert found.count() == 1005 and found.select("fold").distinct().count() == 201
+    few = df.where("run_id < 3")
+    a = cross_validate(few, ["a", "b"], "y", linear, IDS, fold="run_id").predictions.orderBy("event_id").collect()
+    b = cross_validate(few, ["a", "b"], "y", {"Linear Regression": ModelSpec(lambda n: LinearRegression())}, IDS, fold="run_id")
+    np.testing.assert_allclose([r["predicted"] for r in a], [r["predicted"] for r in b.predictions.orderBy("event_id").collect()], rtol=1e-8)
+
+
+def test_folds_without_features_are_skipped(rows):
+    models = {"Linear Regression": ModelSpec(lambda n: LinearRegression(), additive=True), "Other": ModelSpec(lambda n: LinearRegression())}
+    assert cross_validate(rows, [], "y", models, IDS, fold="run_id").predictions.count() == 0
+
+
+def test_groups_without_a_name(spark):
+    df = spark.createDataFrame([(None, float(i)) for i in range(10)] + [("x", float(i)) for i in range(10)], "model string, v double")
+    bins = report.histogram(df, "v").groupBy("model").agg(F.sum("n").alias("n")).collect()
+    assert sorted((r["model"] or "", r["n"]) for r in bins) == [("", 10), ("x", 10)]
+    assert report.density(df, "v").where("density is not null").count() == 400
+    assert sorted((r["model"] or "", r["n"]) for r in report.box_statistics(df, "v").collect()) == [("", 10), ("x", 10)]
 
 
 def test_stacking_aligns_columns(spark):

@@ -76,6 +76,7 @@ def test_scalars(spark):
         guarded_ratio(F.col("a"), F.col("b")), clip_negative(F.col("p")), round_half_even(F.col("a") * 2.25)
     ).head()
     assert list(row) == [None, 0.0, 2.2]
+    assert df.select(clip_negative(F.lit(None).cast("double"))).head()[0] is None
 
 
 def test_difference_is_two_rows_apart(spark):
