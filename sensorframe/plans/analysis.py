@@ -100,9 +100,13 @@ def select_features(
     threshold: float | None = THRESHOLD,
     **forest_settings,
 ) -> Selection:
-    """Forest importances, median cut, then the correlation filter (``threshold=None`` skips it).
-    Only names, at most one per feature, reach the driver."""
-    importances = forest_importance(frame, features, label, **forest_settings)
+    """Forest importances, median cut, then the correlation filter (``threshold=None`` skips it)."""
+    return select_by_scores(frame, forest_importance(frame, features, label, **forest_settings), threshold)
+
+
+def select_by_scores(frame: DataFrame, importances: DataFrame, threshold: float | None = THRESHOLD) -> Selection:
+    """The chain behind the scores: median cut, then the correlation filter. ``importances`` has position, feature
+    and importance. Only names, at most one per feature, reach the driver."""
     kept = [r["feature"] for r in above_median(importances).orderBy("position").collect()]
     dropped = [] if threshold is None else drop_correlated(frame.select(*[f"`{c}`" for c in kept]), kept, threshold)[1]
     return Selection(importances, kept, dropped)

@@ -11,7 +11,7 @@ from sensorframe.operators.linear import loro_linear
 from sensorframe.operators.metrics import fold_metrics, model_summary
 from sensorframe.operators.models import ModelSpec, boosting, forest, kernel_model
 from sensorframe.operators.selection import above_median, forest_importance, top_scores
-from sensorframe.plans import learning_frame
+from sensorframe.plans import learning_frame, select_by_scores
 from sensorframe.queries.common import (
     IDS,
     PREDICTIONS_SQL,
@@ -22,7 +22,7 @@ from sensorframe.queries.common import (
     show,
     sql_show,
 )
-from sensorframe.queries.relational import NARROW, narrow_frame
+from sensorframe.queries.relational import NARROW, NARROW_SQL, SCORES_TABLE_SQL, feature_scores, narrow_frame
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -102,6 +102,61 @@ def q_loro_ols_all(spark, sf_dir) -> DataFrame:
     return _shown(loro_linear(rows, names, "hours_left", IDS))
 
 
+def _pairs_sql(names) -> str:
+    pairs = ", ".join(
+        f"struct_pack(i := {i}, j := {j}, c := abs(corr(\"{a}\", \"{b}\")))" for j, b in enumerate(names) for i, a in enumerate(names[:j])
+    )
+    return f"pairs AS (SELECT p.i AS i, p.j AS j, p.c AS c FROM (SELECT unnest([{pairs}]) AS p FROM frame WHERE hours_left > 0))"
+
+
+@query(
+    f"""WITH {SCORES_TABLE_SQL}, {_pairs_sql(NARROW.names())},
+    placed AS (SELECT feature, importance, list_position([{", ".join(f"'{c}'" for c in NARROW.names())}], feature) - 1 AS position FROM score_table),
+    kept AS (SELECT * FROM placed WHERE importance >= (SELECT median(importance) FROM score_table))
+    SELECT position::INTEGER AS position, feature FROM kept WHERE NOT EXISTS (
+      SELECT 1 FROM pairs JOIN kept earlier ON earlier.position = pairs.i WHERE pairs.j = kept.position AND pairs.c > 0.9)"""
+)
+def q_selection_chain(spark, sf_dir) -> DataFrame:
+    """Scores that SQL can follow, the median cut, the correlation filter, and the names that are left."""
+    rows, names = learning_frame(narrow_frame(spark, sf_dir), "hours_left", IDS, NARROW.channels)
+    scores = feature_scores(spark, sf_dir)
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("feature")).cast("int") - 1
+    chosen = select_by_scores(rows, scores.withColumn("position", place))
+    return spark.createDataFrame([(names.index(f), f) for f in chosen.features], "position int, feature string")
+
+
+MODELS = ("Fourier Ridge", "Gradient Boosting", "Column-Sampled Boosting", "Random Forest", "Linear Regression")
+
+
+@query(
+    f"""WITH {NARROW_SQL} SELECT model, run_id, event_id, round_even((hours_left) * 1e6, 0) / 1e6 + 0.0 AS actual, true AS sane
+    FROM frame, (VALUES {", ".join(f"('{m}')" for m in MODELS)}) AS names(model) WHERE hours_left > 0"""
+)
+def q_cv_rows(spark, sf_dir) -> DataFrame:
+    """What must hold for every model: each row is predicted once, with its label, no negative or missing value, and
+    a forest's predictions lie within the labels' range."""
+    rows, names = _learning(spark, sf_dir)
+    models = {
+        "Fourier Ridge": kernel_model(),
+        "Gradient Boosting": ModelSpec(lambda n: boosting(**SMALL_BOOSTING), trees=True),
+        "Column-Sampled Boosting": ModelSpec(lambda n: boosting(**{**SMALL_BOOSTING, "featureSubsetStrategy": "0.7"}), trees=True),
+        "Random Forest": ModelSpec(lambda n: forest(**SMALL_FOREST), trees=True),
+        "Linear Regression": ModelSpec(lambda n: LinearRegression(), additive=True),
+    }
+    found = cross_validate(grouped_folds(rows, FOLDS), names, "hours_left", models, IDS, store=False).predictions
+    low, high = rows.agg(F.min("hours_left"), F.max("hours_left")).head()
+    inside = F.col("predicted").between(low, high) | (F.col("model") != "Random Forest")
+    sane = F.coalesce((F.col("predicted") >= 0) & inside, F.lit(False))
+    return found.select("model", *IDS, rounded("actual").alias("actual"), sane.alias("sane"))
+
+
+@query(f"SELECT {len(NARROW.names())}::BIGINT AS n, 1.0::DOUBLE AS total, true AS positive FROM events LIMIT 1")
+def q_rf_importance_sum(spark, sf_dir) -> DataFrame:
+    """Importances are complete, not negative and sum up to 1."""
+    found = q_rf_importance(spark, sf_dir)
+    return found.agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("importance"), 9).alias("total"), F.min(F.col("importance") >= 0).alias("positive"))
+
+
 @query()
 def q_rf_importance(spark, sf_dir) -> DataFrame:
     rows, names = _learning(spark, sf_dir)

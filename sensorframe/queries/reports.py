@@ -121,13 +121,19 @@ def q_residual_kde(spark, sf_dir) -> DataFrame:
     return curve.select("model", "point", rounded("x").alias("x"), rounded("density", 9).alias("density"))
 
 
-@query(
-    f"""WITH {SCORES_SQL} SELECT fold, round_even((max(r2) FILTER (WHERE model = 'mean')) * 1e6, 0) / 1e6 + 0.0 AS mean,
-    round_even((max(r2) FILTER (WHERE model = 'linear')) * 1e6, 0) / 1e6 + 0.0 AS linear FROM scores GROUP BY fold"""
-)
-def q_scores_wide(spark, sf_dir) -> DataFrame:
-    scores = fold_metrics(held_out_predictions(spark, sf_dir))
-    return show(report.scores_wide(scores, "r2", ["mean", "linear"]), ["fold"], ["mean", "linear"])
+def _wide_query(name: str, metric: str) -> None:
+    columns = ", ".join(f"round_even((max({metric}) FILTER (WHERE model = '{m}')) * 1e6, 0) / 1e6 + 0.0 AS {m}" for m in ("mean", "linear"))
+
+    def run(spark, sf_dir) -> DataFrame:
+        scores = fold_metrics(held_out_predictions(spark, sf_dir))
+        return show(report.scores_wide(scores, metric, ["mean", "linear"]), ["fold"], ["mean", "linear"])
+
+    run.__name__ = name
+    query(f"WITH {SCORES_SQL} SELECT fold, {columns} FROM scores GROUP BY fold")(run)
+
+
+for _name, _metric in (("q_scores_wide", "r2"), ("q_scores_wide_rmse", "rmse"), ("q_scores_wide_mae", "mae")):
+    _wide_query(_name, _metric)
 
 
 def _box_sql(ctes: str, source: str, by: str, value: str) -> str:
@@ -145,12 +151,17 @@ def _box_sql(ctes: str, source: str, by: str, value: str) -> str:
 _BOX = ["q1", "median", "q3", "whisker_lo", "whisker_hi"]
 
 
-@query(
-    f"{_box_sql(SCORES_SQL, 'scores', 'model', 'rmse')} SELECT {sql_show(['model', 'n', 'n_outliers'], _BOX)} FROM stats"
-)
-def q_boxplot(spark, sf_dir) -> DataFrame:
-    boxes = report.box_statistics(fold_metrics(held_out_predictions(spark, sf_dir)), "rmse")
-    return show(boxes, ["model", "n", "n_outliers"], _BOX)
+def _box_query(name: str, metric: str) -> None:
+    def run(spark, sf_dir) -> DataFrame:
+        boxes = report.box_statistics(fold_metrics(held_out_predictions(spark, sf_dir)), metric)
+        return show(boxes, ["model", "n", "n_outliers"], _BOX)
+
+    run.__name__ = name
+    query(f"{_box_sql(SCORES_SQL, 'scores', 'model', metric)} SELECT {sql_show(['model', 'n', 'n_outliers'], _BOX)} FROM stats")(run)
+
+
+for _name, _metric in (("q_boxplot", "rmse"), ("q_boxplot_r2", "r2"), ("q_boxplot_mae", "mae")):
+    _box_query(_name, _metric)
 
 
 @query(f"{_box_sql(_LINES, 'lines', 'flag', 'price')} SELECT {sql_show(['flag', 'n', 'n_outliers'], _BOX)} FROM stats")
