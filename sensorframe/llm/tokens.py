@@ -174,21 +174,15 @@ def distinct(values: np.ndarray, first: np.ndarray, rank: np.ndarray | None = No
     """Each text's values without repeats, ordered by (rank of the value's top bits, value). ``rank`` has 2^k
     entries of 8 bits, for the values' top k bits; without it, the order is that of the values."""
     group = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    if rank is not None:
-        shift = np.uint64(64 - (len(rank) - 1).bit_length())
-        level = rank[values >> shift].astype(np.uint64)
-        key = (group.astype(np.uint64) << np.uint64(44)) | (level << np.uint64(36)) | (values >> np.uint64(28))
-    else:
-        key = (group.astype(np.uint64) << np.uint64(44)) | (values >> np.uint64(20))
+    shift = np.uint64(64 - (len(rank) - 1).bit_length()) if rank is not None else np.uint64(0)
+    level = rank[values >> shift].astype(np.uint64) if rank is not None else np.zeros(len(values), np.uint64)
+    # Group, level and the values' top bits in one key, which sorts fast; in full where that can't tell them apart.
+    key = (group.astype(np.uint64) << np.uint64(44)) | (level << np.uint64(36)) | (values >> np.uint64(28))
     order = np.argsort(key)
-    values, key = values[order], key[order]
+    same = key[order][1:] == key[order][:-1]
+    if len(first) > 1 << 20 or (same & (values[order][1:] != values[order][:-1])).any():
+        order = np.lexsort((values, level, group))
+    values, group = values[order], group[order]
     new = np.ones(len(values), bool)
-    same = key[1:] == key[:-1]
-    new[1:] = values[1:] != values[:-1]
-    new[1:] |= ~same
-    if (same & new[1:]).any():  # values that the key can't tell apart: order them in full
-        order = np.lexsort((values, key))
-        values, key = values[order], key[order]
-        new[1:] = (values[1:] != values[:-1]) | (key[1:] != key[:-1])
-    group = (key[new] >> np.uint64(44)).astype(np.int64)
-    return values[new], np.searchsorted(group, np.arange(len(first)))
+    new[1:] = (values[1:] != values[:-1]) | (group[1:] != group[:-1])
+    return values[new], np.searchsorted(group[new], np.arange(len(first)))
