@@ -20,6 +20,7 @@ from sensorframe.operators.features import (
     feature_columns,
     project,
 )
+from sensorframe.operators.layout import RunLayout
 from sensorframe.operators.scaling import scaler_fit, scaler_values, standardize
 from sensorframe.operators.selection import above_median, selection_counts, top_scores
 from sensorframe.plans import feature_frame, learning_frame
@@ -45,6 +46,7 @@ from sensorframe.queries.common import (
     sql_show,
 )
 from sensorframe.sources import stack_runs
+from sensorframe.sources.tables import KEYS, ORDER
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -209,6 +211,20 @@ def q_feature_frame(spark, sf_dir):
     return show(narrow_frame(spark, sf_dir), [*IDS, "ts"], ["hours_left", *NARROW.names()])
 
 
+@query(f"WITH {NARROW_SQL} SELECT {sql_show([*IDS, 'ts'], ['hours_left', *NARROW.names()])} FROM frame")
+def q_feature_frame_cut(spark, sf_dir):
+    """The same frame with every run cut into chunks of about 20 rows."""
+    raw = labelled(spark, sf_dir).select("run_id", "ts", "event_id", "hours_left", "value", "m")
+    return show(feature_frame(raw, NARROW, max_rows=20), [*IDS, "ts"], ["hours_left", *NARROW.names()])
+
+
+@query(f"WITH {REPAIRED_SQL} SELECT {sql_show(IDS, TEXT_CHANNELS)} FROM repaired")
+def q_repair_cut(spark, sf_dir):
+    df = channels(spark, sf_dir)
+    layout = RunLayout.plan(df, KEYS, ORDER, 20)
+    return show(gaps.repair_channels(layout.attach(df), layout, TEXT_CHANNELS), IDS, TEXT_CHANNELS)
+
+
 # Seven decimals show every mean of up to 20 readings without a tie; deviations carry more noise.
 _STD = [c for c in FULL.names() if "_std_" in c]
 _EXACT = ["hours_left", *[c for c in FULL.names() if c not in _STD]]
