@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 # Generated methods beyond 8000 bytes of bytecode are never compiled to machine code by the JVM.
-# With this limit Spark splits such stages instead; wide feature frames run 2-4 times faster.
+# With this limit Spark splits such stages instead (a narrow feature frame took 3.4 s instead of 4.9 s).
 TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
@@ -66,6 +68,7 @@ def shared_dir(spark: SparkSession) -> str:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
             configured = tempfile.mkdtemp(prefix="sensorframe-")
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)  # its own; a cluster's folder is not its to clean
         sc.setCheckpointDir(configured)
         current = sc.getCheckpointDir()
     return current
