@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,9 +80,7 @@ def bucket_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
                 names=["block", "counts"],
             )
 
-    def add(key: tuple, parts):
-        import pandas as pd
-
+    def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(_BLOCK, np.uint64)
         for part in parts["counts"]:
             total += np.frombuffer(part, np.uint64)
