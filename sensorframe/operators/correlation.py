@@ -19,7 +19,7 @@ PAIR_SCHEMA = "i int, j int, feature_i string, feature_j string, corr double"
 def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(i, j, feature_i, feature_j, corr) for positions i < j; NULL beside a constant feature.
 
-    One distributed pass over the rows. Only the matrix, whose size is set by the number of
+    Two distributed passes over the rows: means, then products. Only the matrix, whose size is set by the number of
     features, passes through the driver.
     """
     vectors = VectorAssembler(inputCols=list(features), outputCol="v", handleInvalid="error").transform(
