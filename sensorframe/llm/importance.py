@@ -81,13 +81,12 @@ def calibrate(scored: DataFrame, labels: DataFrame, spare: float) -> float | Non
     total = {t: sum(r["count"] for r in found if r.target == t) for t in (True, False)}
     if not total[True] or not total[False]:
         return None
-    best, limit, out = -1, None, {True: 0, False: 0}
-    for step in sorted({r.step for r in found}):
-        if out[True] <= spare * total[True] and out[False] - out[True] > best:
-            best, limit = out[False] - out[True], step / STEPS_PER_UNIT
-        for r in found:
-            if r.step == step:
-                out[r.target] += r["count"]
+    best, limit, out, before = -1, None, {True: 0, False: 0}, None
+    for r in sorted(found, key=lambda r: r.step):
+        if r.step != before and out[True] <= spare * total[True] and out[False] - out[True] > best:
+            best, limit = out[False] - out[True], r.step / STEPS_PER_UNIT
+        out[r.target] += r["count"]
+        before = r.step
     return limit
 
 
