@@ -14,12 +14,22 @@ from sensorframe.session import locate, written
 
 __all__ = ["table", "written", "small", "bare", "Held", "text_or_empty", "bucket_counts", "levels", "BROADCAST_ROWS"]
 
+BATCH_ROWS = 1000
+
 #: A side is broadcast only when this many narrow rows (keys of a few dozen bytes) were counted at most.
 BROADCAST_ROWS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return locate(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(locate(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Texts go to Python in batches of at most BATCH_ROWS rows: long ones would fill a worker's memory otherwise."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+    return spark
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -69,10 +79,21 @@ def bucket_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
     size, shift = 1 << bits, np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total, held, n = np.zeros(size, np.int64), [], 0
+
+        def add_held() -> None:
+            nonlocal held, n
+            if n:
+                total[:] += np.bincount(np.concatenate(held), minlength=size)
+            held, n = [], 0
+
         for batch in batches:
             for values in hashes(batch):
-                total += np.bincount((values >> shift).astype(np.int64), minlength=size)
+                held.append((values >> shift).astype(np.int32))
+                n += len(values)
+                if n >= size:
+                    add_held()
+        add_held()
         if total.any():
             blocks = total.astype(np.uint64).view(np.uint8).reshape(size // _BLOCK, -1)
             yield pa.record_batch(
