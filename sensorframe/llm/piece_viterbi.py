@@ -20,7 +20,7 @@ SPACE, UNKNOWN_PENALTY = "▁", 10.0
 _LITERAL = "\udc81"
 #: Segments up to this length are remembered in each worker, in two generations of up to so many: when the younger
 #: is full it takes the place of the elder.
-MEMO_CHARS, MEMO_SIZE = 48, 500_000
+MEMO_CHARS, MEMO_SIZE = 48, 250_000
 
 
 _READY: dict[int, dict] = {}
