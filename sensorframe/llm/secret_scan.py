@@ -52,7 +52,8 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     keys and hexadecimal runs are found by their form. To these the battery adds runs of at least 16 characters of
     an encoding that mix letter cases or letters and digits and lie in no other span: for the narrowest alphabet
     that fits, symbols are tested for uniform use (chi-squared), for runs about the alphabet's middle and for serial
-    correlation, each under the hypothesis that they were drawn at random. The combined p-values of all runs of the
+    correlation, each under the hypothesis that they were drawn at random. A run that no alphabet fits is no secret as
+    a whole; its parts of one alphabet are tested if they are such runs themselves. The combined p-values of all runs of the
     corpus are held, by length class, against a Benjamini-Hochberg limit; runs it rejects are text, the others are
     secrets.
 
@@ -143,7 +144,26 @@ def _matches(docs: DataFrame, *keep: str) -> DataFrame:
     failing = (F.col("kind") == KINDS.index("assign")) & (F.length(value) < 12)
     # A text of which every match fails still has to leave a row.
     placed = placed.withColumn("kind", F.when(~failing, F.col("kind"))).withColumn("hit", F.when(F.col("kind") == random, F.regexp_replace("hit", "=+$", "")))
-    return battery(placed).select("row", "doc_id", *keep, "kind", "start", "end", F.length("hit").alias("length"), "p")
+    return battery(_with_parts(placed)).select("row", "doc_id", *keep, "kind", "start", "end", F.length("hit").alias("length"), "p")
+
+
+def _with_parts(placed: DataFrame) -> DataFrame:
+    """``placed`` and rows for those parts of its runs that are tested by themselves: a run with signs of both base64
+    and base64url fits no alphabet, so it is cut at the ones and at the others. Each row stays, whatever its parts."""
+
+    def cut(level: int, signs: str) -> Column:
+        return F.transform(F.split("hit", signs, -1), lambda x, i: F.struct(F.lit(level).alias("level"), i.alias("no"), x.alias("part")))
+
+    whole = F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("no"), F.col("hit").alias("part")))
+    mixed = F.col("hit").rlike("[+/]") & F.col("hit").rlike("[_-]")
+    parts = placed.withColumn("x", F.explode(F.when(mixed, F.concat(whole, cut(1, "[_-]"), cut(2, "[+/]"))).otherwise(whole))).select("*", "x.*").drop("x")
+    along = Window.partitionBy("row", "kind", "at", "level").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("until", F.sum(F.length("part") + 1).over(along) - 1)
+    begin = F.col("start") + F.col("until") - F.length("part")
+    stop = F.when(F.col("until") == F.length("hit"), F.col("end")).otherwise(F.col("start") + F.col("until"))  # "=" goes with the last part
+    own = F.col("level") == 0
+    parts = parts.filter(own | F.col("part").rlike(f"^{PATTERNS['random']}"))
+    return parts.withColumns({"start": F.when(own, F.col("start")).otherwise(begin), "end": F.when(own, F.col("end")).otherwise(stop), "hit": F.col("part")})
 
 
 def normal_upper(z: Column) -> Column:
@@ -195,9 +215,9 @@ def battery(df: DataFrame) -> DataFrame:
     serial = F.when(variance > 0, ((F.col("products") - ends + (n - 1) * mean * mean) / variance + 1 / n) * F.sqrt(n)).otherwise(0.0)
     # Each test's statistic and the number of its tails.
     tests = F.array(*[F.struct(z.alias("z"), F.lit(k).alias("tails")) for z, k in ((uniform, 1), (F.abs(runs), 2), (F.abs(serial), 2))])
-    return df.withColumn("tests", F.when(F.col("alphabet").isNotNull(), tests)).withColumn(
-        "p", F.least(F.lit(1.0), 3 * F.array_min(F.transform("tests", lambda t: t.tails * normal_upper(t.z))))
-    )
+    least = F.least(F.lit(1.0), 3 * F.array_min(F.transform("tests", lambda t: t.tails * normal_upper(t.z))))
+    # least() alone passes over nulls.
+    return df.withColumn("tests", F.when(F.col("alphabet").isNotNull(), tests)).withColumn("p", F.when(F.col("tests").isNotNull(), least))
 
 
 def _class() -> Column:

@@ -61,6 +61,21 @@ def test_battery(found):
             assert text[int(start) : int(end)] in text.split()
 
 
+PATHS = ["docs/user-guide/chapter2", "com/apache/spark-3/pull", "a/b-c/get_items2/v1", "src/main-app/testFiles_old/build7"]
+
+
+def test_paths_are_no_secrets(docs_of):
+    """Runs with signs of both base64 and base64url fit no alphabet; their parts are tested by themselves."""
+    key = drawn(B64[:62], 40)
+    docs = docs_of([*enumerate(f"see {p} there" for p in PATHS), (10, f"see a-b/c/{key}== there")])
+    got = {r.doc_id: r for r in secret_scan(docs).collect()}
+    assert all(got[i].spans == "" for i in range(len(PATHS)))
+    assert got[10].n_random >= 1
+    text = {r[0]: r[1] for r in redact(docs).collect()}
+    assert all(text[i] == f"see {p} there" for i, p in enumerate(PATHS))
+    assert key not in text[10] and text[10].startswith("see a-") and text[10].endswith("[SECRET] there")
+
+
 def test_redact(docs_of):
     rows = [r for r in ROWS if r[0] is None or r[0] < 100]
     docs = docs_of(rows)
