@@ -50,12 +50,13 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
     ``spans`` lists ``kind:start:end`` in code points, end exclusive, by start and then kind. Assignments, access
     keys and hexadecimal runs are found by their form. To these the battery adds runs of at least 16 characters of
-    an encoding that mix letter cases or letters and digits and lie in no other span: for the narrowest alphabet
-    that fits, symbols are tested for uniform use (chi-squared), for runs about the alphabet's middle and for serial
-    correlation, each under the hypothesis that they were drawn at random. A run that no alphabet fits is no secret as
-    a whole; its parts of one alphabet are tested if they are such runs themselves. The combined p-values of all runs of the
-    corpus are held, by length class, against a Benjamini-Hochberg limit; runs it rejects are text, the others are
-    secrets.
+    an encoding that mix letter cases or letters and digits, as far as they lie in no other span: for the narrowest
+    alphabet that fits, symbols are tested for uniform use (chi-squared), for runs about the alphabet's middle and for serial
+    correlation, each under the hypothesis that they were drawn at random. The segments between signs that are such
+    runs are tested as well, so that the words around a key in a path or a hyphenated name do not hide it. A run that no alphabet
+    fits is no secret as a whole; its parts of one alphabet are tested likewise. The combined p-values of all runs
+    and parts of the corpus are held, by length class, against a Benjamini-Hochberg limit; what it rejects is text, the others are
+    secrets; those that overlap are one span.
 
     A null text counts as empty and has no span; its digest is that of the empty string. A null doc_id is kept.
     Repeated rows give a row each. Columns other than doc_id and text are not read.
@@ -84,12 +85,27 @@ def _spans(docs: DataFrame, *keep: str) -> DataFrame:
     found = written(_matches(docs, *keep))
     random = F.col("kind") == len(KINDS) - 1
     spans = found.withColumn("kind", F.when(~(random & _dismissed(dismissal_limits(found))), F.col("kind")))  # a row stays for each text
-    within = Window.partitionBy("row").orderBy("start", "kind")
-    others = F.max(F.when(~random, F.col("end"))).over(within.rowsBetween(Window.unboundedPreceding, -1))
-    later = F.min(F.when(~random, F.col("start"))).over(within.rowsBetween(1, Window.unboundedFollowing))
-    clear = F.coalesce(others <= F.col("start"), F.lit(True)) & F.coalesce(later >= F.col("end"), F.lit(True))
-    spans = spans.withColumn("clear", ~random | clear)
-    return spans.withColumn("kind", F.when(F.col("kind").isNull() | F.col("clear"), F.col("kind")))
+    columns = ["row", "doc_id", *keep, "kind", "start", "end"]
+    others = spans.withColumn("kind", F.when(~random, F.col("kind"))).select(*columns)
+    return others.unionByName(_outside(spans.filter("kind is not null"), *keep).select(*columns))
+
+
+def _outside(spans: DataFrame, *keep: str) -> DataFrame:
+    """The stretches that runs cover and no other span does, each as one span, from sums over the ends of all spans."""
+    random = F.col("kind") == len(KINDS) - 1
+
+    def end(at: str, step: int) -> Column:
+        return F.struct(F.col(at).alias("at"), F.when(random, step).otherwise(0).alias("runs"), F.when(random, 0).otherwise(step).alias("others"))
+
+    ends = spans.select("row", "doc_id", *keep, F.explode(F.array(end("start", 1), end("end", -1))).alias("x")).select("row", "doc_id", *keep, "x.*")
+    ends = ends.groupBy("row", "at").agg(*[F.first(c).alias(c) for c in ("doc_id", *keep)], F.sum("runs").alias("runs"), F.sum("others").alias("others"))
+    along = Window.partitionBy("row").orderBy("at")
+    before = along.rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("inside", (F.sum("runs").over(before) > 0) & (F.sum("others").over(before) == 0))
+    turns = ends.withColumn("was", F.lag("inside", 1, False).over(along)).filter("inside <> was")
+    # Turns alternate: each stretch begins at one and ends at the next.
+    out = turns.withColumn("end", F.lead("at").over(along)).filter("inside").withColumn("start", F.col("at"))
+    return out.withColumn("kind", F.lit(len(KINDS) - 1))
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
@@ -148,21 +164,24 @@ def _matches(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def _with_parts(placed: DataFrame) -> DataFrame:
-    """``placed`` and rows for those parts of its runs that are tested by themselves: a run with signs of both base64
-    and base64url fits no alphabet, so it is cut at the ones and at the others. Each row stays, whatever its parts."""
+    """``placed`` and rows for those parts of its runs that are tested by themselves: the segments between signs, and,
+    as a run with signs of both base64 and base64url fits no alphabet, what lies between the ones and between the
+    others. Each row stays, whatever its parts."""
 
     def cut(level: int, signs: str) -> Column:
         return F.transform(F.split("hit", signs, -1), lambda x, i: F.struct(F.lit(level).alias("level"), i.alias("no"), x.alias("part")))
 
     whole = F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("no"), F.col("hit").alias("part")))
-    mixed = F.col("hit").rlike("[+/]") & F.col("hit").rlike("[_-]")
-    parts = placed.withColumn("x", F.explode(F.when(mixed, F.concat(whole, cut(1, "[_-]"), cut(2, "[+/]"))).otherwise(whole))).select("*", "x.*").drop("x")
+    slashed, dashed = F.col("hit").rlike("[+/]"), F.col("hit").rlike("[_-]")
+    parts = F.when(slashed & dashed, F.concat(whole, cut(1, "[_-]"), cut(2, "[+/]"), cut(3, "[+/_-]"))).when(slashed | dashed, F.concat(whole, cut(3, "[+/_-]"))).otherwise(whole)
+    parts = placed.withColumn("x", F.explode(parts)).select("*", "x.*").drop("x")
     along = Window.partitionBy("row", "kind", "at", "level").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     parts = parts.withColumn("until", F.sum(F.length("part") + 1).over(along) - 1)
     begin = F.col("start") + F.col("until") - F.length("part")
     stop = F.when(F.col("until") == F.length("hit"), F.col("end")).otherwise(F.col("start") + F.col("until"))  # "=" goes with the last part
     own = F.col("level") == 0
-    parts = parts.filter(own | F.col("part").rlike(f"^{PATTERNS['random']}"))
+    once = (F.col("level") == 3) | F.col("part").rlike("[+/_-]")  # a part without signs is a segment
+    parts = parts.filter(own | (once & F.col("part").rlike(f"^{PATTERNS['random']}")))
     return parts.withColumns({"start": F.when(own, F.col("start")).otherwise(begin), "end": F.when(own, F.col("end")).otherwise(stop), "hit": F.col("part")})
 
 
