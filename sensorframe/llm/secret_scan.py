@@ -39,11 +39,19 @@ ALPHABETS = {
     "base64url": ("^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 }
 
-#: Upper ends of the length classes, and in each the share of random runs that may be dismissed as text. Short runs
-#: give the tests little to go by, so there more of them may be lost than ordinary words let through.
-LENGTH_CLASSES = ((24, 0.30), (32, 0.15), (48, 0.08), (96, 0.04), (1 << 62, 0.02))
+#: Upper ends of the length classes, and the share of random runs that may be dismissed as text in each.
+LENGTH_CLASSES = (24, 32, 48, 96, 1 << 62)
+SHARE = 0.02
 P_STEPS = 400
 
+#: Signs of runs in the order of the tables of ``text_scores``, and what is assumed of ordinary text besides its letter
+#: pairs: how often a sign's sort (letter, digit, other), small letters and capitals stay, and letter frequencies (per mille of
+#: English) that weigh as much as so many words until words of the corpus outweigh them.
+SIGNS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+SORT_STAYS, SMALL_STAYS, CAPITAL_STAYS = 0.9, 0.85, 0.3
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+LETTERS_WEIGH = 30
+
 
 def secret_scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
@@ -52,7 +60,8 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     keys and hexadecimal runs are found by their form. To these the battery adds runs of at least 16 characters of
     an encoding that mix letter cases or letters and digits, as far as they lie in no other span: for the narrowest
     alphabet that fits, symbols are tested for uniform use (chi-squared), for runs about the alphabet's middle and for serial
-    correlation, each under the hypothesis that they were drawn at random. The segments between signs that are such
+    correlation, and their likelihood is compared with that under the letter pairs of the corpus's ordinary words, each under the
+    hypothesis that they were drawn at random. The segments between signs that are such
     runs are tested as well, so that the words around a key in a path or a hyphenated name do not hide it. A run that no alphabet
     fits is no secret as a whole; its parts of one alphabet are tested likewise. The combined p-values of all runs
     and parts of the corpus are held, by length class, against a Benjamini-Hochberg limit; what it rejects is text, the others are
@@ -160,7 +169,7 @@ def _matches(docs: DataFrame, *keep: str) -> DataFrame:
     failing = (F.col("kind") == KINDS.index("assign")) & (F.length(value) < 12)
     # A text of which every match fails still has to leave a row.
     placed = placed.withColumn("kind", F.when(~failing, F.col("kind"))).withColumn("hit", F.when(F.col("kind") == random, F.regexp_replace("hit", "=+$", "")))
-    return battery(_with_parts(placed)).select("row", "doc_id", *keep, "kind", "start", "end", F.length("hit").alias("length"), "p")
+    return battery(_with_parts(placed), text_scores(docs)).select("row", "doc_id", *keep, "kind", "start", "end", F.length("hit").alias("length"), "p")
 
 
 def _with_parts(placed: DataFrame) -> DataFrame:
@@ -194,9 +203,47 @@ def normal_upper(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def battery(df: DataFrame) -> DataFrame:
+def letter_pairs(docs: DataFrame) -> dict[str, int]:
+    """How often each pair of letters, or "^" and a first letter, is in the different ordinary words of all texts: at
+    most 27 x 26 pairs. Words are single-case or begin with a capital and stand by themselves, so that none is part of a run
+    to be tested; each counts once, so that text that is repeated often does not outweigh the rest."""
+    words = bare(docs, "text").select(F.explode(F.array_distinct(F.split("text", f"[^{_RUN}]+"))).alias("word"))
+    words = words.filter(F.col("word").rlike("^(?:[A-Za-z][a-z]+|[A-Z]+)$")).select(F.lower("word").alias("word")).distinct()
+    letters = words.select(F.split(F.concat(F.lit("^"), "word"), "").alias("x"))
+    pairs = letters.select(F.explode(F.expr("transform(sequence(1, size(x) - 1), i -> concat(x[i - 1], x[i]))")).alias("pair"))
+    return {r["pair"]: r["count"] for r in pairs.groupBy("pair").count().collect()}
+
+
+def text_scores(docs: DataFrame) -> tuple[str, str]:
+    """Log-probabilities of each of SIGNS after each other one, and before all at the start, as SQL arrays: those of
+    text that mixes letter cases, where a capital after a small letter begins a word, and those of text in one case."""
+    counts = letter_pairs(docs)
+    letters = SIGNS[:26]
+    pairs = {}
+    for a in "^" + letters:
+        total = sum(counts.get(a + b, 0) for b in letters) + LETTERS_WEIGH
+        for b, k in zip(letters, LETTERS):
+            pairs[a + b] = math.log((counts.get(a + b, 0) + LETTERS_WEIGH * k / sum(LETTERS)) / total)
+
+    def sort(c: str) -> int:
+        return 0 if c.isalpha() else 1 if c.isdigit() else 2
+
+    def score(a: str, b: str, cased: bool) -> float:
+        out = math.log(1 / 3 if not a else SORT_STAYS if sort(a) == sort(b) else (1 - SORT_STAYS) / 2)
+        if not b.isalpha():
+            return out - math.log(10 if b.isdigit() else 4)
+        after = a.isalpha() and not (cased and a.islower() and b.isupper())
+        if cased:
+            stays = SMALL_STAYS if a.islower() else CAPITAL_STAYS
+            out += math.log(0.5 if not a.isalpha() else stays if a.islower() == b.islower() else 1 - stays)
+        return out + pairs[(a.lower() if after else "^") + b.lower()]
+
+    return tuple(f"array({', '.join(f'{score(a, b, cased):.4f}D' for a in ['', *SIGNS] for b in SIGNS)})" for cased in (True, False))
+
+
+def battery(df: DataFrame, scores: tuple[str, str]) -> DataFrame:
     """``df`` with ``p``: how well ``hit`` agrees with symbols drawn at random from the narrowest alphabet that it
-    fits. Null where hit is null or fits none."""
+    fits, against ``text_scores`` and by three tests. Null where hit is null or fits none."""
     cased = F.col("hit")
     alphabet = functools.reduce(
         lambda chain, a: chain.when(cased.rlike(a[0]), F.lit(a[1])), ALPHABETS.values(), F.when(cased.isNull(), F.lit(None))
@@ -234,15 +281,24 @@ def battery(df: DataFrame) -> DataFrame:
     serial = F.when(variance > 0, ((F.col("products") - ends + (n - 1) * mean * mean) / variance + 1 / n) * F.sqrt(n)).otherwise(0.0)
     # Each test's statistic and the number of its tails.
     tests = F.array(*[F.struct(z.alias("z"), F.lit(k).alias("tails")) for z, k in ((uniform, 1), (F.abs(runs), 2), (F.abs(serial), 2))])
-    least = F.least(F.lit(1.0), 3 * F.array_min(F.transform("tests", lambda t: t.tails * normal_upper(t.z))))
+    smallest = F.array_min(F.transform("tests", lambda t: t.tails * normal_upper(t.z)))
+    # How much likelier a run is as text than by random draws exceeds any x with a probability of at most 1 / x under
+    # random draws, whatever its length. Text is of one case or not with the same weight; keys without "+/_-" have 62 symbols.
+    df = df.withColumn("signs", F.expr(f"transform(split(hit, ''), c -> locate(c, '{SIGNS}'))"))
+    mixing, single = (
+        F.expr(f"aggregate(sequence(0, size(signs) - 1), 0D, (s, i) -> s + get({table}, if(i = 0, 0, signs[greatest(i - 1, 0)]) * {len(SIGNS)} + signs[i] - 1))")
+        for table in scores
+    )
+    as_text = F.when(F.col("hit").rlike("[a-z]") & F.col("hit").rlike("[A-Z]"), mixing - math.log(2)).otherwise(single - math.log(4))
+    drawn = F.when((size == 64) & ~F.col("hit").rlike("[+/_-]"), 62.0).otherwise(size)
+    likelier = F.exp(F.least(F.lit(0.0), -(as_text + n * F.log(drawn))))
     # least() alone passes over nulls.
-    return df.withColumn("tests", F.when(F.col("alphabet").isNotNull(), tests)).withColumn("p", F.when(F.col("tests").isNotNull(), least))
+    df = df.withColumn("tests", F.when(F.col("alphabet").isNotNull(), tests))
+    return df.withColumn("p", F.when(F.col("tests").isNotNull(), F.least(F.lit(1.0), 4 * F.least(smallest, likelier))))
 
 
 def _class() -> Column:
-    return functools.reduce(
-        lambda chain, k: chain.when(F.col("length") < LENGTH_CLASSES[k][0], F.lit(k)), range(1, len(LENGTH_CLASSES)), F.when(F.col("length") < LENGTH_CLASSES[0][0], F.lit(0))
-    )
+    return functools.reduce(lambda chain, k: chain.when(F.col("length") < LENGTH_CLASSES[k], F.lit(k)), range(1, len(LENGTH_CLASSES)), F.when(F.col("length") < LENGTH_CLASSES[0], F.lit(0)))
 
 
 def _step() -> Column:
@@ -255,12 +311,12 @@ def dismissal_limits(found: DataFrame) -> dict[int, int]:
     counts of all runs by class and step (at most 5 x 401 rows, whatever the corpus)."""
     counts = found.filter("p is not null").groupBy(_class().alias("c"), _step().alias("s")).count().collect()
     limits = {}
-    for c, (_, q) in enumerate(LENGTH_CLASSES):
+    for c in range(len(LENGTH_CLASSES)):
         own = sorted(((r["s"], r["count"]) for r in counts if r["c"] == c), reverse=True)
         total, below = sum(k for _, k in own), 0
         for s, k in own:
             below += k
-            if 10 ** (-s * 40 / P_STEPS) <= q * below / total:
+            if 10 ** (-s * 40 / P_STEPS) <= SHARE * below / total:
                 limits[c] = s
     return limits
 

@@ -91,6 +91,31 @@ def test_segments(docs_of):
     assert spans == "random:2:16,hex:16:32,random:32:46"
 
 
+WORDS = """account address amount balance batch branch browser buffer button cancel channel client column command commit config content context
+    country currency customer database default delivery document element error event factory field filter folder format function handler
+    header history image index invoice item language layer letter library manager market member message method model module month network
+    number object option order output package parent payment person picture policy price process product profile project property provider
+    record region report request resource response result school season section server service session setting source state station status
+    street student subject summary support system table target template thread ticket title token total transfer update user value vendor
+    version volume weather window winner worker""".split()
+
+
+@pytest.mark.parametrize("low,high", [(16, 24), (24, 32)])
+def test_short_keys_among_names(docs_of, low, high):
+    """However many names there are, few random keys are dismissed with them, and few names stay."""
+    keys = [drawn(B64[:62], rng.randrange(low, high)) for _ in range(300)]
+    keys = [k for k in keys if re.search("[a-z].*[A-Z]|[0-9].*[A-Za-z]", k) and not re.search("[0-9a-f]{16}", k)]
+    names = []
+    while len(names) < 1500:
+        name = "".join([rng.choice(WORDS), *[rng.choice(WORDS).title() for _ in range(rng.randrange(1, 4))], rng.choice(["", "2", "64"])])
+        if low <= len(name) < high and re.search("[a-z][A-Z]", name):
+            names.append(name)
+    docs = docs_of([*enumerate(f"Key {k} ok" for k in keys), *((1000 + i, f"call {n} for") for i, n in enumerate(names)), (5000, " ".join(WORDS))])
+    got = {r.doc_id: r.n_random for r in secret_scan(docs).collect()}
+    found, flagged = sum(got[i] for i in range(len(keys))) / len(keys), sum(got[1000 + i] for i in range(len(names))) / len(names)
+    assert found >= 0.95 and flagged <= 0.05, (found, flagged)
+
+
 def test_redact(docs_of):
     rows = [r for r in ROWS if r[0] is None or r[0] < 100]
     docs = docs_of(rows)
