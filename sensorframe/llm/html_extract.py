@@ -19,8 +19,8 @@ BLOCKS = frozenset(
     " h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead"
     " title tr ul".split()
 )
-BOILERPLATE = frozenset("nav aside footer form menu head title dialog select button label iframe noscript template object svg".split())
-RAW = "script|style|textarea|noscript|template|iframe|svg|math|select|object|xmp|noembed|noframes"
+BOILERPLATE = frozenset("nav aside footer form menu head title dialog select button label iframe noscript template object svg annotation annotation-xml".split())
+RAW = "script|style|textarea|noscript|template|iframe|svg|select|object|xmp|noembed|noframes"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset("article main".split())
 KNOWN = sorted(BLOCKS | BOILERPLATE | VOID | frozenset("a abbr b big cite code del em font i ins kbd mark q s small span strong sub sup tt u var".split()))
@@ -30,12 +30,18 @@ NAMED = re.compile(
     r"|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|menu|nav|navbar|navigation|breadcrumb\w*|footer|masthead|pagination|pager|alert|search|login|signup)(?![a-z])"
 )
 
+#: In an article, text that is named after its subject (related-work, search-algorithms) stays: there a class or role
+#: names something else only if it has no further words than these, and an id only if it is one of few.
+AROUND = frozenset("area article articles bar block body bottom box button buttons container content form group inner item items left link links list main outer panel post posts right section slot stories thread top unit widget widgets wrap wrapper".split())
+IDS = frozenset("comments disqus disqus_thread sidebar newsletter breadcrumbs pagination navbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<empty>{RAW})(?:/>|(?=\s)[^>]*+>(?<=[\s\"']/>))|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 #: What is expected of tags and words that the labelled pages do not have and nothing marks as boilerplate.
 OPEN = 0.9
@@ -43,19 +49,39 @@ PRIOR = 2.0
 TAG_COST, LEAST_COST, LEAST_GAIN = 4.0, 0.02, 0.001
 
 
+def named_off(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether class, id or role name an element as no part of an article; ids of headings are made from their text."""
+    found = [(k.lower(), v.strip("\"'").lower()) for k, v in _ATTRIBUTE.findall(attrs)]
+    if tag in HEADINGS:
+        found = [(k, v) for k, v in found if k != "id"]
+    if not (inside or tag in CONTENT):
+        return bool(NAMED.search(" ".join(v for _, v in found)))
+    for k, v in found:
+        if k == "id":
+            if tag != "section" and v in IDS:
+                return True
+            continue
+        for token in v.split():
+            words = [w for w in re.split(r"[^a-z]+", token) if w]
+            if NAMED.fullmatch(token) or (any(map(NAMED.fullmatch, words)) and all(w in AROUND or NAMED.fullmatch(w) for w in words)):
+                return True
+    return False
+
+
 def events(page: str) -> Iterator[tuple[str, str, bool]]:
     """The page as (kind, value, hidden): kind "text" has the raw text, "open" and "close" the tag. ``hidden`` says
     that it is in, or opens or ends, something that is named or marked as no part of an article."""
     stack: list[tuple[str, bool]] = []
     hidden, at = 0, 0
     inside = 0  # open <article> and <main>
+    math = 0  # open <math>, whose own tags are not the page's
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             yield "text", page[at : m.start()], hidden > 0
         at = m.end()
         tag = m["tag"]
         if tag is None:
-            if m["raw"]:
+            if m["raw"] or m["empty"]:
                 yield "open", "raw", True
             continue
         tag = tag.lower()
@@ -66,22 +92,27 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
                     was = hidden > 0
                     hidden -= off
                     inside -= last in CONTENT
+                    formula = math > 0
+                    math -= last == "math"
                     if last == tag:
                         break
-                yield "close", tag, was
+                if not formula:
+                    yield "close", tag, was
             elif tag in BLOCKS:
                 yield "close", tag, hidden > 0
             continue
         if tag in BLOCKS and stack and stack[-1][0] in ("p", "li", "option", "dt", "dd") and (stack[-1][0] == "p" or stack[-1][0] == tag):
             hidden -= stack.pop()[1]
         attrs = m["attrs"]
-        named = " ".join(_ATTRIBUTE.findall(attrs)).lower() if attrs.strip(" /") else ""
-        off = tag in BOILERPLATE or (tag == "header" and not inside) or bool(named and tag not in ("html", "body") and NAMED.search(named))
-        yield "open", tag, hidden > 0 or off
+        named = tag not in ("html", "body") and attrs.strip(" /") and named_off(tag, attrs, inside > 0)
+        off = tag in BOILERPLATE or (tag == "header" and not inside) or bool(named)
+        if tag != "math" and not math:
+            yield "open", tag, hidden > 0 or off
         if tag not in VOID and not attrs.endswith("/"):
             stack.append((tag, off))
             hidden += off
             inside += tag in CONTENT
+            math += tag == "math"
     if at < len(page):
         rest = page[at:]
         cut = re.search(r"<[!/?a-zA-Z][^>]*\Z", rest)  # a tag that the page's end cuts short

@@ -32,6 +32,26 @@ def test_odd_pages(page, want):
     assert main_text(page, {}) == want
 
 
+@pytest.mark.parametrize("part,want", [
+    ('<h2 id="search-algorithms">On search</h2><p>It is fast.</p>', "On search\nIt is fast."), ('<h2 id="ad-hoc-queries">Ad hoc</h2><p>b c</p>', "Ad hoc\nb c"),
+    ('<section id="related-work"><p>They did it.</p></section>', "They did it."), ('<div id="menu"><p>Soup and bread.</p></div>', "Soup and bread."),
+    ('<section class="social-impact"><p>It helps.</p></section>', "It helps."), ('<p class="ad-hoc">x y z</p>', "x y z"),
+    ('<div class="social-share">Tell all</div>', ""), ('<div class="post ad">Buy it</div>', ""), ('<div class="comment-list"><p>I hate it</p></div>', ""),
+    ('<div id="comments"><p>I hate it</p></div>', ""), ('<div role="search">Find it</div>', ""), ('<div class="related-posts">More of it</div>', ""),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x tex</annotation></math> holds</p>", "so x=2 holds"),
+    ('<svg viewBox="0 0 1 1" /><p>after it</p>', "after it"), ("<svg/><p>a b</p>", "a b"), ("<math/><p>a b</p>", "a b"), ('<object data="x"/><p>a b</p>', "a b"),
+    ("<svg><text>no</text></svg><p>a b</p>", "a b"), ("<object data='y'>no</object><p>a b</p>", "a b"),
+])
+def test_text_of_articles_stays(part, want):
+    page = f"<html><body><article><p>One two three four five.</p>{part}<p>Six seven eight nine ten.</p></article></body></html>"
+    assert main_text(page, WEIGHTS) == "\n".join(filter(None, ["One two three four five.", want, "Six seven eight nine ten."]))
+
+
+@pytest.mark.parametrize("slug", ["search-algorithms", "ad-hoc-queries", "related-work"])
+def test_slugs_of_headings_outside_articles(slug):
+    assert main_text(f'<body><div><h2 id="{slug}">Of it</h2><p>One two three.</p></div>', {}) == "Of it\nOne two three."
+
+
 def test_pages(spark):
     rows = [(1, "u", LABELLED), (1, "u", LABELLED), (None, None, None), (2, "v", ""), (3, "w", PLAIN), (4, "x", LABELLED.replace("<p>Second", "<p>word" * 20_000 + "<p>Second"))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'z' as text", "1 as HTML", "2 as feature")
