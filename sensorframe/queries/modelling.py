@@ -90,6 +90,12 @@ def _learning(spark, sf_dir) -> tuple[DataFrame, list[str]]:
     return learning_frame(narrow_frame(spark, sf_dir), "hours_left", IDS, NARROW.channels)
 
 
+def _evaluate_runs(spark, sf_dir, models: dict[str, ModelSpec]):
+    """One fold per run."""
+    rows, names = _learning(spark, sf_dir)
+    return cross_validate(rows, names, "hours_left", models, IDS, fold="run_id")
+
+
 def _evaluate(spark, sf_dir, models: dict[str, ModelSpec]):
     rows, names = _learning(spark, sf_dir)
     return cross_validate(grouped_folds(rows, FOLDS), names, "hours_left", models, IDS, store=False)
@@ -172,7 +178,7 @@ def q_rf_select(spark, sf_dir) -> DataFrame:
 
 @query()
 def q_cv_ols(spark, sf_dir) -> DataFrame:
-    return _shown(_evaluate(spark, sf_dir, {"Linear Regression": ModelSpec(lambda n: LinearRegression())}).predictions)
+    return _shown(_evaluate_runs(spark, sf_dir, {"Linear Regression": ModelSpec(lambda n: LinearRegression(regParam=0.0), additive=True)}).predictions)
 
 
 @query()
@@ -196,15 +202,28 @@ def q_cv_gbt_cols(spark, sf_dir) -> DataFrame:
 
 @query()
 def q_cv_rff(spark, sf_dir) -> DataFrame:
-    return _shown(_evaluate(spark, sf_dir, {"Fourier Ridge": kernel_model()}).predictions)
+    return _shown(_evaluate_runs(spark, sf_dir, {"Fourier Ridge": kernel_model()}).predictions)
 
 
-@query()
-def q_model_importance(spark, sf_dir) -> DataFrame:
+def _importances(spark, sf_dir, name: str, make) -> DataFrame:
     """Importances of the last fold's model, and their mean over the folds."""
-    models = {"Random Forest": ModelSpec(lambda n: forest(**SMALL_FOREST), trees=True)}
-    found = _evaluate(spark, sf_dir, models)
-    mean = found.mean_importances["Random Forest"].select("feature", F.col("importance").alias("mean_importance"))
-    return top_scores(found.importances["Random Forest"].join(mean, "feature")).select(
+    found = _evaluate(spark, sf_dir, {name: ModelSpec(make, trees=True)})
+    mean = found.mean_importances[name].select("feature", F.col("importance").alias("mean_importance"))
+    return top_scores(found.importances[name].join(mean, "feature")).select(
         "feature", rounded("importance").alias("importance"), rounded("mean_importance").alias("mean_importance")
     )
+
+
+@query()
+def q_model_importance(spark, sf_dir) -> DataFrame:
+    return _importances(spark, sf_dir, "Random Forest", lambda n: forest(**SMALL_FOREST))
+
+
+@query()
+def q_model_importance_gbt(spark, sf_dir) -> DataFrame:
+    return _importances(spark, sf_dir, "Gradient Boosting", lambda n: boosting(**SMALL_BOOSTING))
+
+
+@query()
+def q_model_importance_gbt_cols(spark, sf_dir) -> DataFrame:
+    return _importances(spark, sf_dir, "Column-Sampled Boosting", lambda n: boosting(**{**SMALL_BOOSTING, "featureSubsetStrategy": "0.7"}))

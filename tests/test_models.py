@@ -281,3 +281,17 @@ def test_groups_without_a_name(spark):
 def test_stacking_aligns_columns(spark):
     a, b = spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([(3, 4)], "y int, z int")
     assert {tuple(r) for r in stack_runs([a, b]).collect()} == {(1, 2, None), (None, 3, 4)}
+
+
+@pytest.mark.parametrize("name", ["q_cv_ols", "q_cv_rff"])
+def test_registered_validation_has_a_fold_per_run(spark, sf_dir, name):
+    from sensorframe.queries.modelling import QUERIES
+
+    found = QUERIES[name](spark, sf_dir).select("fold", "run_id").distinct().collect()
+    assert len(found) == len({r.run_id for r in found}) == len({r.fold for r in found}) > 3
+
+
+def test_boosters_have_registered_importances():
+    from sensorframe.queries.modelling import QUERIES
+
+    assert {"q_model_importance", "q_model_importance_gbt", "q_model_importance_gbt_cols"} <= QUERIES.keys()
