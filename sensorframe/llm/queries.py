@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sensorframe.llm.best_fit import pack_documents
 from sensorframe.llm.chat_format import format_chats, read_back
+from sensorframe.llm.collocations import collocations
 from sensorframe.llm.common import bare, table
 from sensorframe.llm.exact_dedup import exact_dedup
 from sensorframe.llm.html_extract import extract_pages
@@ -61,6 +62,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_html_extract": op2_html_extract,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_importance": op8_importance,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
+    "op13_collocations": op13_collocations,
 }
 
 SQL: dict[str, str] = {
@@ -125,4 +131,30 @@ WITH n AS (
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY norm)""",
+    "op13_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, row_number() OVER () AS no, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+x AS (SELECT lang, no, unnest(words) AS w1, generate_subscripts(words, 1) AS i FROM w),
+y AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM x WINDOW o AS (PARTITION BY no ORDER BY i)),
+g AS (
+  SELECT lang, 1 AS k, w1 AS phrase FROM y UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM y WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM y WHERE w3 IS NOT NULL),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND f >= 10),
+inside AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+parts AS (
+  SELECT lang, phrase, a, 1 AS cut, words[1] AS head, array_to_string(words[2:], ' ') AS tail FROM c
+  UNION ALL SELECT lang, phrase, a, 2, array_to_string(words[1:2], ' '), words[3] FROM c WHERE k = 3),
+cut AS (
+  SELECT parts.lang, parts.phrase, a, cut, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM parts JOIN f AS l ON l.lang = parts.lang AND l.phrase = head JOIN f AS r ON r.lang = parts.lang AND r.phrase = tail),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (SELECT low.* FROM low LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000""",
 }
