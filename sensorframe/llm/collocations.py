@@ -20,8 +20,9 @@ STOPS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
 #: Bytes of text that are encoded together; a longer text makes a shard of its own.
 SHARD = 1 << 22
-#: Counted n-grams that a task holds before it sends them on, and those that a range of all keys may get.
-HELD = 1 << 20
+#: Words whose n-grams are packed together, counted n-grams that a task holds before it sends them on, and those that a range of all keys may get.
+SLICE = 1 << 18
+HELD = 1 << 19
 RANGE = 1 << 21
 
 _KIND = np.zeros(256, np.uint8)
@@ -150,11 +151,15 @@ def _grams(shards: DataFrame, bits: int, n_words: int, least: int) -> DataFrame:
     range_bits = min(width - 1, max(0, (2 * n_words // RANGE).bit_length()))
     own = np.uint64(width - range_bits)
 
-    def keys(codes: bytes, at: list[int], ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def keys(codes: pa.Buffer, at: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         local = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
         table = np.zeros(int(local.max()) + 1, np.uint64)
         table[np.asarray(at) + 1] = ids
         words = np.append(table[local], np.zeros(2, np.uint64))
+        for begin in range(0, len(local), SLICE):
+            yield packed(words[begin : begin + SLICE + 2])
+
+    def packed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         one, two, three = words[:-2], words[1:-1], words[2:]
         pair = (one > 0) & (two > 0)
         triple = pair & (three > 0)
@@ -182,12 +187,13 @@ def _grams(shards: DataFrame, bits: int, n_words: int, least: int) -> DataFrame:
             for codes, ids in zip(batch.column("codes"), batch.column("ids")):
                 pairs = ids.values
                 at, of = pairs.field("at").to_numpy(), pairs.field("id").to_numpy()
-                held.append(qf.tally(*qf.permute(*keys(codes.as_buffer(), at, of), width), width))
-                if sum(len(h[0]) for h in held) >= 2 * HELD:
-                    held = [merged()]
-                    if len(held[0][0]) >= HELD:
-                        yield from filters()
-                        held = []
+                for hi, lo in keys(codes.as_buffer(), at, of):
+                    held.append(qf.tally(*qf.permute(hi, lo, width), width))
+                    if sum(len(h[0]) for h in held) >= 2 * HELD:
+                        held = [merged()]
+                        if len(held[0][0]) >= HELD:
+                            yield from filters()
+                            held = []
         if held:
             held = [merged()]
             yield from filters()

@@ -14,7 +14,7 @@ from sensorframe.session import locate, written
 
 __all__ = ["table", "written", "small", "bare", "Held", "text_or_empty", "bucket_counts", "levels", "BROADCAST_ROWS"]
 
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, "16m"
 
 #: A side is broadcast only when this many narrow rows (keys of a few dozen bytes) were counted at most.
 BROADCAST_ROWS = 400_000
@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Texts go to Python in batches of at most BATCH_ROWS rows: long ones would fill a worker's memory otherwise."""
+    """Texts go to Python in batches of at most BATCH_ROWS rows and about BATCH_BYTES: long ones would fill a worker's
+    memory otherwise."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
         spark.conf.set(setting, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
