@@ -17,6 +17,7 @@ from sensorframe.llm.importance import importance_resample
 from sensorframe.llm.line_dedup import dedup_report
 from sensorframe.llm.ngram_join import ngram_join
 from sensorframe.llm.piece_viterbi import round_trip
+from sensorframe.llm.prefix_trie import numbered, prefix_trie, shared_openings
 from sensorframe.llm.quality_rules import quality_rules
 from sensorframe.llm.secret_scan import secret_scan
 from sensorframe.llm.suffix_dedup import remove_repeats
@@ -64,6 +65,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*shared_openings(numbered(table(spark, sf_dir, "conversations"))))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_importance": op8_importance,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_suffix_dedup": op12_suffix_dedup,
     "op13_collocations": op13_collocations,
 }
@@ -138,6 +144,33 @@ WITH n AS (
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY norm)""",
+    "op11_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS no,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+h AS (
+  SELECT c, count(*) AS n, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)),
+    4294967295::UBIGINT) % 4 AS h FROM t GROUP BY c),
+r AS (
+  SELECT h.c, no, 0 AS own, role, text FROM h JOIN t ON t.c = h.c - h.c % 20 AND no < h
+  UNION ALL SELECT h.c, no, 1, role, text FROM h JOIN t ON t.c = h.c AND no >= h),
+d AS (
+  SELECT c, row_number() OVER o AS depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+    string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER o AS prefix FROM r WINDOW o AS (PARTITION BY c ORDER BY own, no)),
+p AS (SELECT c, depth, words, prefix FROM d UNION ALL SELECT c, 0, 0, '' FROM h),
+e AS (SELECT c, max(depth) AS n FROM p GROUP BY c),
+m AS (SELECT p.*, depth = n AS ends, min(p.c) OVER (PARTITION BY depth, prefix) AS owner FROM p JOIN e USING (c)),
+v AS (
+  SELECT owner, depth, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved,
+    sha256(coalesce(string_agg(CASE WHEN ends THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256 FROM m GROUP BY owner, depth),
+up AS (SELECT v.owner, v.depth, m.owner AS parent FROM v JOIN m ON m.c = v.owner AND m.depth = v.depth - 1),
+k AS (SELECT parent AS owner, depth - 1 AS depth, count(*) AS n_children FROM up GROUP BY ALL),
+s AS (
+  SELECT m.owner, m.depth, sum(v.saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves
+  FROM v LEFT JOIN k USING (owner, depth) JOIN m ON m.c = v.owner AND m.depth <= v.depth GROUP BY m.owner, m.depth)
+SELECT v.owner AS conv_id, v.depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+FROM v LEFT JOIN up USING (owner, depth) LEFT JOIN k USING (owner, depth) JOIN s USING (owner, depth)""",
     "op13_collocations": r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
