@@ -16,6 +16,7 @@ def _either_case(words: str) -> str:
 
 
 _RUN = "A-Za-z0-9+/_-"
+LEAST_RUN = 16
 
 #: Fixed values. The kinds in the order in which spans at one place are listed; "random" is the battery's.
 ASSIGN = (
@@ -26,7 +27,7 @@ PATTERNS = {
     "assign": ASSIGN,
     "access": r"AKIA[A-Z0-9]{14,}",
     "hex": r"[0-9a-f]{16,}",
-    "random": rf"(?=[{_RUN}]{{16}})(?=[{_RUN}]*?(?:[a-z][a-z0-9+/_-]*[A-Z]|[0-9][0-9+/_-]*[A-Za-z]|[A-Za-z][A-Za-z+/_-]*[0-9]))[{_RUN}]+={{0,2}}",
+    "random": rf"[{_RUN}]{{{LEAST_RUN},}}={{0,2}}",
 }
 KINDS = tuple(PATTERNS)
 
@@ -146,6 +147,12 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     return held.named(held.df.join(listed, same, "left"), text=new)
 
 
+def mixed(run: Column) -> Column:
+    """Whether a run has letters and digits, or a capital after a small letter. Each pattern takes one pass: what may
+    repeat is possessive and ends at the first sign that it is not for."""
+    return (run.rlike("[0-9]") & run.rlike("[A-Za-z]")) | run.rlike("^[^a-z]*+[a-z][^A-Z]*+[A-Z]")
+
+
 def _matches(docs: DataFrame, *keep: str) -> DataFrame:
     """(row, doc_id, kind, start, end, length, p), one row per match, and one with a null kind per text. p only for
     runs. Match positions are sums over the gaps between matches, taken along each text."""
@@ -166,7 +173,7 @@ def _matches(docs: DataFrame, *keep: str) -> DataFrame:
     placed = hits.withColumn("end", F.sum(F.col("gap") + length).over(along)).withColumn("start", F.col("end") - length)
     random = KINDS.index("random")
     value = F.regexp_extract("hit", ASSIGN, 1)
-    failing = (F.col("kind") == KINDS.index("assign")) & (F.length(value) < 12)
+    failing = ((F.col("kind") == KINDS.index("assign")) & (F.length(value) < 12)) | ((F.col("kind") == random) & ~mixed(F.col("hit")))
     # A text of which every match fails still has to leave a row.
     placed = placed.withColumn("kind", F.when(~failing, F.col("kind"))).withColumn("hit", F.when(F.col("kind") == random, F.regexp_replace("hit", "=+$", "")))
     return battery(_with_parts(placed), text_scores(docs)).select("row", "doc_id", *keep, "kind", "start", "end", F.length("hit").alias("length"), "p")
@@ -190,7 +197,7 @@ def _with_parts(placed: DataFrame) -> DataFrame:
     stop = F.when(F.col("until") == F.length("hit"), F.col("end")).otherwise(F.col("start") + F.col("until"))  # "=" goes with the last part
     own = F.col("level") == 0
     once = (F.col("level") == 3) | F.col("part").rlike("[+/_-]")  # a part without signs is a segment
-    parts = parts.filter(own | (once & F.col("part").rlike(f"^{PATTERNS['random']}")))
+    parts = parts.filter(own | (once & (F.length("part") >= LEAST_RUN) & mixed(F.col("part"))))
     return parts.withColumns({"start": F.when(own, F.col("start")).otherwise(begin), "end": F.when(own, F.col("end")).otherwise(stop), "hit": F.col("part")})
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +144,16 @@ def test_normal_tail(spark):
 def test_empty(docs_of):
     assert secret_scan(docs_of([(1, "a")]).limit(0)).collect() == []
     assert redact(docs_of([(1, "a")]).limit(0)).collect() == []
+
+
+def test_long_runs_take_linear_time(spark):
+    """Runs of one letter case or of digits, which the battery does not look at, and one that mixes."""
+    n = 100_000
+    rows = [(1, "a" * n), (2, "7" * n), (3, "acgt" * (n // 4)), (4, "G" * n + " x"), (5, drawn(B64, n)), (6, "Z" + "q" * n + "=="), (7, "_" * n), (8, "password=" + "x" * n)]
+    begin = time.time()
+    found = {r.doc_id: r for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - begin < 60
+    for i, text in rows:
+        spans = base(text)
+        assert found[i].base_sha256 == hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
+        assert (found[i].n_random > 0) == (i == 5)
