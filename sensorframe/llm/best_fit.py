@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,39 +62,37 @@ def pack(items: DataFrame, capacity: int = 4096, per_source: int = 4, shard_rows
     Items without tokens give one row with a null bin. A null source is a source of its own, a null cluster conflicts
     with none, null doc_ids and repeated rows are packed like any other. An empty table gives an empty result.
     """
-    own = bare(items, "doc_id", "source", "cluster", "n_tokens")
+    own = bare(items, "doc_id", "source", "cluster", "n_tokens").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
     shards = max(1, -(-own.count() // shard_rows))
     # Equal rows are dealt by their number within the scan, or all copies of a row would meet in one shard.
     own = own.withColumn("salt", F.monotonically_increasing_id())
     own = own.withColumn("shard", F.pmod(F.xxhash64("salt"), F.lit(shards)))
 
-    def of_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_tokens", "doc_id", "source", "cluster"], ascending=[False, True, True, True], na_position="last")
-        full = rows["n_tokens"] // capacity
-        rest = (rows["n_tokens"] % capacity).tolist()
-        sources, _ = pd.factorize(rows["source"].where(rows["source"].notna(), None), use_na_sentinel=False)
-        copies = Counter(rows["cluster"].dropna().tolist())
+    def of_shard(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("source", "ascending"), ("cluster", "ascending")])
+        doc_ids, sources, clusters, lengths = (rows.column(c).to_pylist() for c in ("doc_id", "source", "cluster", "n_tokens"))
+        numbers = {s: i for i, s in enumerate(dict.fromkeys(sources))}
+        copies = Counter(c for c in clusters if c is not None)
         twins = {c: i for i, c in enumerate(c for c, n in copies.items() if n > 1)}
-        clusters = [twins.get(c, -1) for c in rows["cluster"]]
+        rest = [n % capacity for n in lengths]
         order = sorted((i for i, r in enumerate(rest) if r), key=lambda i: -rest[i])
-        bins = best_fit([rest[i] for i in order], [int(sources[i]) for i in order], [clusters[i] for i in order], capacity, per_source)
+        bins = best_fit([rest[i] for i in order], [numbers[sources[i]] for i in order], [twins.get(clusters[i], -1) for i in order], capacity, per_source)
         placed = dict(zip(order, bins))
         used = 1 + max((b for b, _ in bins), default=-1)
-        base, out = int(key[0]) << 32, []
-        for i, (doc_id, parts) in enumerate(zip(rows["doc_id"], full.tolist())):
-            doc_id = None if pd.isna(doc_id) else int(doc_id)
+        base, out = key[0].as_py() << 32, []
+        for i, (doc_id, n) in enumerate(zip(doc_ids, lengths)):
+            parts = n // capacity
             for part in range(parts):
                 out.append((doc_id, part, part * capacity, (part + 1) * capacity, base + used, 0))
                 used += 1
             if rest[i]:
                 bin_, place = placed[i]
-                out.append((doc_id, parts, parts * capacity, parts * capacity + rest[i], base + bin_, place))
+                out.append((doc_id, parts, parts * capacity, n, base + bin_, place))
             elif not parts:
                 out.append((doc_id, 0, 0, 0, None, None))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in PLACED.split(", ")])
-        return frame.astype({c: "Int64" for c in frame.columns})
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names=[c.split()[0] for c in PLACED.split(", ")])
 
-    return own.drop("salt").groupBy("shard").applyInPandas(of_shard, PLACED)
+    return own.drop("salt").groupBy("shard").applyInArrow(of_shard, PLACED)
 
 
 def items_of(docs: DataFrame) -> DataFrame:

@@ -80,3 +80,12 @@ def test_documents(docs_of):
     assert len(by_id[5]) == len(LONG.split()) / 50 and by_id[3][0].bin_id is None and len(by_id[6]) == 2
     assert by_id[1][0].bin_id != by_id[2][0].bin_id  # they repeat each other
     assert by_id[6][0].bin_id != by_id[6][1].bin_id
+
+
+def test_large_ids_beside_nulls(spark):
+    big = (1 << 53) + 1
+    rows = [(big, "a", big, 5), (None, "a", None, 3), (big + 2, None, big + 2, 4), (big + 2, "b", big, 2), (7, "c", 1, None)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, source string, cluster long, n_tokens long"), 64).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    bins = {(r.doc_id, r.stop): r.bin_id for r in got}
+    assert bins[big, 5] != bins[big + 2, 2] and bins[big, 5] == bins[big + 2, 4]  # clusters differ by 2 only
