@@ -6,12 +6,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sensorframe.llm.common import bare
+from sensorframe.llm.common import bare, written
 
 #: Fixed values of the template. A turn is ``### Role: text</turn>\n``.
 HEAD, TAIL = "### ", "</turn>"
@@ -46,138 +46,140 @@ def role_of(shown: str) -> str:
     return _ROLE_BACK.sub(r"\1", shown[1:]) if shown.startswith("=") else shown.lower()
 
 
+def _placed(turns: DataFrame) -> DataFrame:
+    """``turns`` as a saved table: none (whether there is no conv_id), conv, at (place from 0), role, text, tokens, before
+    (tokens of the turns before it). Rows are dealt by ranges of the whole order, so any conversation is spread over
+    tasks; what a task's rows begin with comes from the sums of the tasks before it."""
+    own = bare(turns, "conv_id", "turn", "role", "text")
+    own = own.select(
+        F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0).cast("long")).alias("conv"), "turn",
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")], F.monotonically_increasing_id().alias("salt"),
+    )
+    key, order = ["none", "conv"], ["none", "conv", "turn", "role", "text", "salt"]
+    dealt = own.repartitionByRange(*order).sortWithinPartitions(*order)
+    tokens = (F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)) + 2).cast("long")
+    rows = written(dealt.select(*key, "role", "text", tokens.alias("tokens"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row")))
+    sums = rows.groupBy(*key, "part").agg(F.min("row").alias("first"), F.count("*").alias("n"), F.sum("tokens").alias("sum"))
+    ahead = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*key, "part", (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first")).alias("shift"), F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("sum"))
+    along = Window.partitionBy(*key, "part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("tokens").over(along), F.lit(0))).join(sums, [*key, "part"])
+    return written(rows.select(*key, (F.col("row") + F.col("shift")).alias("at"), "role", "text", "tokens", (F.col("before") + F.col("sum")).alias("before")))
+
+
 def format_chats(turns: DataFrame, budget: int = 512, history: int = 1) -> DataFrame:
     """Windows of whole turns of each conversation, one row each (``WINDOWS``).
 
     ``turns`` has conv_id, turn, role and text. Tokens of a turn are its words plus two for its marks. With the
     prefix sums of a conversation's tokens, a turn opens a new span where the sum of tokens before it passes another
-    multiple of the budget less what the repeated turns of the preceding span and the system turn take at most (a
-    quarter of the budget each), so spans need no look at one another and turns of up to half the budget always fit. A window is the conversation's leading system
-    turn (if the span does not hold it), up to ``history`` turns before the span as far as they fit, and the span.
-    Repeated turns bear no loss: ``loss_starts`` and ``loss_ends`` mark, in code points of ``text``, the texts of the
-    span's own assistant turns only. A span that alone exceeds the budget, as one very long turn can, stays whole in
-    a window marked ``over_budget``.
+    multiple of half of what the budget leaves beside the system turn, so spans need no look at one another, and turns of up to
+    that half always fit. A window is the conversation's leading system turn (if the span does not hold it), which is
+    never left out, up to ``history`` turns before the span as far as they fit, and the span. Repeated turns bear no
+    loss: ``loss_starts`` and ``loss_ends`` mark, in code points of ``text``, the texts of the span's own assistant turns
+    only. A window over the budget, as one very long turn or system turn makes it, stays whole and is marked
+    ``over_budget``. ``window`` rises along a conversation, with gaps.
 
     A null text or role counts as empty, a null turn comes first, and turns that tie are ordered by role and text,
-    repeated rows included. Rows with a null conv_id make one conversation. Other columns are not read. Tokens per
-    window are summed by built-in functions and each conversation is then streamed turn by turn, so a task holds one
-    window, not one conversation.
+    repeated rows included. Rows with a null conv_id make one conversation. Other columns are not read. An empty table
+    gives an empty result. Every step deals rows by conversation and place or span, so a task holds windows, not a
+    conversation.
     """
-    own = bare(turns, "conv_id", "turn", "role", "text").select(
-        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    own = own.withColumn("tokens", (F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)) + 2).cast("long"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    room = max(1, budget // 2)
-    placed = own.withColumns(
-        {
-            "at": F.row_number().over(order).cast("long") - 1,
-            "span": F.floor((F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")) / room).cast("long"),
-        }
-    )
-
-    def windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        conv, system, recent, span, first, number = object(), None, [], None, 0, 0
-
-        def close() -> None:
-            nonlocal number
-            if not held:
-                return
-            pieces: list[tuple[str, str, int, bool]] = []
-            tokens = sum(t for _, _, t, _ in held)
-            lead = [system] if system is not None and first > 0 and tokens + system[2] <= budget else []
-            tokens += sum(t for _, _, t in lead)
-            back = []
-            for turn in reversed(recent):
-                if tokens + turn[2] > budget:
-                    break
-                back.insert(0, turn)
-                tokens += turn[2]
-            pieces = [(*t, False) for t in [*lead, *back]] + held
-            text, starts, ends, n = [], [], [], 0
-            for role, body, _, new in pieces:
-                opening, shown = head(role), escape(body)
-                if new and role == "assistant":
-                    starts.append(n + len(opening))
-                    ends.append(n + len(opening) + len(shown))
-                text += [opening, shown, TAIL, "\n"]
-                n += len(opening) + len(shown) + len(TAIL) + 1
-            out.append((conv_id, number, "".join(text), first, len(held), len(lead), len(back), tokens, tokens > budget, starts, ends))
-            number += 1
-
-        held: list[tuple[str, str, int, bool]] = []
-        conv_id = None
-        names = [c.split()[0] for c in WINDOWS.split(", ")]
-        for part in parts:
-            for row in part.itertuples(index=False):
-                key = None if pd.isna(row.conv_id) else int(row.conv_id)
-                if conv != key or (span is not None and row.span != span):
-                    close()
-                    recent = ([t[:3] for t in held] if len(held) >= history else recent + [t[:3] for t in held])[-history:] if history else []
-                    held = []
-                    if conv != key:
-                        conv, conv_id, system, recent, number = key, key, None, [], 0
-                    span, first = row.span, int(row.at)
-                if row.at == 0 and row.role == "system":
-                    system = (row.role, row.text, int(row.tokens))
-                elif recent and system is not None and recent[0] is system:
-                    recent = recent[1:]
-                held.append((row.role, row.text, int(row.tokens), True))
-                if len(out) >= 1000:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-        close()
-        if out:
-            yield pd.DataFrame(out, columns=names)
-
-    dealt = placed.repartition("conv_id").sortWithinPartitions("conv_id", "at")
-    return dealt.select("conv_id", "at", "span", "role", "text", "tokens").mapInPandas(windows, WINDOWS)
+    key = ["none", "conv"]
+    rows = _placed(turns)
+    system = rows.filter((F.col("at") == 0) & (F.col("role") == "system"))
+    system = written(system.select(*key, F.col("text").alias("system"), F.col("tokens").alias("system_tokens")))
+    room = F.greatest(F.lit(1), F.floor((budget - F.coalesce("system_tokens", F.lit(0))) / 2))
+    rows = rows.join(system.drop("system"), key, "left").withColumn("span", F.floor(F.col("before") / room))
+    turn = F.struct("at", "role", "text", "tokens")
+    rows = written(rows.select(*key, "span", (F.col("system_tokens").isNotNull() & (F.col("at") == 0)).alias("leads"), turn.alias("turn")))
+    starts = written(rows.groupBy(*key, "span").agg(F.min("turn.at").alias("first")).filter("first > 0"))
+    back = starts.withColumn("at", F.explode(F.sequence(F.lit(1), F.lit(max(1, history))))).withColumn("at", F.col("first") - F.col("at"))
+    back = back.filter(F.lit(history > 0) & (F.col("at") >= 0)).drop("first")
+    back = back.join(rows.filter("not leads").drop("span").withColumn("at", F.col("turn.at")), [*key, "at"])
+    lead = starts.join(system, key).select(*key, "span", F.lit(0).alias("kind"), F.struct(F.lit(0).cast("long").alias("at"), F.lit("system").alias("role"), F.col("system").alias("text"), F.col("system_tokens").alias("tokens")).alias("turn"))
+    back = back.select(*key, "span", F.lit(1).alias("kind"), "turn")
+    all_ = rows.select(*key, "span", F.lit(2).alias("kind"), "turn").unionByName(back).unionByName(lead)
+    spans = all_.groupBy(*key, "span").agg(F.sort_array(F.collect_list(F.struct("kind", "turn"))).alias("turns"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for conv_id, window, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                turns_ = [(t["kind"], t["turn"]) for t in found.as_py()]
+                own = [t for kind, t in turns_ if kind == 2]
+                lead = [t for kind, t in turns_ if kind == 0]
+                tokens = sum(t["tokens"] for t in own + lead)
+                back: list[dict] = []
+                for t in reversed([t for kind, t in turns_ if kind == 1]):
+                    if tokens + t["tokens"] > budget:
+                        break
+                    back.insert(0, t)
+                    tokens += t["tokens"]
+                text, starts_, ends, n = [], [], [], 0
+                for k, t in enumerate([*lead, *back, *own]):
+                    opening, shown = head(t["role"]), escape(t["text"])
+                    if k >= len(lead) + len(back) and t["role"] == "assistant":
+                        starts_.append(n + len(opening))
+                        ends.append(n + len(opening) + len(shown))
+                    text += [opening, shown, TAIL, "\n"]
+                    n += len(opening) + len(shown) + len(TAIL) + 1
+                out.append((conv_id, window, "".join(text), own[0]["at"], len(own), len(lead), len(back), tokens, tokens > budget, starts_, ends))
+            yield _batch(out, WINDOWS)
+
+    return spans.select(F.when(~F.col("none"), F.col("conv")), "span", "turns").mapInArrow(windows, WINDOWS)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "binary": pa.binary()}
+    fields = [c.split() for c in schema.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.record_batch([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], names=[name for name, _ in fields])
 
 
 def read_back(windows: DataFrame) -> DataFrame:
     """What formatted windows hold, per conversation, read from their text and loss marks: conv_id, n_turns,
     turns_sha256 (of role, newline, text, newline per turn), loss_chars, loss_sha256 (of all text under the loss
-    mask, unescaped), formatted_chars. Repeated turns are left out by each window's counts."""
+    mask, unescaped), formatted_chars. Repeated turns are left out by each window's counts. Windows are parsed wherever
+    they are; only the digests take a conversation's own text through one task, as a stream."""
+    parsed = "conv_id long, window long, n_turns long, formatted long, turns string, loss string"
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    names = [c.split()[0] for c in schema.split(", ")]
 
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        conv, begun, out = None, False, []
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for conv_id, window, text, n_system, n_history, starts, ends in zip(*(c.to_pylist() for c in batch.columns)):
+                at, turns = 0, []
+                while at < len(text):
+                    m = _TURN.match(text, at)
+                    if m is None:
+                        raise ValueError(f"conversation {conv_id}: no turn at {at}")
+                    turns.append(f"{role_of(m.group(1))}\n{unescape(m.group(2))}\n")
+                    at = m.end()
+                own = turns[n_system + n_history :]
+                out.append((conv_id, window, len(own), len(text), "".join(own), "".join(unescape(text[a:b]) for a, b in zip(starts, ends))))
+            yield _batch(out, parsed)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, begun = None, False
 
         def result() -> tuple:
             return conv, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), formatted
 
-        for part in parts:
-            for row in part.itertuples(index=False):
-                key = None if pd.isna(row.conv_id) else int(row.conv_id)
-                if not begun or key != conv:
+        for batch in batches:
+            out = []
+            for conv_id, n, chars, own, target in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "n_turns", "formatted", "turns", "loss"))):
+                if not begun or conv_id != conv:
                     if begun:
                         out.append(result())
-                    conv, begun = key, True
+                    conv, begun = conv_id, True
                     n_turns = loss_chars = formatted = 0
                     turns, loss = hashlib.sha256(), hashlib.sha256()
-                formatted += len(row.text)
-                at, k = 0, 0
-                while at < len(row.text):
-                    m = _TURN.match(row.text, at)
-                    if m is None:
-                        raise ValueError(f"conversation {conv}: no turn at {at}")
-                    if k >= row.n_system + row.n_history:
-                        turns.update(f"{role_of(m.group(1))}\n{unescape(m.group(2))}\n".encode())
-                        n_turns += 1
-                    at, k = m.end(), k + 1
-                for start, end in zip(row.loss_starts, row.loss_ends):
-                    target = unescape(row.text[start:end])
-                    loss_chars += len(target)
-                    loss.update(target.encode())
-            if len(out) >= 1000:
-                yield pd.DataFrame(out, columns=names)
-                out = []
+                n_turns, formatted, loss_chars = n_turns + n, formatted + chars, loss_chars + len(target)
+                turns.update(own.encode())
+                loss.update(target.encode())
+            yield _batch(out, schema)
         if begun:
-            out.append(result())
-        if out:
-            yield pd.DataFrame(out, columns=names)
+            yield _batch([result()], schema)
 
-    dealt = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
-    return dealt.select("conv_id", "text", "n_system", "n_history", "loss_starts", "loss_ends").mapInPandas(read, schema)
+    rows = windows.select("conv_id", "window", "text", "n_system", "n_history", "loss_starts", "loss_ends").mapInArrow(parse, parsed)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(digest, schema)

@@ -38,12 +38,33 @@ def test_round_trip(spark, budget, history):
 
 def test_windows_keep_to_the_budget(spark):
     turns = [(1, 0, "system", "be good"), *[(1, k + 1, ["user", "assistant"][k % 2], "a b c d e f") for k in range(50)]]
-    got = format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), 64, 1).collect()
+    got = format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), 64, 1).orderBy("window").collect()
     assert len(got) > 5 and all(w.n_tokens <= 64 for w in got)
     assert all(w.n_system == 1 and w.n_history == 1 for w in got[1:])
     assert all(w.text.startswith("### System: be good</turn>\n") for w in got)
 
 
+@pytest.mark.parametrize("words", [30, 62, 63, 128, 600])
+def test_system_turn_is_never_left_out(spark, words):
+    """From half of the budget to far beyond it."""
+    rows = [(1, 0, "system", "rule " * words), *[(1, k + 1, ["user", "assistant"][k % 2], "a b c") for k in range(30)]]
+    windows = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 64, 1).cache()
+    got = windows.orderBy("window").collect()
+    assert len(got) > 5 and [w.n_system for w in got] == [0] + [1] * (len(got) - 1)
+    assert all(w.text.count("rule") == words for w in got)
+    assert all(w.over_budget == (w.n_tokens > 64) for w in got) and (words < 60) == (not any(w.over_budget for w in got))
+    (back,) = read_back(windows).collect()
+    assert (back.n_turns, back.turns_sha256, back.loss_chars, back.loss_sha256) == brute(rows)[1]
+
+
+def test_large_ids_beside_nulls(spark):
+    big = 1 << 53
+    rows = [(big, 0, "user", "a"), (big + 1, 0, "user", "b"), (None, 0, "user", "c"), (big + 1, 1, "assistant", "d"), (0, 0, "user", "e"), (big + 2, big + 1, "user", "f"), (big + 2, big, "user", "g")]
+    windows = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in read_back(windows).collect()}
+    assert got == brute(rows)
+
+
 @pytest.mark.parametrize("text", ["", "\\", "\\\\", "### ", "\\### ", "</turn>", "\\</turn>", "a### b</turn>\\", "###", "#### x"])
 def test_escape(text):
     assert unescape(escape(text)) == text
