@@ -30,17 +30,19 @@ NAMED = re.compile(
     r"|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|menu|nav|navbar|navigation|breadcrumb\w*|footer|masthead|pagination|pager|alert|search|login|signup)(?![a-z])"
 )
 
-#: In an article, text that is named after its subject (related-work, search-algorithms) stays: there a class or role
-#: names something else only if it has no further words than these, and an id only if it is one of few.
+#: Text that is named after its subject (related-work, share-of-gdp) stays: a name tells something else only if it has no
+#: further words than these, and in an article an id only if it is one of few.
 AROUND = frozenset("area article articles bar block body bottom box button buttons container content form group inner item items left link links list main outer panel post posts right section slot stories thread top unit widget widgets wrap wrapper".split())
 IDS = frozenset("comments disqus disqus_thread sidebar newsletter breadcrumbs pagination navbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<empty>{RAW})(?:/>|(?=\s)[^>]*+>(?<=[\s\"']/>))|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>",
+_OTHER = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<empty>{RAW})(?:/>|(?=\s)[^>]*+>(?<=[\s\"']/>))|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile("[>\"']")
+_CUT = re.compile("<[!/?a-zA-Z]")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 #: What is expected of tags and words that the labelled pages do not have and nothing marks as boilerplate.
@@ -49,16 +51,68 @@ PRIOR = 2.0
 TAG_COST, LEAST_COST, LEAST_GAIN = 4.0, 0.02, 0.001
 
 
+class _Ends:
+    """Where tags of a page end: at the first ">" outside of quotes. A quote without a partner is a sign like any other.
+    What is found from one sign on is kept for all tags that come to it, so a page is gone through once."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
+        self.found: dict[int, int] = {}
+        self.seen = (0, -1)  # between the two there is no sign but the second
+
+    def _next(self, at: int) -> int:
+        begin, sign = self.seen
+        if not begin <= at <= sign:
+            m = _SPECIAL.search(self.page, at)
+            self.seen = at, (sign := m.start() if m else len(self.page))
+        return sign
+
+    def of(self, at: int) -> int:
+        """The place of the ">" that ends the tag whose attributes begin at ``at``, or -1."""
+        way, sign = [], self._next(at)
+        while True:
+            if sign in self.found or sign > self.last[">"]:
+                end = self.found.get(sign, -1)
+                break
+            way.append(sign)
+            c = self.page[sign]
+            if c == ">":
+                end = sign
+                break
+            partner = self.page.find(c, sign + 1) if sign < self.last[c] else sign
+            sign = self._next(partner + 1)
+        for sign in way:
+            self.found[sign] = end
+        return end
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, bool, str | None, bool, str]]:
+    """Comments, raw elements and tags: where they begin and end, whether it is a raw element, and the name, whether
+    it closes, and the attributes of a tag. What looks like a tag and never ends is text."""
+    at, ends = 0, _Ends(page)
+    while (begin := page.find("<", at)) >= 0:
+        other = _OTHER.match(page, begin) if begin < ends.last[">"] or page.startswith(("<!", "<?"), begin) else None
+        if other:
+            yield begin, other.end(), bool(other["raw"] or other["empty"]), None, False, ""
+            at = other.end()
+            continue
+        m = _TAG.match(page, begin)
+        end = ends.of(m.end()) if m and begin < ends.last[">"] else -1
+        if end < 0:
+            at = m.end() if m else begin + 1
+            continue
+        yield begin, end + 1, False, m[2].lower(), bool(m[1]), page[m.end() : end]
+        at = end + 1
+
+
 def named_off(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether class, id or role name an element as no part of an article; ids of headings are made from their text."""
+    """Whether class, id or role name an element as no part of an article: by a token that has only such names and
+    words like box or list. In an article an id does so only if it is one of few; ids of headings, which are made from
+    their text, never."""
     found = [(k.lower(), v.strip("\"'").lower()) for k, v in _ATTRIBUTE.findall(attrs)]
-    if tag in HEADINGS:
-        found = [(k, v) for k, v in found if k != "id"]
-    if not (inside or tag in CONTENT):
-        return bool(NAMED.search(" ".join(v for _, v in found)))
     for k, v in found:
-        if k == "id":
-            if tag != "section" and v in IDS:
+        if k == "id" and (tag in HEADINGS or inside or tag in CONTENT):
+            if tag not in HEADINGS and tag != "section" and v in IDS:
                 return True
             continue
         for token in v.split():
@@ -72,23 +126,23 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
     """The page as (kind, value, hidden): kind "text" has the raw text, "open" and "close" the tag. ``hidden`` says
     that it is in, or opens or ends, something that is named or marked as no part of an article."""
     stack: list[tuple[str, bool]] = []
+    open_: Counter = Counter()
     hidden, at = 0, 0
     inside = 0  # open <article> and <main>
     math = 0  # open <math>, whose own tags are not the page's
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            yield "text", page[at : m.start()], hidden > 0
-        at = m.end()
-        tag = m["tag"]
+    for begin, end, raw, tag, closes, attrs in tokens(page):
+        if begin > at:
+            yield "text", page[at:begin], hidden > 0
+        at = end
         if tag is None:
-            if m["raw"] or m["empty"]:
+            if raw:
                 yield "open", "raw", True
             continue
-        tag = tag.lower()
-        if m["close"]:
-            if any(t == tag for t, _ in stack):
+        if closes:
+            if open_[tag]:
                 while True:
                     last, off = stack.pop()
+                    open_[last] -= 1
                     was = hidden > 0
                     hidden -= off
                     inside -= last in CONTENT
@@ -102,21 +156,22 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
                 yield "close", tag, hidden > 0
             continue
         if tag in BLOCKS and stack and stack[-1][0] in ("p", "li", "option", "dt", "dd") and (stack[-1][0] == "p" or stack[-1][0] == tag):
-            hidden -= stack.pop()[1]
-        attrs = m["attrs"]
+            last, off = stack.pop()
+            open_[last] -= 1
+            hidden -= off
         named = tag not in ("html", "body") and attrs.strip(" /") and named_off(tag, attrs, inside > 0)
         off = tag in BOILERPLATE or (tag == "header" and not inside) or bool(named)
         if tag != "math" and not math:
             yield "open", tag, hidden > 0 or off
         if tag not in VOID and not attrs.endswith("/"):
             stack.append((tag, off))
+            open_[tag] += 1
             hidden += off
             inside += tag in CONTENT
             math += tag == "math"
     if at < len(page):
-        rest = page[at:]
-        cut = re.search(r"<[!/?a-zA-Z][^>]*\Z", rest)  # a tag that the page's end cuts short
-        yield "text", rest[: cut.start()] if cut else rest, hidden > 0
+        cut = _CUT.search(page, max(at, page.rfind(">") + 1))  # a tag that the page's end cuts short
+        yield "text", page[at : cut.start()] if cut else page[at:], hidden > 0
 
 
 def feature(kind: str, tag: str, hidden: bool) -> str:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from sensorframe.llm.html_extract import counts_of, extract_pages, learn_weights, main_text, weights_of
@@ -60,3 +62,20 @@ def test_pages(spark):
     assert [(r.page_id, r.url, r.text) for r in got] == [(i, u, main_text(h or "", learn_weights(pages))) for i, u, h in rows]
     assert all(r.n_chars == len(r.text) for r in got) and len(got[-1].text) > 80_000
     assert extract_pages(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 350_000, "<a " * 300_000 + ">", "<a " * 300_000 + "\">\"", "<b>" * 130_000 + "</i>" * 130_000, "<a \">\" " * 125_000, "<a ' \"" * 140_000 + ">", "<svg " * 200_000,
+    "<svg " * 200_000 + ">", "</p>" * 250_000, "<p>" * 300_000, "<!-" * 300_000, "<a x='" * 160_000, "</svg   " * 120_000, "<div><p>" * 60_000 + "</div>" * 60_000,
+    "<" * 1_000_000, "<p class=\"a" * 90_000, "&amp" * 250_000,
+], ids=range(17))
+def test_broken_pages_take_linear_time(page):
+    begin = time.process_time()
+    main_text(page + "<p>some words here</p>", WEIGHTS)
+    assert time.process_time() - begin < 12
+
+
+@pytest.mark.parametrize("attrs", ["id='share-of-gdp'", "class='related-work'", "id='search-algorithms' class='menu-costs'", "class='ad-hoc'"])
+def test_names_of_subjects_are_no_boilerplate(attrs):
+    page = f"<html><body><nav><a>Home</a></nav><div {attrs}><p>Some words of the text that stays here.</p></div><div class='share buttons'>Share it now</div></body></html>"
+    assert main_text(page, WEIGHTS) == main_text(page, {}) == "Some words of the text that stays here."
