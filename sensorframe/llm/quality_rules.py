@@ -20,6 +20,8 @@ SYMBOLS = b"#*$%&|<>"
 #: Counts of a text, and the rule statistics made of them.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_top")
 STATS = ("word_chars / n_words", "n_symbols / n_words", "n_upper / word_chars", "n_marks / n_words", "n_top / n_words")
+#: Repetition has a forest of its own: good texts repeat lines too, so in one forest it would hide what the others tell.
+REPEATS = ("n_dup_lines / n_words", "n_repeat_words / n_words")
 SCHEMA = ", ".join(f"{c} long" for c in COUNTS)
 
 TREES, SUBSAMPLE, SCORE_STEPS = 200, 256, 2000
@@ -122,10 +124,10 @@ def rule_counts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.mapInArrow(count, schema)
 
 
-def stats_of(counts: list[np.ndarray]) -> np.ndarray:
+def stats_of(counts: list[np.ndarray], stats: tuple[str, ...] = STATS) -> np.ndarray:
     c = dict(zip(COUNTS, [x.astype(float) for x in counts]))
     columns = []
-    for stat in STATS:
+    for stat in stats:
         above, below = stat.split(" / ")
         columns.append(c[above] / np.maximum(c[below], 1))
     return np.column_stack(columns)
@@ -196,12 +198,12 @@ def fit_forest(sample: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPL
     return Forest(np.array(column), np.array(value, float), np.array(left), np.array(length, float), np.array(roots), max(_average_path(size), 1e-9))
 
 
-def score_column(forest: Forest) -> Column:
+def score_column(forest: Forest, stats: tuple[str, ...] = STATS) -> Column:
     """The forest's score of a row with ``COUNTS``."""
 
     @F.pandas_udf("double")
     def score(counts: pd.DataFrame) -> pd.Series:
-        return pd.Series(forest.scores(stats_of([counts[c].to_numpy() for c in COUNTS])))
+        return pd.Series(forest.scores(stats_of([counts[c].to_numpy() for c in COUNTS], stats)))
 
     return score(F.struct(*COUNTS))
 
@@ -214,7 +216,8 @@ def failed() -> Column:
 def calibrate(scored: DataFrame, labels: DataFrame, spare: float = 0.005) -> float:
     """The score from which rows are rejected, from all labelled rows that pass the base rules: on a grid of scores,
     the threshold that puts most labelled rows on their own side among those that reject at most ``spare`` of the
-    good ones. Counts per grid step and label are summed in Spark. Without labels of both kinds nothing is rejected."""
+    good ones. Counts per grid step and label are summed in Spark. Without labels of both kinds, or where no threshold parts
+    them, nothing is rejected."""
     rows = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").distinct()
     joined = scored.filter(~failed()).select("doc_id", F.floor(F.col("score") * SCORE_STEPS).cast("int").alias("step")).join(rows, "doc_id")
     found = joined.groupBy("step", (F.col("quality") > 0).alias("good")).count().collect()
@@ -225,51 +228,61 @@ def calibrate(scored: DataFrame, labels: DataFrame, spare: float = 0.005) -> flo
         return 2.0
     rejected = counts[:, ::-1].cumsum(axis=1)[:, ::-1]  # of each kind, at or above each step
     gain = np.where(rejected[1] <= spare * counts[1].sum(), rejected[0] - rejected[1], -1.0)
+    if gain.max() <= 0:
+        return 2.0
     best = np.flatnonzero(gain == gain.max())
     return int(best[len(best) // 2]) / SCORE_STEPS  # amid the steps that are as good
 
 
-def model_of(docs: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int = 1) -> tuple[Forest, float]:
-    """Forest and threshold. The forest is fitted on a bounded sample of ``sample`` rows, picked by a hash; the
-    threshold on the scores of all labelled rows."""
-    counted = written(rule_counts(bare(docs, "doc_id", "text"), "doc_id"))
-    return model_from(counted, labels, sample, seed)
+@dataclass
+class Model:
+    """A forest of ratios and one of repetition, and the scores from which each rejects."""
+
+    forest: Forest
+    limit: float
+    repeats: Forest
+    repeat_limit: float
+
+    def scored(self, df: DataFrame) -> DataFrame:
+        df = df.withColumns({"score": score_column(self.forest), "repeat_score": score_column(self.repeats, REPEATS)})
+        return df.withColumn("sound", ~failed() & (F.col("score") < self.limit) & (F.col("repeat_score") < self.repeat_limit))
 
 
-def model_from(counted: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int = 1) -> tuple[Forest, float]:
+def model_from(counted: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int = 1) -> Model:
+    """The model of the saved ``counted`` (doc_id, ``COUNTS``). Forests are fitted on a bounded sample of ``sample`` rows,
+    picked by a hash; the thresholds on the scores of all labelled rows, that of repetition on those the other one keeps."""
     mine = F.xxhash64(F.lit(seed), *COUNTS, "doc_id")
     rows = counted.filter(~failed()).orderBy(mine, *COUNTS).limit(sample).select(*COUNTS).toPandas()
     if not len(rows):
         rows.loc[0] = 0
     rows = rows.sort_values(list(COUNTS))
-    forest = fit_forest(stats_of([rows[c].to_numpy() for c in COUNTS]), seed=seed)
-    return forest, calibrate(counted.withColumn("score", score_column(forest)), bare(labels, "doc_id", "quality"))
+    values, known = [rows[c].to_numpy() for c in COUNTS], bare(labels, "doc_id", "quality")
+    forest, repeats = fit_forest(stats_of(values), seed=seed), fit_forest(stats_of(values, REPEATS), seed=seed)
+    scored = counted.withColumn("first", score_column(forest))
+    limit = calibrate(scored.withColumn("score", F.col("first")), known)
+    rest = scored.filter(F.col("first") < limit).withColumn("score", score_column(repeats, REPEATS))
+    return Model(forest, limit, repeats, calibrate(rest, known))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the ``COUNTS``, base_failed, score, kept.
+    """One row per row of ``docs``: doc_id, the ``COUNTS``, base_failed, score, repeat_score, kept.
 
-    Statistics of all texts are counted once and saved. An isolation forest over their ratios gives each row a score,
-    from the mean length of its paths; rows fail if the base rules fail (under 50 words, or more than half of the
-    words in repeated three-word windows) or the score reaches the threshold calibrated on labelled rows.
+    Statistics of all texts are counted once and saved. An isolation forest over their ratios, and one over the shares of
+    repetition, give each row a score, from the mean length of its paths; rows fail if the base rules fail (under 50 words, or more than half of the
+    words in repeated three-word windows) or a score reaches its threshold calibrated on labelled rows.
 
     A null text counts as empty and fails. Null doc_ids are kept and match no label; repeated rows give a row each.
     Without labels only the base rules reject. Columns of other names are not read.
     """
     counted = written(rule_counts(bare(docs, "doc_id", "text"), "doc_id"))
-    forest, limit = model_from(counted, labels)
-    return (
-        counted.withColumn("score", score_column(forest))
-        .withColumn("base_failed", failed())
-        .withColumn("kept", ~F.col("base_failed") & (F.col("score") < limit))
-        .select("doc_id", *COUNTS, "base_failed", "score", "kept")
-    )
+    scored = model_from(counted, labels).scored(counted)
+    return scored.select("doc_id", *COUNTS, failed().alias("base_failed"), "score", "repeat_score", F.col("sound").alias("kept"))
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns, whatever their names. The model is
-    fitted and calibrated on all of ``docs`` first."""
-    forest, limit = model_of(docs, labels)
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns, whatever their names. Rows are saved
+    with their counts, so texts are gone through once, of any length; the model is fitted and calibrated on all of them. Null
+    texts go, as they have no words; an empty table stays empty."""
 
     @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
     def count(text: pd.Series) -> pd.DataFrame:
@@ -278,5 +291,6 @@ def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return pd.DataFrame({c: np.concatenate([p[i] for p in parts]) if parts else [] for i, c in enumerate(COUNTS)})
 
     held = Held(docs)
-    counted = held.df.withColumn("counts", count(F.col(held.name("text")))).select(*held.own, "counts.*")
-    return held.named(counted.filter(~failed()).withColumn("score", score_column(forest)).filter(F.col("score") < limit))
+    counted = written(held.df.withColumn("counts", count(F.col(held.name("text")))).select(*held.own, "counts.*"))
+    model = model_from(counted.withColumnRenamed(held.name("doc_id"), "doc_id").select("doc_id", *COUNTS), labels)
+    return held.named(model.scored(counted.filter(~failed())).filter("sound"))

@@ -45,6 +45,44 @@ def test_forest_sets_outliers_apart():
     assert set(fit_forest(np.zeros((5, 2)), trees=3).scores(np.zeros((4, 2)))) == {fit_forest(np.zeros((5, 2)), trees=3).scores(np.zeros((1, 2)))[0]}
 
 
+def test_forest_follows_its_definition():
+    """Scores from paths that are walked node by node, and every split parts what came to its node."""
+    rng = np.random.default_rng(4)
+    sample, rows = np.round(rng.normal(0, 1, (300, 4)), 1), np.round(rng.normal(0, 2, (50, 4)), 1)
+    forest = fit_forest(sample, trees=7, subsample=64, seed=3)
+
+    def path(x, node, depth=0):
+        if forest.column[node] < 0:
+            return depth, forest.length[node]
+        return path(x, forest.left[node] + int(x[forest.column[node]] >= forest.value[node]), depth + 1)
+
+    def harmonic(n):  # the mean path in a search tree of n keys
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+
+    sizes = {harmonic(n) for n in range(65)}
+    for x, score in zip(rows, forest.scores(rows)):
+        paths = [path(x, root) for root in forest.roots]
+        assert all(d <= 6 and min(abs(length - d - s) for s in sizes) < 1e-9 for d, length in paths)
+        assert score == pytest.approx(2 ** (-np.mean([length for _, length in paths]) / harmonic(64)))
+
+
+def test_repetition_below_the_base_rule_reaches_the_forest(spark):
+    """Ordinary texts differ in all words; some have two lines twice, which no other statistic shows."""
+    rng = np.random.default_rng(5)
+
+    def text(k):
+        words = [f"{''.join(rng.choice(list('abcdefghij'), 5))}" for _ in range(120)]
+        lines = [" ".join(words[i : i + 10]) for i in range(0, 120, 10)]
+        return "\n".join(lines[:10] + lines[:2] if k % 20 == 0 else lines)
+
+    rows = [(k, text(k)) for k in range(800)]
+    labels = spark.createDataFrame([(k, int(k % 20 != 0), 0) for k in range(0, 800, 5)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert not any(r.base_failed for r in got.values())
+    poor, good = [got[k].kept for k in range(0, 800, 20)], [got[k].kept for k in range(800) if k % 20]
+    assert sum(poor) <= 0.1 * len(poor) and sum(good) >= 0.97 * len(good)
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
