@@ -166,13 +166,13 @@ def _spans(texts: DataFrame, length: int, gram: int, group: int, all_: bool) ->
     that each half falls into smaller groups by core, until groups are small or windows equal their cores.
     """
     found = written(_anchored(texts, length, gram))
-    often = found.groupBy("key").count().filter("count > 1").select("key")
+    often = written(found.groupBy("key").count().filter("count > 1").select("key"))  # saved, so that Spark can split what a common key brings to the join
     found = written(found.join(often, "key", "left_semi").withColumn("cls", F.xxhash64("key", "ctx")))
     place = F.struct("t1", "t2", "at", "low", "high")
     classes = written(found.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.lit(False).alias("known"), F.min(place).alias("place")))
     spans = [_of_classes(found, _final(classes, group, all_), length).select("grp", "t1", "t2", "start", "stop")]
     # Classes are compared where one of them has a single member.
-    sizes = classes.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1 and least = 1" if not all_ else "size > 1")
+    sizes = written(classes.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1 and least = 1" if not all_ else "size > 1"))
     open_ = classes.join(sizes, "key").select("key", "ctx", "size", (F.col("n") > 1).alias("known"), F.xxhash64("key", "ctx").alias("cls"), "place.*")
     # Copies of a text may have been read by several tasks.
     rows, reach = written(_contexts(texts, open_, length)), [(0, length - gram)]
