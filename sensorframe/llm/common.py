@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,13 +69,14 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 BUCKET_BITS = 20
-_BLOCK = 1 << 12
+_BLOCK, _SALTS = 1 << 12, 32
 
 
 def bucket_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BUCKET_BITS) -> np.ndarray:
     """How many hashes of all rows fall into each of 2^bits buckets of their top bits.
 
-    Each task counts into one array and sends it on in blocks, which are summed block by block. The result has a
+    Each task counts into one array and sends on the blocks of it that are not all zero. They are summed block by
+    block as a stream, first in ``_SALTS`` parts, so a task holds one block, however many tasks there were. The result has a
     fixed size (8 MB) whatever the input.
     """
     size, shift = 1 << bits, np.uint64(64 - bits)
@@ -96,22 +97,34 @@ def bucket_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
                 if n >= size:
                     add_held()
         add_held()
-        if total.any():
-            blocks = total.astype(np.uint64).view(np.uint8).reshape(size // _BLOCK, -1)
-            yield pa.record_batch(
-                [pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())],
-                names=["block", "counts"],
-            )
-
-    def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_BLOCK, np.uint64)
-        for part in parts["counts"]:
-            total += np.frombuffer(part, np.uint64)
-        return pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
-
-    rows = df.mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
+        blocks = total.reshape(size // _BLOCK, -1)
+        used = np.flatnonzero(blocks.any(axis=1))
+        salt = np.full(len(used), TaskContext.get().partitionId() % _SALTS, np.int32)
+        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(salt), pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=["block", "salt", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, np.zeros(_BLOCK, np.int64)
+
+        def row() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()])], names=["block", "salt", "counts"])
+
+        for batch in batches:
+            for block, salt, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (block, salt):
+                    if key is not None:
+                        yield row()
+                    key, total = (block, salt), np.zeros(_BLOCK, np.int64)
+                total += np.frombuffer(counts, np.int64)
+        if key is not None:
+            yield row()
+
+    schema = "block int, salt int, counts binary"
+    rows = df.mapInArrow(count, schema)
+    for keys in (["block", "salt"], ["block"]):
+        rows = rows.repartition(*keys).sortWithinPartitions("block", "salt").mapInArrow(add, schema)
+        rows = rows.withColumn("salt", F.lit(0)).select("block", "salt", "counts")
     out = np.zeros(size, np.uint64)
-    for row in rows.toLocalIterator():
+    for row in rows.collect():
         out[row.block * _BLOCK : (row.block + 1) * _BLOCK] = np.frombuffer(row.counts, np.uint64)
     return out
 
