@@ -22,27 +22,31 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the calibrated forest go."""
+    """Documents that fail the base rules or the calibrated forest go, those without a text among them; an empty table
+    stays empty."""
     return drop_poor(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line of the corpus go; documents stay, if with an empty text."""
-    return _counted(remove_lines(docs))
+    """Lines that match an earlier line of the corpus in their five-word shingles go; documents stay, if with an empty
+    text. Null texts stay null, texts may be of any length, an empty table stays empty."""
+    return _counted(remove_lines(docs, width=5))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by a similarity of 0.8 or more in five-word shingles, the first stays."""
+    """Of documents connected by a similarity of 0.8 or more in five-word shingles, the first stays. Documents without
+    words are linked with nothing and stay; an empty table stays empty."""
     return keep_first(docs, width=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text."""
+    """Secrets are masked in texts of any length; null texts stay null, an empty table stays empty."""
     return _counted(redact(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each part of each document goes: doc_id, part, start, stop, bin_id, place."""
+    """Where each part of each document goes: doc_id, part, start, stop, bin_id, place. A text longer than a bin gives
+    several parts, one without words a row with a null bin; an empty table gives an empty result."""
     return pack_documents(docs)
 
 

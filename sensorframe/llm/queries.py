@@ -97,17 +97,18 @@ SQL: dict[str, str] = {
     "op1_line_dedup": r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS no FROM d),
-w AS (SELECT doc_id, no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM l),
-s AS (
-  SELECT DISTINCT doc_id, no, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS token FROM w),
-n AS (SELECT doc_id, no, count(*) AS n FROM s GROUP BY ALL),
+w AS (SELECT doc_id, no, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS tokens FROM l),
+c AS (
+  SELECT row_number() OVER () AS id, tokens, len(tokens) AS n, min({'doc_id': doc_id, 'no': no}) AS first
+  FROM w WHERE len(tokens) > 0 GROUP BY tokens),
+s AS (SELECT id, n, unnest(tokens) AS token FROM c),
 pairs AS (
-  SELECT a.doc_id AS da, a.no AS na, b.doc_id AS db, b.no AS nb, count(*) AS shared FROM s a JOIN s b ON a.token = b.token
-    AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.no < b.no)) GROUP BY ALL),
+  SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.token = b.token AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id HAVING 100 * count(*) >= 80 * (min(a.n) + min(b.n) - count(*))),
+late_classes AS (SELECT DISTINCT CASE WHEN x.first < y.first THEN b ELSE a END AS id FROM pairs JOIN c x ON x.id = a JOIN c y ON y.id = b),
 late AS (
-  SELECT DISTINCT db AS doc_id, nb AS no FROM pairs JOIN n x ON x.doc_id = da AND x.no = na JOIN n y ON y.doc_id = db AND y.no = nb
-  WHERE 100 * shared >= 80 * (x.n + y.n - shared))
+  SELECT doc_id, no FROM w JOIN c USING (tokens) LEFT JOIN late_classes z ON z.id = c.id
+  WHERE z.id IS NOT NULL OR first <> {'doc_id': doc_id, 'no': no})
 SELECT l.doc_id, count(*) AS n_lines, count(late.no) AS n_removed,
   coalesce(string_agg(CASE WHEN late.no IS NULL THEN line END, chr(10) ORDER BY l.no), '') AS text
 FROM l LEFT JOIN late ON late.doc_id = l.doc_id AND late.no = l.no GROUP BY l.doc_id""",

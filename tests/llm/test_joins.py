@@ -104,18 +104,29 @@ LINE_ROWS = [(k if k % 13 else None, "\n".join(rng.sample(LINES, rng.randrange(0
 LINE_ROWS += [(5, "Same short line.\nfive again here it is"), LINE_ROWS[7], (200, None), (201, ""), (202, "\n\n"), (203, "x y z v w u\nx y z v w u\n" + LONG[:3000])]
 
 
-def test_line_dedup(spark, docs_of):
+@pytest.mark.parametrize("width", [1, 5])
+def test_line_dedup(spark, docs_of, width):
     keys = {t: k for t, k in spark.createDataFrame([(t or "",) for _, t in LINE_ROWS], "t string").selectExpr("t", "xxhash64(t)").collect()}
-    want = lines_left([(i, t, keys[t or ""]) for i, t in LINE_ROWS])
+    want = lines_left([(i, t, keys[t or ""]) for i, t in LINE_ROWS], width)
     docs = docs_of(LINE_ROWS)
-    got = dedup_report(docs).collect()
+    got = dedup_report(docs, width).collect()
     assert sorted([tuple(r) for r in got], key=str) == sorted(want, key=str)
-    left = remove_lines(docs)
+    left = remove_lines(docs, width)
     assert left.columns == docs.columns
     texts = sorted([(r[0], r[1]) for r in left.collect()], key=str)
     assert texts == sorted([(i, None if t is None else w[3]) for (i, t), w in zip(LINE_ROWS, want)], key=str)
 
 
+def test_one_changed_word(docs_of):
+    """Lines of 10 to 40 words match when one in their middle is changed, those of 4 or 8 do not."""
+    rows = []
+    for k, n in enumerate([4, 8, *range(10, 41, 5)]):
+        words = [f"x{n}y{i}" for i in range(n)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[: n // 2], "other", *words[n // 2 + 1 :]]))]
+    got = {r.doc_id: r.n_removed for r in dedup_report(docs_of(rows)).collect()}
+    assert [got[i] for i, _ in rows] == [0, 0, 0, 0] + [0, 1] * 7
+
+
 def test_empty(docs_of):
     nothing = docs_of(ROWS).limit(0)
     for rows in (ngram_join(nothing), keep_first(nothing), dedup_report(nothing), remove_lines(nothing)):
