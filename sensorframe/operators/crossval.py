@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe.functions import clip_negative, residual
+from sensorframe.operators.kernel import loro_kernel
 from sensorframe.operators.linear import loro_linear
 from sensorframe.operators.models import ModelSpec, fit
 from sensorframe.operators.selection import importance_table
@@ -103,7 +104,8 @@ def cross_validate(
     written once, clustered by fold, so that each of the many training passes reads it back pruned instead of
     computing the features again (``store=False``: it is a stored table already). There is no limit to the folds: fits
     run ``parallelism`` at a time, and each one's predictions are saved at once, so that what reads the result
-    predicts nothing again. A model marked ``additive`` is solved for all folds from one pass of sums instead.
+    predicts nothing again. A model marked ``additive`` is solved for all folds from one pass of sums instead, unless
+    features differ by fold.
     """
     spark = frame.sparkSession
     per_fold = features if isinstance(features, dict) else None
@@ -171,5 +173,8 @@ def cross_validate(
     parts = [spark.read.schema(shape).parquet(f"{place}/part=*")] if done else []
     if wanted:
         usable = data.join(sizes.select(F.col("fold").alias(fold)), fold, "left_semi") if additive else data
-        parts += [written(loro_linear(usable, wanted, label, ids, fold, model=m).select(*shape.fieldNames())) for m in additive]
+        for m in additive:
+            kernel = models[m].fourier
+            solved = loro_kernel(usable, wanted, label, ids, fold, model=m, C=models[m].C, **kernel) if kernel else loro_linear(usable, wanted, label, ids, fold, model=m)
+            parts.append(written(solved.select(*shape.fieldNames())))
     return Evaluation(pool_predictions(parts) if parts else spark.createDataFrame([], shape), last, mean)

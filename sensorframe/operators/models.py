@@ -14,6 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorframe.operators.kernel import fourier_map
 from sensorframe.operators.scaling import standardize
 
 # Settings of the five models.
@@ -43,17 +44,12 @@ def boosting(**settings) -> GBTRegressor:
 
 
 def fourier_features(df: DataFrame, features: Sequence[str], dim: int, gamma: float, seed: int) -> DataFrame:
-    """Random Fourier features (Rahimi & Recht 2007) of the RBF kernel exp(-gamma |x-y|^2), as
-    the vector column ``features``. One matrix product per Arrow batch."""
-    rng = np.random.default_rng(seed)
-    omega = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(len(features), dim))
-    phase = rng.uniform(0.0, 2.0 * np.pi, size=dim)
-    scale = np.sqrt(2.0 / dim)
+    """``fourier_map`` of each row, as the vector column ``features``. One matrix product per Arrow batch."""
+    map_ = fourier_map(len(features), dim, gamma, seed)
 
     @F.pandas_udf("array<double>")
     def project(x: pd.Series) -> pd.Series:
-        z = scale * np.cos(np.stack(x.to_numpy()) @ omega + phase)
-        return pd.Series(list(z))
+        return pd.Series(list(map_(np.stack(x.to_numpy()))))
 
     inputs = F.array(*[F.col(f"`{c}`") for c in features])
     return df.withColumn("features", array_to_vector(project(inputs)))
@@ -62,14 +58,15 @@ def fourier_features(df: DataFrame, features: Sequence[str], dim: int, gamma: fl
 @dataclass(frozen=True)
 class ModelSpec:
     """``scale``: standardise with training statistics first. Trees and least squares do not
-    change under it, so they skip that pass. ``additive``: least squares, which validation can solve for all folds
-    from sums instead of fitting each."""
+    change under it, so they skip that pass. ``additive``: least squares, plain or on Fourier features with the
+    penalty ``C``, which validation can solve for all folds from sums instead of fitting each."""
 
     make: Callable[[int], Estimator]  # takes the number of training rows
     scale: bool = False
     fourier: dict | None = None
     trees: bool = False
     additive: bool = False
+    C: float | None = None
 
     def assemble(self, df: DataFrame, features: Sequence[str]) -> DataFrame:
         if self.fourier:
@@ -103,15 +100,21 @@ def fit(
     return FittedModel(spec, tuple(features), used, spec.make(n_train).fit(rows))
 
 
-def kernel_model(dim: int = FOURIER_DIM, C: float = KERNEL["C"], gamma: float = KERNEL["gamma"], seed: int = 42):
+def kernel_model(
+    dim: int = FOURIER_DIM, C: float = KERNEL["C"], gamma: float = KERNEL["gamma"], seed: int = 42, scale_within_fold: bool = False
+) -> ModelSpec:
     """Kernel regression at scale: squared loss on Fourier features. The penalty 1/(C n) weighs
-    the mean loss against the weights as C weighs the summed loss."""
+    the mean loss against the weights as C weighs the summed loss. Validation solves all folds from one pass, with
+    features scaled by the statistics of all rows; ``scale_within_fold`` takes those of a fold's training rows, at the
+    price of a fit per fold."""
     return ModelSpec(
         make=lambda n: LinearRegression(
             regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0, standardization=False, solver="normal"
         ),
         scale=True,
         fourier={"dim": dim, "gamma": gamma, "seed": seed},
+        additive=not scale_within_fold,
+        C=C,
     )
 
 

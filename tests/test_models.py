@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from sensorframe.operators import report
 from sensorframe.operators.correlation import drop_correlated
 from sensorframe.operators.crossval import cross_validate, fold_sizes, fold_split, grouped_folds
 from sensorframe.operators.joins import join_groups
+from sensorframe.operators.kernel import fourier_map, loro_kernel
 from sensorframe.operators.linear import loro_linear
 from sensorframe.operators.metrics import fold_metrics, model_summary
 from sensorframe.operators.models import ModelSpec, boosting, forest, fourier_features, kernel_model, reference_preset
@@ -75,6 +77,35 @@ def test_kernel_features_approximate_the_kernel(spark):
     assert np.abs(z @ z.T - kernel).max() < 0.1
 
 
+@pytest.mark.parametrize("long_fold", [100_000, 20])
+def test_kernel_folds_equal_refitting(spark, long_fold):
+    """All folds from one pass, against a ridge fit of each fold's training rows; folds of 1 to 200 rows, a null one."""
+    pdf = signal(700)
+    pdf["run_id"] = pd.Series(np.where(pdf.event_id < 200, 0, pdf.event_id % 40), dtype="Int64").where(pdf.event_id % 17 > 0)
+    names, dim, gamma, C = ["a", "b", "c", "d"], 60, 0.1, 50.0
+    got = loro_kernel(spark.createDataFrame(pdf.astype({"run_id": object})).withColumn("run_id", F.col("run_id").cast("long")), names, "y", IDS, dim=dim, gamma=gamma, seed=3, C=C, long_fold=long_fold)
+    got = got.toPandas().set_index("event_id").predicted.sort_index()
+    z = fourier_map(4, dim, gamma, 3)(((pdf[names] - pdf[names].mean()) / pdf[names].std(ddof=0)).to_numpy())
+    runs, y = pdf.run_id.fillna(-1).to_numpy(), pdf.y.to_numpy()
+    for run in np.unique(runs):
+        train, test = runs != run, runs == run
+        x, centre = z[train], z[train].mean(axis=0)
+        penalty = 1 / (C * train.sum() * y[train].std())
+        w = np.linalg.solve((x - centre).T @ (x - centre) / train.sum() + penalty * np.eye(dim), (x - centre).T @ (y[train] - y[train].mean()) / train.sum())
+        want = np.maximum((z[test] - centre) @ w + y[train].mean(), 0)
+        np.testing.assert_allclose(got[test], want, rtol=1e-7)
+
+
+def test_kernel_solved_like_mllib(rows):
+    """With the same scaling, solving from sums and MLlib's fit of every fold agree."""
+    folds = grouped_folds(rows, 3)
+    centred = standardize(folds, scaler_values(folds, ["a", "b", "c", "d"]))
+    spec = kernel_model(dim=40, gamma=0.2, C=20.0)
+    a = cross_validate(centred, ["a", "b", "c", "d"], "y", {"m": spec}, IDS).predictions.toPandas().set_index("event_id")
+    b = cross_validate(centred, ["a", "b", "c", "d"], "y", {"m": replace(spec, additive=False, scale=False)}, IDS).predictions.toPandas().set_index("event_id")
+    np.testing.assert_allclose(a.predicted.sort_index(), b.predicted.sort_index(), rtol=1e-6)
+
+
 def test_models_beat_the_mean_and_repeat(rows):
     models = {
         "Fourier Ridge": kernel_model(dim=100, gamma=0.2),
