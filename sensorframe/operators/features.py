@@ -38,7 +38,7 @@ EPS = 1e-6
 TERM_LAG = 1
 TERM_WINDOW = 5
 
-# Rolling windows up to this size are computed from lag and lead columns (see ``_rolling``).
+# Rolling windows up to this size are computed from a lag or lead column for each neighbour, wider ones by doubling.
 MAX_OFFSETS = 32
 
 
@@ -117,27 +117,26 @@ def _rolling(
     of a wider window build on those of the next narrower one. Missing neighbours are skipped.
     Sums are taken of distances from the nearest known value: as that value is in the window, the
     square of the sum is at most the window's size times the squared deviations, so their
-    difference keeps its digits. Windows beyond ``MAX_OFFSETS`` rows use plain frames.
+    difference keeps its digits. Windows beyond ``MAX_OFFSETS`` rows come from ``_doubled``.
     """
+    large = {key: name for key, name in wanted.items() if key[1] > MAX_OFFSETS}
+    if large:
+        df, wanted = _doubled(df, layout, spec, large), {key: name for key, name in wanted.items() if key not in large}
+    if not wanted:
+        return df
     channels = list(dict.fromkeys(c for c, _, _ in wanted))
-    small = {c: sorted({n for x, n, _ in wanted if x == c and n <= MAX_OFFSETS}) for c in channels}
+    small = {c: sorted({n for x, n, _ in wanted if x == c}) for c in channels}
     short = {c: f"_r{i}" for i, c in enumerate(channels)}
     sums = [c for c in channels if any(x == c and n in small[c] and stat in ("mean", "std") for x, n, stat in wanted)]
 
     def cell(c: str, k: int) -> str:
         return f"`{c}`" if k == 0 else f"{short[c]}_{'p' if k < 0 else 'n'}{abs(k)}"
 
-    plain = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
-    fetched = [
-        f"{plain[stat]}(`{c}`) {layout.over(*spec.bounds(n))} AS `{name}`"
-        for (c, n, stat), name in wanted.items()
-        if n > MAX_OFFSETS
-    ]
+    fetched = []
     for c in channels:
-        if small[c]:
-            before, after = spec.bounds(small[c][-1])
-            fetched += [f"lag(`{c}`, {k}) {layout.over()} AS {cell(c, -k)}" for k in range(1, before + 1)]
-            fetched += [f"lead(`{c}`, {k}) {layout.over()} AS {cell(c, k)}" for k in range(1, after + 1)]
+        before, after = spec.bounds(small[c][-1])
+        fetched += [f"lag(`{c}`, {k}) {layout.over()} AS {cell(c, -k)}" for k in range(1, before + 1)]
+        fetched += [f"lead(`{c}`, {k}) {layout.over()} AS {cell(c, k)}" for k in range(1, after + 1)]
     out = df.selectExpr("*", *fetched)
 
     out = out.selectExpr("*", *[f"{_nearest(c, cell, *spec.bounds(small[c][-1]))} AS {short[c]}_near" for c in sums])
@@ -176,8 +175,102 @@ def _rolling(
             inner, last = span, this
     for exprs in steps:
         out = out.selectExpr("*", *exprs)
-    kept = [*df.columns, *[name for (_, n, _), name in wanted.items() if n > MAX_OFFSETS]]
-    return out.selectExpr(*[f"`{c}`" for c in kept], *named)
+    return out.selectExpr(*[f"`{c}`" for c in df.columns], *named)
+
+
+def _merged(a: str, b: str) -> dict[str, str]:
+    """Count, mean and squared deviations of two sets of values from those of each (columns ``a_n``, ``a_mean`` ...)."""
+    n = f"({a}_n + {b}_n)"
+    apart = f"({b}_mean - {a}_mean)"
+    return {
+        "n": n,
+        "mean": f"if({n} > 0, {a}_mean + {apart} * {b}_n / {n}, 0D)",
+        "squares": f"{a}_squares + {b}_squares + if({n} > 0, {apart} * {apart} * {a}_n * {b}_n / {n}, 0D)",
+    }
+
+
+def _doubled(df: DataFrame, layout: RunLayout, spec: FeatureSpec, wanted: dict[tuple[str, int, str], str]) -> DataFrame:
+    """Add rolling statistics over windows of any size: the cost grows with the logarithm of the size.
+
+    At level k each row knows count, mean, squared deviations and extremes of the 2^k rows from itself on, merged from
+    two rows of the level below. A window of n rows is put together from one row for each bit of n; for extremes two
+    stretches that overlap will do. What a row has looks ahead, and a window takes it from its first row. Windows that begin before
+    the run take the running value at their last row, or the whole run's if they end after it as well.
+    """
+    channels = list(dict.fromkeys(c for c, _, _ in wanted))
+    sizes = sorted({n for _, n, _ in wanted})
+    stats = {(c, n): {s for x, m, s in wanted if (x, m) == (c, n)} for c, n, _ in wanted}
+    moments = {c: any({"mean", "std"} & stats.get((c, n), set()) for n in sizes) for c in channels}
+    extremes = {c: [s for s in ("min", "max") if any(s in stats.get((c, n), ()) for n in sizes)] for c in channels}
+    pick = {"min": "least", "max": "greatest"}
+    parts = ("n", "mean", "squares")
+    now, acc = {c: f"_d{i}" for i, c in enumerate(channels)}, {}
+    over, columns = layout.over(), [f"`{c}`" for c in df.columns]
+
+    def fetch(column: str, step: int) -> str:
+        return column if step == 0 else f"{'lead' if step > 0 else 'lag'}({column}, {abs(step)}) {over}"
+
+    first = []
+    for c in channels:
+        if moments[c]:
+            first += [f"if(`{c}` IS NULL, 0D, 1D) AS {now[c]}_n", f"coalesce(CAST(`{c}` AS DOUBLE), 0D) AS {now[c]}_mean", f"0D AS {now[c]}_squares"]
+        first += [f"`{c}` AS {now[c]}_{s}" for s in extremes[c]]
+    out = df.selectExpr("*", *first)
+    for level in range(sizes[-1].bit_length()):
+        step = 1 << level
+        # What sizes with this bit take from this level, and what the next level takes from it.
+        ahead, kept = [], []
+        for i, c in enumerate(channels):
+            for n in sizes:
+                if (c, n) in stats and n & step and moments[c]:
+                    off = n & (step - 1)
+                    ahead += [f"coalesce({fetch(f'{now[c]}_{p}', off)}, 0D) AS _p{i}_{n}_{p}" for p in parts]
+                if (c, n) in stats and n.bit_length() - 1 == level:
+                    ahead += [f"{pick[s]}({now[c]}_{s}, {fetch(f'{now[c]}_{s}', n - step)}) AS _w{i}_{n}_{s}" for s in extremes[c]]
+            if sizes[-1] >= 2 * step:
+                ahead += [f"coalesce({fetch(f'{now[c]}_{p}', step)}, 0D) AS _x{i}_{p}" for p in parts if moments[c]]
+                ahead += [f"{pick[s]}({now[c]}_{s}, {fetch(f'{now[c]}_{s}', step)}) AS _x{i}_{s}" for s in extremes[c]]
+        out = out.selectExpr("*", *ahead)
+        for i, c in enumerate(channels):
+            for n in sizes:
+                if (c, n) not in stats:
+                    continue
+                if n & step and moments[c]:
+                    new = _merged(acc[c, n], f"_p{i}_{n}") if (c, n) in acc else {p: f"_p{i}_{n}_{p}" for p in parts}
+                    acc[c, n] = f"_a{i}_{n}_{level}"
+                    kept += [f"{x} AS {acc[c, n]}_{p}" for p, x in new.items()]
+                elif (c, n) in acc:
+                    kept += [f"{acc[c, n]}_{p}" for p in parts]
+                if n.bit_length() - 1 <= level:
+                    kept += [f"_w{i}_{n}_{s}" for s in extremes[c]]
+            if sizes[-1] >= 2 * step:
+                new = _merged(now[c], f"_x{i}") if moments[c] else {}
+                now[c] = f"_d{i}_{level + 1}"
+                kept += [f"{x} AS {now[c]}_{p}" for p, x in new.items()] + [f"_x{i}_{s} AS {now[c]}_{s}" for s in extremes[c]]
+        out = out.selectExpr(*columns, *kept)
+
+    # Values of whole stretches, then running ones and those of the run for windows that begin before it.
+    plain = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+    place, running, values = [f"row_number() {over} AS _at", f"count(1) {layout.over(None, None)} AS _rows"], [], []
+    for (c, n, stat), name in wanted.items():
+        i = channels.index(c)
+        if stat in ("min", "max"):
+            place.append(f"_w{i}_{n}_{stat} AS `_s_{name}`")
+        elif stat == "mean":
+            place.append(f"if({acc[c, n]}_n > 0, {acc[c, n]}_mean, NULL) AS `_s_{name}`")
+        else:
+            place.append(f"if({acc[c, n]}_n > 1, sqrt({acc[c, n]}_squares / ({acc[c, n]}_n - 1)), NULL) AS `_s_{name}`")
+    used = list(dict.fromkeys((c, stat) for c, _, stat in wanted))
+    for c, stat in used:
+        k = channels.index(c)
+        running += [f"{plain[stat]}(`{c}`) {layout.over(None, 0)} AS _r{k}_{stat}", f"{plain[stat]}(`{c}`) {layout.over(None, None)} AS _all{k}_{stat}"]
+    out = out.selectExpr(*columns, *place, *running)
+    for (c, n, stat), name in wanted.items():
+        before, after = spec.bounds(n)
+        k = channels.index(c)
+        early = f"if(_at + {after} <= _rows, {fetch(f'_r{k}_{stat}', after)}, _all{k}_{stat})"
+        values.append(f"if(_at > {before}, {fetch(f'`_s_{name}`', -before)}, {early}) AS `{name}`")
+    return out.selectExpr(*columns, *values)
 
 
 def _expression(f: Feature, layout: RunLayout, spec: FeatureSpec, fill_start: bool) -> str:

@@ -210,3 +210,19 @@ def test_quantiles_are_exact(spark, max_rows):
 
 def test_base_channels_are_the_spec_default():
     assert FeatureSpec().channels == BASE_CHANNELS
+
+
+@pytest.mark.parametrize("centred", [True, False])
+@pytest.mark.parametrize("max_rows", [INF, 300])
+def test_wide_windows_agree_with_pandas(spark, centred, max_rows):
+    """Windows of any size, wider than some runs, beside narrow ones; and gaps."""
+    rng = np.random.default_rng(2)
+    runs = np.repeat([1, 2, 3, 4], [1500, 90, 1, 40])
+    x = np.where(rng.random(len(runs)) < 0.2, np.nan, 1e4 + rng.normal(size=len(runs)).cumsum())
+    pdf = pd.DataFrame({"run_id": runs, "ts": range(len(runs)), "event_id": range(len(runs)), "x": x, "y": rng.integers(0, 50, len(runs)).astype(float)})
+    df = frame(spark, pdf, "run_id int, ts int, event_id int, x double, y double")
+    spec = FeatureSpec(channels=("x", "y"), lags=(), diffs=(), windows=(5, 33, 64, 100, 1000), cross=(), centred=centred)
+    got = engineer(df, plan(df, max_rows), spec).toPandas().sort_values("event_id")
+    for f in spec.features():
+        want = pdf.groupby("run_id")[f.channel].transform(lambda s: getattr(s.rolling(f.size, min_periods=1, center=centred), f.stat)())
+        np.testing.assert_allclose(got[f.name].to_numpy(float), want.to_numpy(float), rtol=1e-9 if f.stat != "std" else 1e-5, atol=1e-9, err_msg=f.name)
