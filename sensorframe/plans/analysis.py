@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.functions import nan_to_null
 from sensorframe.operators import gaps
-from sensorframe.operators.correlation import THRESHOLD, drop_correlated
+from sensorframe.operators.correlation import THRESHOLD, correlated_without, drop_correlated
 from sensorframe.operators.crossval import Evaluation, cross_validate, positive_label
 from sensorframe.operators.features import (
     TEXT_CHANNELS,
@@ -135,9 +135,24 @@ def evaluate(
     if not select_within_fold:
         selection = select_features(data, features, label, threshold, **settings)
         return cross_validate(data, selection.features, label, models, ids, fold, parallelism, store=False), selection
-    folds = [r[0] for r in written(data.select(fold).distinct()).orderBy(fold).toLocalIterator()]
-    per_fold = {
-        k: select_features(data.where(F.col(fold) != F.lit(k)), features, label, threshold, **settings).features
-        for k in folds
-    }
+    per_fold = select_without(data, features, label, fold, threshold, **settings)
     return cross_validate(data, per_fold, label, models, ids, fold, parallelism, store=False), None
+
+
+def select_without(
+    data: DataFrame, features: Sequence[str], label: str, fold: str, threshold: float | None = THRESHOLD, **forest_settings
+) -> dict[object, list[str]]:
+    """For each fold the features selected on the rows of all others. Forests are fitted fold by fold; the correlation
+    filter of all folds comes from one pass over the rows."""
+    folds = [r[0] for r in written(data.select(fold).distinct()).orderBy(fold).toLocalIterator()]
+    pairs: dict[object, list[tuple[int, int]]] = {}
+    if threshold is not None:
+        for row in written(correlated_without(data, features, fold, threshold)).toLocalIterator():
+            pairs.setdefault(row["fold"], []).append((row["i"], row["j"]))
+    chosen = {}
+    for key in folds:
+        scores = forest_importance(data.where(F.col(fold) != F.lit(key)), features, label, **forest_settings)
+        kept = {r["feature"] for r in above_median(scores).collect()}
+        late = {features[j] for i, j in pairs.get(key, ()) if features[i] in kept}
+        chosen[key] = [f for f in features if f in kept and f not in late]
+    return chosen

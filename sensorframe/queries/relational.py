@@ -250,19 +250,20 @@ def q_select_features(spark, sf_dir):
 # -- windows -----------------------------------------------------------------------------------
 
 
-def _window_query(name: str, spec: FeatureSpec) -> None:
+def _window_query(name: str, spec: FeatureSpec, decimals: int = 6, std_decimals: int = 6) -> None:
     """One feature family on a whole channel (value) and a gappy one (m), gaps left as they are."""
     names = [n for n in spec.names() if n not in spec.channels]
+    std = [n for n in names if "_std_" in n]
+    exact = [n for n in names if n not in std]
 
     def run(spark, sf_dir):
         df = runs(spark, sf_dir)
-        return show(engineer(df, layout_of(df), spec), IDS, names)
+        made = engineer(df, layout_of(df), spec)
+        return made.select(*IDS, *[rounded(f"`{c}`", decimals).alias(c) for c in exact], *[rounded(f"`{c}`", std_decimals).alias(c) for c in std])
 
     run.__name__ = name
-    query(
-        f"WITH {RUNS_SQL}, made AS (SELECT run_id, event_id, {features_sql(spec)} FROM runs)"
-        f" SELECT {sql_show(IDS, names)} FROM made"
-    )(run)
+    shown = ", ".join(filter(None, [sql_show(IDS, exact, decimals), sql_show([], std, std_decimals)]))
+    query(f"WITH {RUNS_SQL}, made AS (SELECT run_id, event_id, {features_sql(spec)} FROM runs) SELECT {shown} FROM made")(run)
 
 
 _EMPTY = {"channels": ("value", "m"), "lags": (), "windows": (), "diffs": (), "cross": ()}
@@ -270,6 +271,7 @@ _window_query("q_lags", FeatureSpec(**{**_EMPTY, "lags": LAGS}))
 _window_query("q_diffs", FeatureSpec(**{**_EMPTY, "diffs": DIFFS}))
 for _stat in ("mean", "std", "min", "max"):
     _window_query(f"q_roll_{_stat}", FeatureSpec(**{**_EMPTY, "windows": WINDOWS, "stats": (_stat,)}))
+_window_query("q_roll_wide", FeatureSpec(**{**_EMPTY, "windows": (33, 50, 100), "stats": ("mean", "std", "min", "max")}), 9, 5)  # nine decimals show means of up to 128 readings without a tie
 
 
 @query(
@@ -382,13 +384,13 @@ def lines(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*[f"{e} AS {n}" for n, e in LINE_COLUMNS.items()])
 
 
-def _pairs_sql() -> str:
+def _pairs_sql(names=LINE_NAMES, source: str = "lines", ctes: str = LINES_SQL) -> str:
     cells = ", ".join(
         f"{{'i': {i}, 'j': {j}, 'feature_i': '{a}', 'feature_j': '{b}', 'corr': corr({a}, {b})}}"
-        for j, b in enumerate(LINE_NAMES)
-        for i, a in enumerate(LINE_NAMES[:j])
+        for j, b in enumerate(names)
+        for i, a in enumerate(names[:j])
     )
-    return f"""{LINES_SQL}, cells AS (SELECT unnest([{cells}], recursive := true) FROM lines),
+    return f"""{ctes}, cells AS (SELECT unnest([{cells}], recursive := true) FROM {source}),
     pairs AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, feature_i, feature_j,
       CASE WHEN NOT isnan(corr) THEN corr END AS corr FROM cells)"""
 
@@ -399,6 +401,25 @@ def q_corr_pairs(spark, sf_dir):
     return show(pairs, ["i", "j", "feature_i", "feature_j"], ["corr"])
 
 
+# Columns with gaps in different rows; one that is constant wherever the gappy one is known, and one without values.
+GAPPY_COLUMNS = {
+    "value": "value",
+    "m": "m",
+    "late": "CASE WHEN event_id % 3 > 0 THEN hours_left + value END",
+    "early": "CASE WHEN event_id % 2 = 0 THEN value * hours_left END",
+    "still": "CASE WHEN m IS NULL THEN value ELSE 2.5 END",
+    "none": "CASE WHEN event_id < 0 THEN value END",
+}
+GAPPY_SQL = f"{RUNS_SQL}, gappy AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in GAPPY_COLUMNS.items()) + " FROM runs)"
+
+
+@query(f"WITH {_pairs_sql(list(GAPPY_COLUMNS), 'gappy', GAPPY_SQL)} SELECT {sql_show(['i', 'j', 'feature_i', 'feature_j'], ['corr'])} FROM pairs")
+def q_corr_gaps(spark, sf_dir):
+    """Each pair over the rows in which both are known."""
+    rows = labelled(spark, sf_dir).selectExpr(*[f"{e} AS {n}" for n, e in GAPPY_COLUMNS.items()])
+    return show(correlation_pairs(rows, list(GAPPY_COLUMNS)), ["i", "j", "feature_i", "feature_j"], ["corr"])
+
+
 @query(
     f"""WITH {_pairs_sql()} SELECT j, feature_j, round_even((max(abs(corr))) * 1e6, 0) / 1e6 + 0.0 AS max_abs_corr
     FROM pairs GROUP BY j, feature_j HAVING max(abs(corr)) > 0.9"""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.functions import strict_number
 from sensorframe.operators import report
-from sensorframe.operators.correlation import drop_correlated
+from sensorframe.operators.correlation import correlated_without, correlation_pairs, drop_correlated
 from sensorframe.operators.crossval import cross_validate, fold_sizes, fold_split, grouped_folds
 from sensorframe.operators.joins import join_groups
 from sensorframe.operators.kernel import fourier_map, loro_kernel
@@ -22,7 +22,8 @@ from sensorframe.operators.metrics import fold_metrics, model_summary
 from sensorframe.operators.models import ModelSpec, boosting, forest, fourier_features, kernel_model, reference_preset
 from sensorframe.operators.scaling import scaler_values, standardize
 from sensorframe.operators.selection import above_median, forest_importance, top_scores
-from sensorframe.plans import evaluate, feature_frame
+from sensorframe.plans import evaluate, feature_frame, select_features
+from sensorframe.plans.analysis import select_without
 from sensorframe.session import written
 from sensorframe.sources import read_runs, stack_runs, write_table
 
@@ -77,6 +78,37 @@ def test_kernel_features_approximate_the_kernel(spark):
     assert np.abs(z @ z.T - kernel).max() < 0.1
 
 
+def test_correlations_of_all_folds_from_one_pass(spark):
+    """Gaps in different rows, 30 folds: as pandas has it for the other folds' rows of each."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(rng.normal(size=(900, 5)), columns=list("abcde"))
+    pdf["b"], pdf["c"] = pdf.a + 0.3 * pdf.b, 1e6 - pdf.a + 0.1 * pdf.c
+    pdf["e"] = np.where(np.arange(900) % 30 == 4, pdf.e, 7.0)  # constant without fold 4
+    pdf = pdf.mask(rng.random(pdf.shape) < 0.2)
+    pdf["fold"] = np.arange(900) % 30
+    rows = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c double, d double, e double, fold int")
+    got = {(r.fold, r.i, r.j) for r in correlated_without(rows, list("abcde"), "fold", 0.05).collect()}
+    want = set()
+    for k in range(30):
+        matrix = pdf[pdf.fold != k][list("abcde")].corr().to_numpy()
+        if k == 4:
+            matrix[4] = matrix[:, 4] = np.nan
+        want |= {(k, i, j) for j in range(5) for i in range(j) if abs(matrix[i, j]) > 0.05}
+    assert got == want
+    pairs = {(r.i, r.j): r["corr"] for r in correlation_pairs(rows, list("abcde")).collect()}
+    matrix = pdf[list("abcde")].corr().to_numpy()
+    assert all(v == pytest.approx(matrix[i, j], abs=1e-8) for (i, j), v in pairs.items()) and len(pairs) == 10
+
+
+def test_selection_within_folds_equals_selection_on_their_rows(spark, rows):
+    folds = grouped_folds(rows.withColumn("twice", F.col("a") * 2 + 1), 3)
+    names, settings = ["a", "twice", "b", "c"], {"numTrees": 5, "maxDepth": 4}
+    got = select_without(folds, names, "y", "fold", 0.9, **settings)
+    assert sorted(got) == [0, 1, 2]
+    for k, chosen in got.items():
+        assert chosen == select_features(folds.where(F.col("fold") != k), names, "y", 0.9, **settings).features
+
+
 @pytest.mark.parametrize("long_fold", [100_000, 20])
 def test_kernel_folds_equal_refitting(spark, long_fold):
     """All folds from one pass, against a ridge fit of each fold's training rows; folds of 1 to 200 rows, a null one."""
