@@ -33,7 +33,7 @@ def line_sets(column: pa.Array, width: int, rank: np.ndarray | None = None) -> I
         yield owner + begin, number, *distinct(*shingles(words.hashes(), words.first, width), rank)
 
 
-def matched_lines(docs: DataFrame, width: int = 1, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+def matched_lines(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(texts, gone): the texts with what names them (doc_id, text_key, text), and a saved table of the lines to
     remove (doc_id, text_key, lines array)."""
     own = bare(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
@@ -150,11 +150,11 @@ def _whole_lines(pairs: DataFrame, own: DataFrame, classes: DataFrame, width: in
     return written(texts.select("wanted", "text").mapInArrow(whole, "key long, set array<long>"))
 
 
-def remove_lines(docs: DataFrame, width: int = 1, percent: int = 80) -> DataFrame:
+def remove_lines(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with the lines of their texts that match an earlier line removed; all columns as they were.
 
-    A line (between newlines) is the set of its distinct words or, with a ``width`` beyond 1, of its shingles of so many
-    words, or of its whole sequence of words if it has fewer. Two lines match when 100 * intersection >= percent * union. A line goes if any line before it,
+    A line (between newlines) is the set of its distinct ``width``-word shingles (with 1: of its words), or of its whole
+    sequence of words if it has fewer. Two lines match when 100 * intersection >= percent * union. A line goes if any line before it,
     by doc_id and then by number, matches it, whether that one stays or not; lines without words always stay, and
     what stays keeps its order. Prefixes are ordered by rarity, candidates filtered by prefix, length and position,
     and every match is verified on whole sets.
@@ -178,7 +178,7 @@ def _marked(docs: DataFrame, width: int, percent: int) -> tuple[Held, DataFrame,
     return held, joined, F.when(F.col("gone_lines").isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
-def dedup_report(docs: DataFrame, width: int = 1, percent: int = 80) -> DataFrame:
+def dedup_report(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, text (see ``remove_lines``; null counts as empty)."""
     own = bare(docs, "doc_id", "text").withColumn("text", text_or_empty())
     held, marked, new = _marked(own, width, percent)
