@@ -69,7 +69,7 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 BUCKET_BITS = 20
-_BLOCK, _SALTS = 1 << 12, 32
+_BLOCK, _SALTS = 1 << 9, 32  # of 4 KB, so that a batch of them is small
 
 
 def bucket_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BUCKET_BITS) -> np.ndarray:
@@ -109,12 +109,12 @@ def bucket_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
             return pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()])], names=["block", "salt", "counts"])
 
         for batch in batches:
-            for block, salt, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, salt, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if key != (block, salt):
                     if key is not None:
                         yield row()
                     key, total = (block, salt), np.zeros(_BLOCK, np.int64)
-                total += np.frombuffer(counts, np.int64)
+                total += np.frombuffer(counts.as_buffer(), np.int64)
         if key is not None:
             yield row()
 
