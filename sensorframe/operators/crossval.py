@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -10,7 +11,7 @@ from itertools import islice
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorframe.functions import clip_negative, residual
@@ -88,6 +89,28 @@ def _training_statistics(df: DataFrame, features: Sequence[str], fold: str) -> C
     return of
 
 
+def _fingerprint(data: DataFrame, models: dict[str, ModelSpec], about: tuple) -> str:
+    """A name for what a validation depends on: the rows, whatever their order, the columns, and the models' settings."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in data.columns])
+    rows = data.agg(F.count(F.lit(1)), F.bit_xor(row), F.sum(F.pmod(row, F.lit(1 << 31)))).head()
+    settings = []
+    for name, spec in sorted(models.items()):
+        made = spec.make(1000)
+        values = sorted((p.name, str(v)) for p, v in made.extractParamMap().items())
+        settings.append((name, type(made).__name__, values, spec.scale, sorted((spec.fourier or {}).items())))
+    return hashlib.sha256(repr((tuple(rows), data.dtypes, about, settings)).encode()).hexdigest()[:24]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _saved_weights(spark: SparkSession, path: str, names: Sequence[str]) -> list[float]:
+    found = {r["feature"]: r["importance"] for r in spark.read.parquet(path).collect()}
+    return [found[f] for f in names]
+
+
 def cross_validate(
     frame: DataFrame,
     features: Sequence[str] | dict[object, Sequence[str]],
@@ -97,6 +120,7 @@ def cross_validate(
     fold: str = "fold",
     parallelism: int = 2,
     store: bool = True,
+    resume: str | None = None,
 ) -> Evaluation:
     """Per model and fold: train on the other folds, predict the held-out one, clip negatives.
 
@@ -106,6 +130,9 @@ def cross_validate(
     run ``parallelism`` at a time, and each one's predictions are saved at once, so that what reads the result
     predicts nothing again. A model marked ``additive`` is solved for all folds from one pass of sums instead, unless
     features differ by fold.
+
+    With ``resume``, a folder in shared storage, fits are kept there under a name made from the rows, the columns and
+    the models' settings: a validation that was ended goes on with the fits that are missing.
     """
     spark = frame.sparkSession
     per_fold = features if isinstance(features, dict) else None
@@ -121,11 +148,13 @@ def cross_validate(
     shape = data.select(
         F.lit("").alias("model"), F.col(fold).alias("fold"), *ids, F.col(f"`{label}`").alias("actual"), F.lit(0.0).alias("predicted"), F.lit(0.0).alias("residual")
     ).schema
-    place = table_path(spark)
+    place = f"{resume}/{_fingerprint(data, models, (label, ids, fold, wanted, per_fold))}" if resume and each else table_path(spark)
 
     def one(task):
         number, name, row = task
         key, names = row["fold"], list(per_fold[row["fold"]] if per_fold else wanted)
+        if resume and _exists(spark, f"{place}/part={number}/_SUCCESS"):
+            return name, names, _saved_weights(spark, f"{place}/weights-{number}", names) if models[name].trees else None
         train, test = fold_split(data, F.col(fold) == F.lit(key))
         scaling = None
         if models[name].scale:
@@ -141,8 +170,10 @@ def cross_validate(
             clip_negative(F.col("prediction")).alias("predicted"),
         )
         predictions = predictions.withColumn("residual", residual(F.col("actual"), F.col("predicted")))
-        predictions.write.parquet(f"{place}/part={number}")
         weights = fitted.model.featureImportances.toArray() if models[name].trees else None
+        if resume and weights is not None:
+            importance_table(spark, names, weights).write.mode("overwrite").parquet(f"{place}/weights-{number}")
+        predictions.write.mode("overwrite").parquet(f"{place}/part={number}")  # last: a fit that has these is complete
         return name, names, weights
 
     def tasks():

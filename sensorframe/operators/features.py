@@ -313,13 +313,15 @@ def engineer(
     fill_start: bool = False,
 ) -> DataFrame:
     """Append the features of ``spec`` (or those named in ``only``). All windows share one
-    partitioning and order, so the whole set costs one exchange and one sort."""
+    partitioning and order, so the whole set costs one exchange and one sort. A chunk of a cut run comes with the
+    rows beside it; any that lack a lag also have the start of the run with them."""
     features = [f for f in spec.features() if only is None or f.name in only]
     if not features:
         return df
-    if fill_start and layout.chunked:
-        raise ValueError("a chunk does not see the start of its run: interpolate instead")
-    source = layout.with_halo(df, *spec.reach()) if layout.chunked else df
+    before, after = spec.reach()
+    if fill_start:  # the rows at the start of a run look at those whose lag they take
+        after = max(after, before + 1)
+    source = layout.with_halo(df, before, after) if layout.chunked else df
     rolling = {(f.channel, f.size, f.stat): f.name for f in features if f.kind == "rolling"}
     ratios = [f for f in features if f.kind == "mean_ratio"]
     for f in ratios:

@@ -19,6 +19,7 @@ WHISKER = 1.5
 
 # Grid points of a density curve that one aggregate row holds.
 STRIP = 20
+REACH = 9.0  # bandwidths
 
 
 def series_long(df: DataFrame, sensors: Sequence[str], ids: Sequence[str], ordered: bool = False) -> DataFrame:
@@ -75,7 +76,9 @@ def density(df: DataFrame, value: str, by: Sequence[str] = ("model",), points: i
     bandwidth ``std * n^(-1/5)``. NULL density where the group has no spread.
 
     The grid is evaluated inside an aggregate, in strips of ``STRIP`` sums: sums leave each task,
-    not rows. Wider strips would make methods that the JVM leaves uncompiled.
+    not rows. Wider strips would make methods that the JVM leaves uncompiled. A row goes to the strips within ``REACH``
+    bandwidths of it; what it would add beyond is less than 1e-17 of what it adds at its own place. So the work of a
+    row falls as the bandwidth narrows with the number of rows.
     """
     keys = list(by)
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
@@ -91,10 +94,18 @@ def density(df: DataFrame, value: str, by: Sequence[str] = ("model",), points: i
         *keys,
         ((F.col("_lo") - F.col("_x")) / F.col("_h")).alias("_z"),
         (F.col("_step") / F.col("_h")).alias("_dz"),
-        F.explode(F.sequence(F.lit(0), F.lit(points - 1), F.lit(STRIP))).alias("_at"),
     )
+    # The first and last point in reach; all of them where there is no bandwidth.
+    near = F.floor((-F.lit(REACH) - F.col("_z")) / F.col("_dz") / F.lit(STRIP)) * F.lit(STRIP)
+    far = F.floor((F.lit(REACH) - F.col("_z")) / F.col("_dz"))
+    first = F.greatest(F.coalesce(near, F.lit(0)), F.lit(0)).cast("int")
+    last = F.least(F.coalesce(far, F.lit(points - 1)), F.lit(points - 1)).cast("int")
+    rows = rows.withColumn("_at", F.explode(F.sequence(first, F.greatest(first, last), F.lit(STRIP))))
+    # Strips that no row reaches have sums of 0.
+    empty = span.select(*keys, F.lit(None).cast("double").alias("_z"), F.lit(None).cast("double").alias("_dz"), F.explode(F.sequence(F.lit(0), F.lit(points - 1), F.lit(STRIP))).alias("_at"))
+    rows = rows.unionByName(empty)
     rows = rows.select(*keys, "_at", "_dz", (F.col("_z") + F.col("_at") * F.col("_dz")).alias("_z"))
-    strip = [f"sum(exp(-0.5D * (_z + {i}D * _dz) * (_z + {i}D * _dz))) AS s{i}" for i in range(STRIP)]
+    strip = [f"coalesce(sum(exp(-0.5D * (_z + {i}D * _dz) * (_z + {i}D * _dz))), 0D) AS s{i}" for i in range(STRIP)]
     sums = rows.groupBy(*keys, "_at").agg(*[F.expr(e) for e in strip])
     scale = F.col("_n") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi())
     return (

@@ -48,19 +48,21 @@ def feature_frame(
     raw = raw.withColumns({c: nan_to_null(F.col(f"`{c}`")) for c in doubles})  # a gap is NULL from here on
     layout = RunLayout.plan(raw, keys, order, max_rows, profile=[*numeric, *also_fill])
     repaired = [c for c in spec.channels if c in text_channels]
-    df = layout.attach(raw)
+    # Steps on cut runs read their input for the rows, for what chunks say of themselves, and for the rows beside
+    # them: saved in between, a step is computed once, and the next one's further reads are of the columns they need.
+    step = written if layout.chunked else lambda df: df
+    df = step(layout.attach(raw))
     if repaired:
-        df = gaps.repair_channels(df, layout, repaired)
-    anywhere, leading = gap_columns(spec, layout, repaired)
+        df = step(gaps.repair_channels(df, layout, repaired))
+    anywhere, _ = gap_columns(spec, layout, repaired)
     extra = [c for c in also_fill if c in layout.gappy]
-    if layout.chunked:
-        df = gaps.interpolate(engineer(df, layout, spec), layout, [*anywhere, *extra], leading)
-    else:
-        # Features of gappy channels first, while the rows that interpolation has to sort in
-        # reverse are narrow; then the others, whose only gaps are at the start of a run.
-        df = gaps.interpolate(engineer(df, layout, spec, only=anywhere), layout, [*anywhere, *extra])
-        others = [f.name for f in spec.features() if f.name not in anywhere]
-        df = engineer(df, layout, spec, only=others, fill_start=True)
+    # Features of gappy channels first, while the rows that interpolation has to sort in
+    # reverse are narrow; then the others, whose only gaps are at the start of a run.
+    df = engineer(df, layout, spec, only=anywhere)
+    if anywhere or extra:
+        df = step(gaps.interpolate(step(df), layout, [*anywhere, *extra]))
+    others = [f.name for f in spec.features() if f.name not in anywhere]
+    df = engineer(df, layout, spec, only=others, fill_start=True)
     rest = [c for c in raw.columns if c not in spec.channels]
     telling = [*rest, *telling_columns(spec, [c for c in layout.gappy if c not in repaired])]
     return gaps.drop_incomplete(project(df, [*raw.columns, *[f.name for f in spec.features()]]), telling)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from sensorframe.operators.crossval import cross_validate, grouped_folds, positi
 from sensorframe.operators.linear import loro_linear
 from sensorframe.operators.metrics import fold_metrics, model_summary
 from sensorframe.operators.models import ModelSpec, boosting, forest, kernel_model
+from sensorframe.operators.report import box_statistics, scores_wide
 from sensorframe.operators.selection import above_median, forest_importance, top_scores
 from sensorframe.plans import learning_frame, select_by_scores
 from sensorframe.queries.common import (
@@ -22,6 +25,7 @@ from sensorframe.queries.common import (
     show,
     sql_show,
 )
+from sensorframe.session import written
 from sensorframe.queries.relational import NARROW, NARROW_SQL, SCORES_TABLE_SQL, feature_scores, narrow_frame
 
 QUERIES: dict = {}
@@ -134,6 +138,35 @@ def q_selection_chain(spark, sf_dir) -> DataFrame:
 MODELS = ("Fourier Ridge", "Gradient Boosting", "Column-Sampled Boosting", "Random Forest", "Linear Regression")
 
 
+def _five() -> dict[str, ModelSpec]:
+    return {
+        "Fourier Ridge": kernel_model(),
+        "Gradient Boosting": ModelSpec(lambda n: boosting(**SMALL_BOOSTING), trees=True),
+        "Column-Sampled Boosting": ModelSpec(lambda n: boosting(**{**SMALL_BOOSTING, "featureSubsetStrategy": "0.7"}), trees=True),
+        "Random Forest": ModelSpec(lambda n: forest(**SMALL_FOREST), trees=True),
+        "Linear Regression": ModelSpec(lambda n: LinearRegression(), additive=True),
+    }
+
+
+@query()
+def q_leaderboard(spark, sf_dir) -> DataFrame:
+    """The five models by their mean scores over the folds."""
+    summary = model_summary(fold_metrics(_evaluate(spark, sf_dir, _five()).predictions))
+    return show(summary, ["model"], ["avg_r2", "avg_rmse", "avg_mae", "avg_mse"])
+
+
+@query()
+def q_model_boxplot(spark, sf_dir) -> DataFrame:
+    """The five models' scores: a box for each metric, with the score of each fold beside it."""
+    scores = written(fold_metrics(_evaluate(spark, sf_dir, _five()).predictions))
+    boxes = [box_statistics(scores, m).withColumn("metric", F.lit(m)) for m in ("r2", "rmse", "mae")]
+    folds = [scores_wide(scores.withColumn("by", F.col("model")).drop("model").withColumnRenamed("fold", "model").withColumnRenamed("by", "fold"), m, range(FOLDS)).withColumn("metric", F.lit(m)) for m in ("r2", "rmse", "mae")]
+    both = functools.reduce(DataFrame.unionByName, boxes).join(functools.reduce(DataFrame.unionByName, folds).withColumnRenamed("fold", "model"), ["model", "metric"])
+    names = [f"fold_{k}" for k in range(FOLDS)]
+    both = both.withColumnsRenamed({str(k): n for k, n in enumerate(names)})
+    return show(both, ["model", "metric", "n", "n_outliers"], ["q1", "median", "q3", "whisker_lo", "whisker_hi", *names])
+
+
 @query(
     f"""WITH {NARROW_SQL} SELECT model, run_id, event_id, round_even((hours_left) * 1e6, 0) / 1e6 + 0.0 AS actual, true AS sane
     FROM frame, (VALUES {", ".join(f"('{m}')" for m in MODELS)}) AS names(model) WHERE hours_left > 0"""
@@ -142,14 +175,7 @@ def q_cv_rows(spark, sf_dir) -> DataFrame:
     """What must hold for every model: each row is predicted once, with its label, no negative or missing value, and
     a forest's predictions lie within the labels' range."""
     rows, names = _learning(spark, sf_dir)
-    models = {
-        "Fourier Ridge": kernel_model(),
-        "Gradient Boosting": ModelSpec(lambda n: boosting(**SMALL_BOOSTING), trees=True),
-        "Column-Sampled Boosting": ModelSpec(lambda n: boosting(**{**SMALL_BOOSTING, "featureSubsetStrategy": "0.7"}), trees=True),
-        "Random Forest": ModelSpec(lambda n: forest(**SMALL_FOREST), trees=True),
-        "Linear Regression": ModelSpec(lambda n: LinearRegression(), additive=True),
-    }
-    found = cross_validate(grouped_folds(rows, FOLDS), names, "hours_left", models, IDS, store=False).predictions
+    found = cross_validate(grouped_folds(rows, FOLDS), names, "hours_left", _five(), IDS, store=False).predictions
     low, high = rows.agg(F.min("hours_left"), F.max("hours_left")).head()
     inside = F.col("predicted").between(low, high) | (F.col("model") != "Random Forest")
     sane = F.coalesce((F.col("predicted") >= 0) & inside, F.lit(False))
@@ -165,8 +191,8 @@ def q_rf_importance_sum(spark, sf_dir) -> DataFrame:
 
 @query()
 def q_rf_importance(spark, sf_dir) -> DataFrame:
-    rows, names = _learning(spark, sf_dir)
     """The whole vector."""
+    rows, names = _learning(spark, sf_dir)
     return forest_importance(rows, names, "hours_left", **SMALL_SELECTOR)
 
 

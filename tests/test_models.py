@@ -78,6 +78,36 @@ def test_kernel_features_approximate_the_kernel(spark):
     assert np.abs(z @ z.T - kernel).max() < 0.1
 
 
+def test_ended_validation_goes_on(rows, tmp_path):
+    """A run that stops half-way, and another that only fits what is missing; other settings begin anew."""
+    made, stop = [], [3]
+
+    def make(n, depth=3):
+        made.append(n)
+        if n != 1000 and len([m for m in made if m != 1000]) > stop[0]:
+            raise RuntimeError("ended")
+        return forest(numTrees=3, maxDepth=depth, seed=1)
+
+    models = {"forest": ModelSpec(make, trees=True)}
+    folds, names = grouped_folds(rows, 6), ["a", "b", "c", "d"]
+    with pytest.raises(RuntimeError, match="ended"):
+        cross_validate(folds, names, "y", models, IDS, parallelism=1, resume=str(tmp_path))
+    done, stop[0] = 3, 100
+    n_folds = folds.select("fold").distinct().count()
+    made.clear()
+    again = cross_validate(folds, names, "y", models, IDS, parallelism=1, resume=str(tmp_path))
+    assert len([m for m in made if m != 1000]) == n_folds - done
+    assert again.predictions.count() == rows.count()
+    made.clear()
+    third = cross_validate(folds, names, "y", models, IDS, resume=str(tmp_path))
+    assert [m for m in made if m != 1000] == []
+    assert sorted(map(tuple, third.predictions.collect())) == sorted(map(tuple, again.predictions.collect()))
+    assert sorted(map(tuple, third.mean_importances["forest"].collect())) == sorted(map(tuple, again.mean_importances["forest"].collect()))
+    made.clear()
+    cross_validate(folds, names, "y", {"forest": ModelSpec(lambda n: make(n, 2), trees=True)}, IDS, resume=str(tmp_path))
+    assert len([m for m in made if m != 1000]) == n_folds
+
+
 def test_correlations_of_all_folds_from_one_pass(spark):
     """Gaps in different rows, 30 folds: as pandas has it for the other folds' rows of each."""
     rng = np.random.default_rng(8)

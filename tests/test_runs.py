@@ -196,6 +196,14 @@ def test_plan_has_one_exchange_and_no_python(spark):
     assert "Python" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_steps_on_cut_runs_read_their_input_a_few_times(spark):
+    """Each step reads what the one before has saved: the rows, and those beside chunks on either side."""
+    df = frame(spark, random_runs(), SCHEMA).repartition(4)
+    text = feature_frame(df, FeatureSpec(), also_fill=("hour", "left"), max_rows=20)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") <= 4 and text.count("Exchange hashpartitioning") <= 6
+    assert "Python" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
+
+
 @pytest.mark.parametrize("max_rows", [INF, 50])
 def test_quantiles_are_exact(spark, max_rows):
     rng = np.random.default_rng(3)
