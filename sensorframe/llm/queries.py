@@ -171,6 +171,20 @@ s AS (
   FROM v LEFT JOIN k USING (owner, depth) JOIN m ON m.c = v.owner AND m.depth <= v.depth GROUP BY m.owner, m.depth)
 SELECT v.owner AS conv_id, v.depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
 FROM v LEFT JOIN up USING (owner, depth) LEFT JOIN k USING (owner, depth) JOIN s USING (owner, depth)""",
+    "op12_suffix_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT r, doc_id, b, octet_length(b) AS n FROM d),
+w AS (
+  SELECT r, p, md5(array_slice(b, p, p + 399)) AS h
+  FROM (SELECT r, b, unnest(range(1, n - 398)) AS p FROM n WHERE n >= 400)),
+hit AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS prev FROM (SELECT r, p, count(*) OVER (PARTITION BY h) AS uses FROM w) WHERE uses > 1),
+runs AS (SELECT r, p, sum(CASE WHEN p <= prev + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS k FROM hit),
+s AS (SELECT r, min(p) AS a, max(p) + 400 AS z FROM runs GROUP BY r, k),
+g AS (SELECT r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM s GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN g.r IS NULL THEN b ELSE list_reduce(list_transform(range(0, n_spans + 1),
+    lambda i: array_slice(b, CASE WHEN i = 0 THEN 1 ELSE z[i] END, CASE WHEN i = n_spans THEN n ELSE a[i + 1] - 1 END)), lambda x, y: x || y) END) AS kept_sha256
+FROM n LEFT JOIN g USING (r)""",
     "op13_collocations": r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
