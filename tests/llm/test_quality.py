@@ -7,9 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sensorframe.llm.importance import cutoff, importance_resample
+from sensorframe.llm.importance import KINDS, SHRINK, TABLE_BITS, cutoff, fit_weights, importance_resample
 from sensorframe.llm.quality_rules import COUNTS, count_texts, drop_poor, fit_forest, quality_rules
-from sensorframe.llm.tokens import pieces, raw, texts_of
+from sensorframe.llm.tokens import pieces, raw, shingles, span_hashes, texts_of
 from tests.llm.conftest import LONG
 
 TEXTS = ["", None, "\n", "a\na\n\na", " a b c a b c", "\n\n", "a b", "é ü x\né ü x\n", "", " x", "x\n", "\nx\nx", "A#B $c! a?|<>%", "a a a a", LONG, "é" * 500]
@@ -141,3 +141,47 @@ def test_cutoff(spark):
     df = spark.createDataFrame([(v,) for v in values], "key double")
     for k in (1, 17, 2500, 5000, 9999):
         assert cutoff(df, k, few=50) == sorted(values, reverse=True)[min(k, 5000) - 1]
+
+
+def test_weights_follow_their_definition(spark):
+    """Counts of words, pairs and words once a text, gram by gram, against the tables of counts."""
+    rng = np.random.default_rng(1)
+    texts = [(" ".join(rng.choice(["Ab", "ab", "c", "d", "e e", "f\n"], rng.integers(0, 40))), bool(k % 3 == 0)) for k in range(40)] + [(None, True), ("", False)]
+
+    def bucket(grams):
+        return int(grams >> np.uint64(64 - TABLE_BITS))
+
+    def one(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return span_hashes(data, np.array([0]), np.array([len(data)]))
+
+    raw, target = (np.zeros((KINDS, 1 << TABLE_BITS)) for _ in range(2))
+    for text, wanted in texts:
+        words = (text or "").lower().split()
+        hashes = [one(w) for w in words]
+        pairs = [shingles(np.concatenate(hashes[i : i + 2]), np.array([0, 2]), 2)[0][0] for i in range(len(words) - 1)]
+        if len(words) == 1:
+            pairs = [shingles(hashes[0], np.array([0, 1]), 2)[0][0]]
+        for kind, grams in enumerate(([h[0] for h in hashes], pairs, [one(w)[0] for w in set(words)])):
+            for g in grams:
+                raw[kind, bucket(g)] += 1
+                target[kind, bucket(g)] += wanted
+    expected = raw * (target.sum(axis=1) / raw.sum(axis=1))[:, None]
+    ratio, error = np.log((target + 1) / (expected + 1)), np.sqrt(1 / (target + 1) + 1 / (expected + 1))
+    want = np.sign(ratio) * np.maximum(0, abs(ratio) - SHRINK * error)
+    got = fit_weights(spark.createDataFrame(texts, "text string, target boolean"))
+    np.testing.assert_allclose(got, want, atol=1e-12)
+
+
+def test_draws_follow_the_weights(spark):
+    """Of three kinds of rows as many are drawn as by Gumbel top-k over their weights, simulated."""
+    kinds = ["good words of a target text", "words that any text has", "bad junk words"]
+    rows = [(k, " ".join([kinds[k % 3]] * (3 + k % 3))) for k in range(3000)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0), 0) for k in range(0, 3000, 2)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = importance_resample(docs, labels, draw=900, sharpness=1.0).toPandas()
+    assert got.kept.sum() == 900
+    rng, weights = np.random.default_rng(2), got.log_weight.to_numpy()
+    drawn = np.mean([np.bincount(got.doc_id[np.argsort(weights + rng.gumbel(size=len(weights)))[-900:]] % 3, minlength=3) for _ in range(50)], axis=0)
+    rates = np.bincount(got.doc_id[got.kept] % 3, minlength=3)
+    assert drawn[0] > 1.5 * drawn[2] and (abs(rates - drawn) < 60).all()
