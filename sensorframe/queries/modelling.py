@@ -12,7 +12,7 @@ from sensorframe.operators.crossval import cross_validate, grouped_folds, positi
 from sensorframe.operators.linear import loro_linear
 from sensorframe.operators.metrics import fold_metrics, model_summary
 from sensorframe.operators.models import ModelSpec, boosting, forest, kernel_model
-from sensorframe.operators.report import box_statistics, scores_wide
+from sensorframe.operators.report import box_statistics
 from sensorframe.operators.selection import above_median, forest_importance, top_scores
 from sensorframe.plans import learning_frame, select_by_scores
 from sensorframe.queries.common import (
@@ -25,8 +25,8 @@ from sensorframe.queries.common import (
     show,
     sql_show,
 )
-from sensorframe.session import written
 from sensorframe.queries.relational import NARROW, NARROW_SQL, SCORES_TABLE_SQL, feature_scores, narrow_frame
+from sensorframe.session import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -159,11 +159,11 @@ def q_leaderboard(spark, sf_dir) -> DataFrame:
 def q_model_boxplot(spark, sf_dir) -> DataFrame:
     """The five models' scores: a box for each metric, with the score of each fold beside it."""
     scores = written(fold_metrics(_evaluate(spark, sf_dir, _five()).predictions))
-    boxes = [box_statistics(scores, m).withColumn("metric", F.lit(m)) for m in ("r2", "rmse", "mae")]
-    folds = [scores_wide(scores.withColumn("by", F.col("model")).drop("model").withColumnRenamed("fold", "model").withColumnRenamed("by", "fold"), m, range(FOLDS)).withColumn("metric", F.lit(m)) for m in ("r2", "rmse", "mae")]
-    both = functools.reduce(DataFrame.unionByName, boxes).join(functools.reduce(DataFrame.unionByName, folds).withColumnRenamed("fold", "model"), ["model", "metric"])
-    names = [f"fold_{k}" for k in range(FOLDS)]
-    both = both.withColumnsRenamed({str(k): n for k, n in enumerate(names)})
+    names, parts = [f"fold_{k}" for k in range(FOLDS)], []
+    for metric in ("r2", "rmse", "mae"):
+        each = scores.groupBy("model").pivot("fold", list(range(FOLDS))).agg(F.first(metric)).toDF("model", *names)
+        parts.append(box_statistics(scores, metric).join(each, "model").withColumn("metric", F.lit(metric)))
+    both = functools.reduce(DataFrame.unionByName, parts)
     return show(both, ["model", "metric", "n", "n_outliers"], ["q1", "median", "q3", "whisker_lo", "whisker_hi", *names])
 
 
