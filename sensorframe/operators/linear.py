@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from sensorframe.functions import clip_negative, residual
 from sensorframe.operators.joins import join_groups
 from sensorframe.operators.scaling import scaled, scaler_values
+from sensorframe.operators.tsqr import loro_factors
 from sensorframe.session import checkpointed
 
 
@@ -88,10 +89,12 @@ def loro_linear(
     ids: Sequence[str],
     fold: str = "run_id",
     model: str = "Linear Regression",
+    stable: bool = False,
 ) -> DataFrame:
     """Held-out predictions (model, fold, ids, actual, predicted, residual), negatives clipped.
-    Without features this is the mean of the other folds."""
-    coefficients, statistics = loro_coefficients(df, features, label, fold)
+    Without features this is the mean of the other folds. ``stable`` solves from triangular factors (``tsqr``) instead
+    of sums of products, which keeps the digits where features are nearly collinear, at a higher price per fold."""
+    coefficients, statistics = (loro_factors if stable else loro_coefficients)(df, features, label, fold)
     raw = F.col("intercept")
     for i, c in enumerate(features):
         raw = raw + F.get("weights", F.lit(i)) * scaled(c, *statistics[c])

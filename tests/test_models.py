@@ -54,6 +54,27 @@ def test_loro_equals_refitting(rows):
         np.testing.assert_allclose(got[got.fold == run].predicted, want, rtol=1e-9)
 
 
+def test_factors_keep_the_digits_of_nearly_collinear_features(spark):
+    """As least squares over whole tables has it, where sums of products do not; 30 folds, one of a row, a null one."""
+    rng = np.random.default_rng(4)
+    pdf = signal(900, 28)
+    pdf["b"] = pdf.a + 1e-7 * rng.normal(size=900)
+    pdf["y"] = np.abs(50 + pdf.c + (pdf.b - pdf.a) * 1e7 * 3)
+    pdf["run_id"] = pd.Series(pdf.run_id, dtype="Int64").where(pdf.event_id % 31 > 0)
+    pdf.loc[5, "run_id"] = 77
+    rows = spark.createDataFrame(pdf.astype({"run_id": object})).withColumn("run_id", F.col("run_id").cast("long"))
+    names = ["a", "b", "c"]
+    got, plain = (loro_linear(rows, names, "y", IDS, stable=s).toPandas().set_index("event_id").predicted.sort_index() for s in (True, False))
+    x = np.column_stack([np.ones(900), ((pdf[names] - pdf[names].mean()) / pdf[names].std(ddof=0)).to_numpy()])
+    runs, want = pdf.run_id.fillna(-1).to_numpy(), np.zeros(900)
+    for run in np.unique(runs):
+        r = np.linalg.qr(np.column_stack([x, pdf.y])[runs != run], mode="r")
+        want[runs == run] = np.maximum(x[runs == run] @ np.linalg.solve(r[:4, :4], r[:4, 4]), 0)
+    assert abs(got - want).max() < 1e-5 < abs(plain - want).max()
+    few = loro_linear(rows.where("run_id = 3"), names, "y", IDS, stable=True)
+    assert few.count() == 0  # nothing to train on
+
+
 def test_loro_with_collinear_and_constant_features(spark):
     pdf = signal().assign(twice=lambda p: 2 * p.a, one=1.0)
     got = loro_linear(spark.createDataFrame(pdf), ["a", "twice", "one"], "y", IDS).toPandas().set_index("event_id")
