@@ -179,6 +179,19 @@ def test_kernel_folds_equal_refitting(spark, long_fold):
         np.testing.assert_allclose(got[test], want, rtol=1e-7)
 
 
+@pytest.mark.parametrize("long_fold", [5, 60])
+def test_long_folds_take_their_weights_without_a_join(spark, long_fold):
+    """No row carries its fold's weights; many and few long folds, beside short ones and a null one, as folds in one task."""
+    pdf = signal(700)
+    pdf["run_id"] = pd.Series(np.where(pdf.event_id < 200, 0, pdf.event_id % 40), dtype="Int64").where(pdf.event_id % 17 > 0)
+    df = spark.createDataFrame(pdf.astype({"run_id": object})).withColumn("run_id", F.col("run_id").cast("long"))
+    made = [loro_kernel(df, ["a", "b", "c", "d"], "y", IDS, dim=60, gamma=0.1, seed=3, C=50.0, long_fold=n) for n in (long_fold, 100_000)]
+    assert "weights" not in made[0]._jdf.queryExecution().optimizedPlan().toString()
+    got, want = (m.toPandas().sort_values("event_id").reset_index(drop=True) for m in made)
+    pd.testing.assert_frame_equal(got.drop(columns=["predicted", "residual"]), want.drop(columns=["predicted", "residual"]))
+    np.testing.assert_allclose(got.predicted, want.predicted, rtol=1e-7)
+
+
 def test_kernel_solved_like_mllib(rows):
     """With the same scaling, solving from sums and MLlib's fit of every fold agree."""
     folds = grouped_folds(rows, 3)
