@@ -21,9 +21,10 @@ STOPS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bytes of text that are encoded together; a longer text makes a shard of its own.
 SHARD = 1 << 22
 #: Words whose n-grams are packed together, counted n-grams that a task holds before it sends them on, and those that a range of all keys may get.
-SLICE = 1 << 18
-HELD = 1 << 19
-RANGE = 1 << 21
+#: They set a worker's memory, not the result: some 60 MB in counting and 50 MB in merging.
+SLICE = 1 << 16
+HELD = 1 << 18
+RANGE = 1 << 20
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(BLANKS)] = 1
@@ -71,13 +72,15 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, n
     edges = offsets[:-1][offsets[:-1] < len(data)]
     first[edges] = inside[1:][edges]  # a text starts a word, whatever the text before it ended with
     starts = np.flatnonzero(first)
-    before = np.cumsum(inside[1:])  # bytes of words up to and with each byte
+    before = np.cumsum(inside[1:], dtype=np.uint32)  # bytes of words up to and with each byte
     at = np.zeros(len(starts) + 1, np.int64)
-    at[:-1] = before[starts] - 1
+    at[:-1] = before[starts]
+    at[:-1] -= 1
     at[-1] = before[-1] if len(before) else 0
+    del before
     text = _LOWER[data[inside[1:]]]
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(text.tobytes())])
-    piece = np.cumsum(kind == 2)[starts] + np.searchsorted(offsets[:-1], starts, side="right")
+    piece = np.cumsum(kind == 2, dtype=np.uint32)[starts].astype(np.int64) + np.searchsorted(offsets[:-1], starts, side="right")
     return words.dictionary_encode(), np.concatenate([[True], piece[1:] != piece[:-1]])[: len(starts)]
 
 
@@ -87,7 +90,7 @@ def _shards(docs: DataFrame) -> DataFrame:
     schema = "shard long, lang string, words array<struct<word:string,f:long>>, codes binary, n long"
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[str, list[tuple[pa.DictionaryArray, np.ndarray]]] = {}
         size: dict[str, int] = {}
         number = TaskContext.get().partitionId() << 32
 
@@ -95,17 +98,15 @@ def _shards(docs: DataFrame) -> DataFrame:
             nonlocal number
             parts = held.pop(lang)
             size.pop(lang)
-            ends = np.cumsum([0] + [len(d) for d, _ in parts])
-            data = np.concatenate([d for d, _ in parts])
-            offsets = np.concatenate([o[:-1] + e for (_, o), e in zip(parts, ends)] + [ends[-1:]])
-            words, first = encode(data, offsets)
-            codes = words.indices.to_numpy().astype(np.uint32) + np.uint32(1)
+            chunks = pa.chunked_array([w for w, _ in parts]).unify_dictionaries()
+            codes = np.concatenate([c.indices.to_numpy().astype(np.uint32) for c in chunks.chunks]) + np.uint32(1)
             if not len(codes):
                 return
+            dictionary, first = chunks.chunk(0).dictionary, np.concatenate([x for _, x in parts])
             out = np.zeros(len(codes) + first.sum(), np.uint32)
             out[np.arange(len(codes)) + np.cumsum(first)] = codes
             f = np.bincount(codes)[1:]
-            values = pa.StructArray.from_arrays([words.dictionary.cast(pa.large_string()).cast(pa.string()), pa.array(f, pa.int64())], names=["word", "f"])
+            values = pa.StructArray.from_arrays([dictionary.cast(pa.large_string()).cast(pa.string()), pa.array(f, pa.int64())], names=["word", "f"])
             listed = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             planes = np.ascontiguousarray(out.view(np.uint8).reshape(-1, 4).T).tobytes()
             yield pa.record_batch([pa.array([number]), pa.array([lang]), listed, pa.array([planes]), pa.array([len(codes)])], names=["shard", "lang", "words", "codes", "n"])
@@ -116,9 +117,9 @@ def _shards(docs: DataFrame) -> DataFrame:
             for lang in pc.unique(langs).to_pylist():
                 data, offsets = raw(texts.filter(pc.equal(langs, lang)))
                 begin = 0
-                while begin < len(offsets) - 1:  # whole texts, about SHARD bytes
-                    end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + SHARD, side="right")) - 1)
-                    held.setdefault(lang, []).append((data[offsets[begin] : offsets[end]].copy(), offsets[begin : end + 1] - offsets[begin]))
+                while begin < len(offsets) - 1:  # whole texts, about a quarter of SHARD: encoding takes many times their bytes
+                    end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + SHARD // 4, side="right")) - 1)
+                    held.setdefault(lang, []).append(encode(data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin]))
                     size[lang] = size.get(lang, 0) + int(offsets[end] - offsets[begin])
                     begin = end
                     if size[lang] >= SHARD:
@@ -173,6 +174,7 @@ def _grams(shards: DataFrame, bits: int, n_words: int, least: int) -> DataFrame:
 
         def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             hi, lo, counts = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             return qf.tally(hi, lo, width, counts)
 
         def filters() -> Iterator[pa.RecordBatch]:
@@ -190,12 +192,12 @@ def _grams(shards: DataFrame, bits: int, n_words: int, least: int) -> DataFrame:
                 for hi, lo in keys(codes.as_buffer(), at, of):
                     held.append(qf.tally(*qf.permute(hi, lo, width), width))
                     if sum(len(h[0]) for h in held) >= 2 * HELD:
-                        held = [merged()]
+                        held.append(merged())
                         if len(held[0][0]) >= HELD:
                             yield from filters()
-                            held = []
+                            held.clear()
         if held:
-            held = [merged()]
+            held.append(merged())
             yield from filters()
 
     def total(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:

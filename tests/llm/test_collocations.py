@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -53,6 +54,21 @@ def got(df):
     return sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in df.collect())
 
 
+def test_memory_of_a_shard_is_bounded():
+    """Words of a shard and its counted n-grams, in bytes that a worker holds at once."""
+    data = np.frombuffer((b"some words of a text, " * (module.SHARD // 20))[: module.SHARD], np.uint8)
+    tracemalloc.start()
+    module.encode(data, np.array([0, len(data)]))
+    _, shard = tracemalloc.get_traced_memory()
+    hi, lo = (np.random.default_rng(k).integers(0, 1 << 27, 2 * module.HELD, dtype=np.uint64) for k in (0, 1))
+    tracemalloc.reset_peak()
+    begin = tracemalloc.get_traced_memory()[0]
+    qf.tally(*qf.permute(hi, lo, 27), 27, np.ones(len(hi), np.int64))
+    _, grams = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert shard < 100 << 20 and grams - begin < 40 << 20
+
+
 @pytest.mark.parametrize("least,keep,share", [(10, 2000, 50), (2, 7, 90), (1, 40, 50)])
 def test_matches_brute_force(spark, docs_of, monkeypatch, least, keep, share):
     """With shards of 500 bytes, so that a task has many of them, and many ranges."""
