@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -234,3 +235,16 @@ def test_wide_windows_agree_with_pandas(spark, centred, max_rows):
     for f in spec.features():
         want = pdf.groupby("run_id")[f.channel].transform(lambda s: getattr(s.rolling(f.size, min_periods=1, center=centred), f.stat)())
         np.testing.assert_allclose(got[f.name].to_numpy(float), want.to_numpy(float), rtol=1e-9 if f.stat != "std" else 1e-5, atol=1e-9, err_msg=f.name)
+
+
+def test_full_frame_has_one_frame_for_all_neighbours_and_small_parts(spark, monkeypatch):
+    """A lag or lead for each neighbour generates classes of its own: over 100 of them, Spark compiles all of them
+    again for each task. Parts joined by the bytes of the narrow input leave a core or two with twice the work."""
+    monkeypatch.setattr("sensorframe.operators.layout.MOST_DEALT", 40)
+    rows = [("a" if i % 3 else "b", i, *[float((i * k) % 17) for k in range(1, 9)]) for i in range(400)]
+    raw = spark.createDataFrame(rows, ["run_id", "ts", *FeatureSpec().channels])
+    made = feature_frame(raw.withColumns({c: F.col(c).cast("string") for c in ("Temp", "Hum")}), order=["ts"])
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"\b(lag|lead)\(", plan)
+    assert plan.count("collect_list(") <= 2
+    assert made.rdd.getNumPartitions() == 10
