@@ -248,3 +248,12 @@ def test_full_frame_has_one_frame_for_all_neighbours_and_small_parts(spark, monk
     assert not re.search(r"\b(lag|lead)\(", plan)
     assert plan.count("collect_list(") <= 2
     assert made.rdd.getNumPartitions() == 10
+
+
+def test_cut_runs_are_dealt_by_their_count(spark):
+    """The steps on cut runs keep their number of parts, however few bytes their input has."""
+    df = frame(spark, random_runs(), SCHEMA)
+    layout = plan(df, 20)
+    assert layout.chunked
+    text = gaps.forward_fill(df, layout, ["MQ2"])._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in text
