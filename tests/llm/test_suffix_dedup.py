@@ -4,8 +4,9 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from sensorframe.llm.suffix_dedup import maximal_repeats, remove_repeats, repeat_groups
+from sensorframe.llm.suffix_dedup import _contexts, _texts, maximal_repeats, remove_repeats, repeat_groups
 from tests.llm.conftest import LONG
 
 
@@ -74,6 +75,37 @@ def test_groups_list_all_occurrences(docs_of, group):
     assert {i: len(c) for i, c in covered.items()} == {i: n for i, _, n, _, _ in brute(rows, 20) if n}
 
 
+@pytest.fixture
+def hot(spark):
+    """Joins are sorted ones, and those of more than 4 KB a partition are split where one is larger than others."""
+    skew = "spark.sql.adaptive.skewJoin.skewedPartition"
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16", f"{skew}ThresholdInBytes": "4k", f"{skew}Factor": "1.5"}
+    was = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_copies_of_a_text_are_read_by_several_tasks(docs_of, hot):
+    """The rows of one text are most of the input; both joins with the texts split them."""
+    r = random.Random(8)
+    copy = "".join(r.choice("abcdefgh ") for _ in range(600))
+    rows = [(k, copy if k % 10 else "".join(r.choice("abcdefgh ") for _ in range(600))) for k in range(3000)]
+    docs = docs_of(rows).repartition(12)
+    out = remove_repeats(docs).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((x.doc_id, x.n_removed) for x in out) == [(k, 600 if k % 10 else 0) for k, _ in rows]
+    assert len({x.task for x in out if x.n_removed}) > 1
+    texts = _texts(docs)
+    place = {"key": "1L", "ctx": "2L", "cls": "3L", "size": "2L", "known": "false", "at": "100", "low": "50", "high": "150"}
+    places = texts.select("t1", "t2").distinct().selectExpr("*", *[f"{v} as {k}" for k, v in place.items()])
+    read = _contexts(texts, places, 400).filter(F.concat("head", "tail") == F.lit(copy[50:550].encode()))
+    assert {tuple(x) for x in read.select(F.length("head"), F.length("tail")).collect()} == {(50, 450)}
+    assert read.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_maximal_repeats():
     """Every pair's common string is in a group with all that share it, and no group can be extended."""
     r = random.Random(3)
