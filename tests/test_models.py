@@ -422,3 +422,26 @@ def test_boosters_have_registered_importances():
     from sensorframe.queries.modelling import QUERIES
 
     assert {"q_model_importance", "q_model_importance_gbt", "q_model_importance_gbt_cols"} <= QUERIES.keys()
+
+
+def test_leaderboard_fits_the_full_settings(spark, sf_dir, monkeypatch):
+    """Each model is made as the original is, and sees every labelled row; only the quickest is then solved."""
+    from sensorframe.queries import modelling
+
+    seen = []
+
+    def quick(frame, features, label, models, ids, **settings):
+        seen.append((models, frame.count(), features))
+        return cross_validate(frame, features, label, {"Linear Regression": models["Linear Regression"]}, ids, **settings)
+
+    monkeypatch.setattr(modelling, "cross_validate", quick)
+    assert modelling.QUERIES["q_leaderboard"](spark, sf_dir).count() == 1
+    [(models, n_rows, features)] = seen
+    labelled = modelling.labelled(spark, sf_dir).where("hours_left > 0").count()
+    assert list(models) == list(modelling.MODELS) and n_rows == labelled and set(features) == set(modelling.NARROW.names())
+    made = {m: s.make(n_rows) for m, s in models.items()}
+    boosters = [made["Gradient Boosting"], made["Column-Sampled Boosting"]]
+    assert [(b.getMaxIter(), b.getMaxDepth(), b.getStepSize(), b.getSubsamplingRate()) for b in boosters] == [(300, 7, 0.03, 0.7), (400, 8, 0.02, 0.7)]
+    assert [b.getFeatureSubsetStrategy() for b in boosters] == ["all", "0.7"]
+    trees = made["Random Forest"]
+    assert (trees.getNumTrees(), trees.getMaxDepth(), trees.getMinInstancesPerNode()) == (300, 15, 3)
